@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pliego.functions.text import strip_ws
 
-__all__ = ["DATE_PATTERNS", "MONTH_NAMES", "parse_date", "elapsed_days", "term_text",
+__all__ = ["DATE_PATTERNS", "MONTH_NAMES", "parse_date", "parse_stripped_date", "with_date", "elapsed_days", "term_text",
            "month_name", "year_of", "month_of", "parse_filter_date"]
 
 # ---- fixed values -------------------------------------------------------------
@@ -41,12 +41,24 @@ def parse_date(col) -> Column:
     inference (month names, two-digit years) is not reproduced: such cells
     stay null and are counted by ``conversion_failures``.
     """
-    c = _c(col)
-    s = strip_ws(c.cast("string"))
+    return parse_stripped_date(strip_ws(_c(col).cast("string")))
+
+
+def parse_stripped_date(s) -> Column:
+    """C5 on text already stripped (used by the staged ``with_date``)."""
+    s = _c(s)
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in DATE_PATTERNS])
     return F.when(s != "", parsed.cast("timestamp_ntz"))
 
 
+def with_date(df, column: str, out: str | None = None):
+    """C5 as a two-step projection: strip once, then try the layouts."""
+    out = out or column
+    tmp = f"__str_{column}"
+    return df.withColumn(tmp, strip_ws(F.col(column).cast("string"))) \
+        .withColumn(out, parse_stripped_date(tmp)).drop(tmp)
+
+
 def elapsed_days(start, end) -> Column:
     """Whole days elapsed (floor of the exact difference, Q17)."""
     secs = F.unix_timestamp(_c(end).cast("timestamp")) - F.unix_timestamp(_c(start).cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["parse_money", "money_text", "percent_text", "to_numeric"]
+__all__ = ["parse_money", "money_token", "money_from_token", "with_money", "money_text", "percent_text", "to_numeric"]
 
 # ---- fixed values -------------------------------------------------------------
 MONEY_NUMBER = r"-?\d[\d.,]*"
@@ -17,39 +17,44 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _count(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+def money_token(col) -> Column:
+    """The number part of a money text: first ``-?digit[digits.,]*`` with
+    trailing separators dropped ('' when there is none)."""
+    raw = F.regexp_extract(F.coalesce(_c(col).cast("string"), F.lit("")), MONEY_NUMBER, 0)
+    return F.regexp_replace(raw, "[.,]+$", "")
+
+
+def money_from_token(tok) -> Column:
+    """Token -> double. Decimal separator rules (Q12): with both separators the
+    rightmost is decimal; a single kind repeated is thousands; a single one
+    with exactly three digits after it is thousands, any other count decimal."""
+    t = _c(tok)
+    both = t.rlike(r"\..*,|,.*\.")
+    single = t.rlike(r"^[^.,]*[.,][^.,]*$")
+    three_after = t.rlike(r"[.,]\d{3}$")
+    decimal = both | (single & ~three_after)
+    as_decimal = F.translate(F.regexp_replace(t, r"[.,](?=.*[.,])", ""), ",", ".")
+    as_integer = F.regexp_replace(t, "[.,]", "")
+    return F.when(decimal, as_decimal).otherwise(as_integer).try_cast("double")
 
 
 def parse_money(col) -> Column:
     """Colombian or Anglo money text -> double (null when no number).
 
-    Rules: the number is the first ``-?digit[digits.,]*``; trailing separators
-    are dropped; with both separators the rightmost is the decimal one; a
-    single kind repeated is thousands; a single one with exactly three digits
-    after it is thousands, any other count makes it decimal.
-    """
-    raw = F.regexp_extract(F.coalesce(_c(col).cast("string"), F.lit("")), MONEY_NUMBER, 0)
-    t = F.regexp_replace(raw, "[.,]+$", "")
-    negative = t.startswith("-")
-    t = F.regexp_replace(t, "^-+", "")
-    n_dot, n_comma = _count(t, "."), _count(t, ",")
-    last_sep = F.regexp_extract(t, r"([.,])[0-9]*$", 1)
-    tail = F.regexp_extract(t, r"[.,]([0-9]*)$", 1)
-    only_kind = F.when(last_sep == ".", n_dot).otherwise(n_comma)
-    decimal_sep = (
-        F.when((n_dot > 0) & (n_comma > 0), last_sep)
-        .when((n_dot + n_comma) == 0, F.lit(""))
-        .when((only_kind > 1) | (F.length(tail) == 3), F.lit(""))
-        .otherwise(last_sep)
-    )
-    int_part = F.regexp_replace(F.regexp_extract(t, r"^(.*)[.,][0-9]*$", 1), "[.,]", "")
-    cleaned = F.when(
-        decimal_sep != "",
-        F.concat(F.when(int_part == "", F.lit("0")).otherwise(int_part), F.lit("."), tail),
-    ).otherwise(F.regexp_replace(t, "[.,]", ""))
-    number = F.when(t != "", cleaned.try_cast("double"))
-    return F.when(negative, -number).otherwise(number)
+    A '-' right before the first digit makes the number negative (Q14).
+    Inside DataFrame operators prefer ``with_money`` which computes the token
+    once in its own projection."""
+    return money_from_token(money_token(col))
+
+
+def with_money(df, column: str, out: str | None = None, only_content: bool = True):
+    """C3 as a two-step projection: token first, then the value from it."""
+    from pliego.functions.text import has_content
+    out = out or column
+    tmp = f"__tok_{column}"
+    staged = df.withColumn(tmp, F.when(has_content(column), money_token(column)) if only_content
+                           else money_token(column))
+    return staged.withColumn(out, money_from_token(tmp)).drop(tmp)
 
 
 def to_numeric(col) -> Column:

@@ -53,8 +53,10 @@ def normalize_string(col) -> Column:
     s = F.translate(s, CP1252_FROM, CP1252_TO)
     s = F.replace(s, F.lit(CP1252_ELLIPSIS), F.lit("..."))
     s = F.regexp_replace(s, CONTROL_CHARS, "")
-    s = F.regexp_replace(s, r"[\n\r\t]+", " ")
-    s = F.regexp_replace(s, f"{WS}{{2,}}", " ")
+    # "[\n\r\t]+ -> ' '" followed by "\s{2,} -> ' '" equals one pass that
+    # turns every whitespace run of length >= 2, and every single newline or
+    # tab, into one space.
+    s = F.regexp_replace(s, f"{WS}{{2,}}|[\n\r\t]", " ")
     return strip_ws(s)
 
 

@@ -1,0 +1,19 @@
+"""Parallelism guard for CPU-heavy per-row work (regex cleaning, HTML parsing)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows when the scan produced fewer partitions than the
+    cluster has task slots (e.g. one large row group).
+
+    On a cluster reading many files the scan already has more partitions and
+    this is a no-op, so no shuffle is added. Round-robin repartitioning sorts
+    rows first (``spark.sql.execution.sortBeforeRepartition``), so a retried
+    task sees the same rows."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
