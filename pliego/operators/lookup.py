@@ -25,10 +25,10 @@ def _catalog_keys(cat: DataFrame) -> DataFrame:
     own = F.array(F.col("etiqueta"), F.col("valor_api"), F.col("codigo_secop1"))
     return (cat.select("pos", F.lit(TIER_CODE).alias("tier"), F.col("codigo_secop1").alias("key"))
             .unionByName(cat.select("pos", F.lit(TIER_API).alias("tier"), F.col("valor_api").alias("key")))
-            .unionByName(cat.select("pos", F.lit(TIER_OWN).alias("tier"),
-                                    fold_collapse(F.explode(own)).alias("key")))
-            .unionByName(cat.select("pos", F.lit(TIER_MEMBER).alias("tier"),
-                                    fold_collapse(F.explode("valores_api")).alias("key")))
+            .unionByName(cat.select("pos", F.lit(TIER_OWN).alias("tier"), F.explode(own).alias("key"))
+                         .withColumn("key", fold_collapse("key")))
+            .unionByName(cat.select("pos", F.lit(TIER_MEMBER).alias("tier"), F.explode("valores_api").alias("key"))
+                         .withColumn("key", fold_collapse("key")))
             .unionByName(cat.select("pos", F.lit(TIER_PARTIAL).alias("tier"),
                                     fold_collapse("etiqueta").alias("key")))
             .where(F.col("key").isNotNull()))
