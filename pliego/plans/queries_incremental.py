@@ -1 +1,38 @@
-"""Registered queries."""
+"""Incremental base queries (T1, W2, U3, T4 batch twin)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pliego.plans.contract_view import table
+from pliego.plans.registry import register, rounded
+from pliego.streaming.incremental import freshness_windows, upsert
+
+_SPLIT = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@register("upsert_last_event_per_user", f"""
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_upsert_user(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    base = ev.where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    new = ev.where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    base = base.withColumn("_lote", F.lit(0).cast("long"))
+    return upsert(base, new, ["user_id"], ["ts", "event_id"]).drop("_lote")
+
+
+@register("upsert_events_by_id", """
+SELECT event_id, event_type, round(CASE WHEN event_type = 'purchase' THEN value * 2 ELSE value END, 4) AS value
+FROM events""")
+def q_upsert_id(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value")
+    new = ev.where(F.col("event_type") == "purchase").withColumn("value", F.col("value") * 2)
+    out = upsert(ev.withColumn("_lote", F.lit(0).cast("long")), new, ["event_id"]).drop("_lote")
+    return rounded(out, {"value": 4})
+
+
+@register("freshness_windows_events", """
+SELECT time_bucket(INTERVAL '1 day', ts) AS inicio, count(*) AS n, max(ts) AS mas_reciente FROM events GROUP BY 1""")
+def q_fresh_windows(spark, sf):
+    return freshness_windows(table(spark, sf, "events"), "ts")
