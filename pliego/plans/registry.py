@@ -38,3 +38,4 @@ def load_all() -> None:
     from pliego.plans import queries_quality  # noqa: F401
     from pliego.plans import queries_incremental  # noqa: F401
     from pliego.plans import queries_html  # noqa: F401
+    from pliego.plans import queries_report  # noqa: F401
