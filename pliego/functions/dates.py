@@ -44,11 +44,27 @@ def parse_date(col) -> Column:
     return parse_stripped_date(strip_ws(_c(col).cast("string")))
 
 
+# Each layout only applies to text of its shape, so shapes pick the layout and
+# a value is handed to at most two parsers (a failed parse is costly).
+_SHAPES = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["d/M/yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["d-M-yyyy"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["d/M/yyyy H:m"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["d/M/yyyy H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d+$", ["yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSS"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
+]
+
+
 def parse_stripped_date(s) -> Column:
     """C5 on text already stripped (used by the staged ``with_date``)."""
     s = _c(s)
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in DATE_PATTERNS])
-    return F.when(s != "", parsed.cast("timestamp_ntz"))
+    out = F.lit(None).cast("timestamp")
+    for shape, patterns in reversed(_SHAPES):
+        out = F.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns])).otherwise(out)
+    return out.cast("timestamp_ntz")
 
 
 def with_date(df, column: str, out: str | None = None):

@@ -25,6 +25,12 @@ CP1252_FROM = "\x82\x84\x91\x92\x93\x94\x95\x96\x97\x99\xa0"
 CP1252_TO = ",\"''\"\"---™ "
 CP1252_ELLIPSIS = "\x85"
 CONTROL_CHARS = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
+# -----------------------------------------------------------------------------
+
+# The same sets as plain character strings, for translate/btrim (no regex).
+WS_CHARS = ("\t\n\x0b\x0c\r" + "".join(chr(c) for c in range(0x1C, 0x20)) + " \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+CONTROL_STRING = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)])
 DATE_IN_TEXT = r"(\d{1,2}[-/]\d{1,2}[-/]\d{4})"
 PROCESS_ID_CALL = r"consultaProceso\(\s*['\"]([^'\"]+)['\"]\s*\)"
 DETAIL_URL_BASE = "https://www.contratos.gov.co/consultas/detalleProceso.do"
@@ -37,8 +43,8 @@ def _c(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Unicode-aware strip (Python ``str.strip()``)."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    """Unicode-aware strip (Python ``str.strip()``), a character-set trim."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def collapse_ws(col) -> Column:
@@ -52,7 +58,7 @@ def normalize_string(col) -> Column:
     s = F.coalesce(_c(col).cast("string"), F.lit(""))
     s = F.translate(s, CP1252_FROM, CP1252_TO)
     s = F.replace(s, F.lit(CP1252_ELLIPSIS), F.lit("..."))
-    s = F.regexp_replace(s, CONTROL_CHARS, "")
+    s = F.translate(s, CONTROL_STRING, "")
     # "[\n\r\t]+ -> ' '" followed by "\s{2,} -> ' '" equals one pass that
     # turns every whitespace run of length >= 2, and every single newline or
     # tab, into one space.

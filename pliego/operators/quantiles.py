@@ -9,6 +9,7 @@ executor. Here the work is split instead:
    contiguous slices, each slice at most ~1/P of the distinct values;
 3. count copies per ``(group, slice)`` (P x G rows) and turn them into the
    rank offset of every slice inside its group;
+   The sliced table is checkpointed so every reader sees the same slices.
 4. a running count inside each ``(slice, group)`` gives every distinct value
    its rank interval ``[start, end)``; each interval is tested against the few
    ranks a quantile needs (linear interpolation between ranks floor/ceil of
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pliego.session import ensure_checkpoint_dir
+
 ALL_KEY = "_all"
 
 
@@ -46,7 +49,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = counted if counted is not None else value_counts_by_group(df, value, keys)
 
-    ranged = vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
+    # The slice id must be identical in both branches that read it below, so
+    # the range-partitioned table is frozen with a reliable checkpoint (shared
+    # checkpoint folder): a recomputed branch can never re-sample other bounds.
+    ensure_checkpoint_dir(spark)
+    ranged = (vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
+              .checkpoint(eager=True))
     slices = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_sc"))
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
     offsets = slices.select(

@@ -25,27 +25,28 @@ def annex(df: DataFrame, top: int = ANNEX_TOP, value: str = S.VALUE) -> DataFram
     displayed columns so the numbering is deterministic."""
     start = "fecha_inicio" if "fecha_inicio" in df.columns else "fecha_de_inicio_del_contrato"
     end = "fecha_fin" if "fecha_fin" in df.columns else "fecha_de_fin_del_contrato"
-    base = df.select(
-        to_numeric(value).alias("_v"),
+    raw = ["proceso_de_compra", "modalidad_de_contratacion", "proveedor_adjudicado", "nombre_entidad", "ciudad",
+           "objeto_del_contrato", start, end, "urlproceso"]
+    raw = [c for c in raw if c in df.columns]
+    order = [F.desc_nulls_last("_v"), *[F.asc_nulls_first(c) for c in raw]]
+    cut = df.select(to_numeric(value).alias("_v"), *raw).orderBy(*order).limit(top)
+    w = Window.partitionBy().orderBy(*order)      # over <= top rows
+    return cut.select(
+        F.row_number().over(w).cast("long").alias("n"),
         F.coalesce(F.col("proceso_de_compra").cast("string"), F.lit("N/D")).alias("proceso"),
         upper_or_nd("modalidad_de_contratacion").alias("modalidad"),
         upper_or_nd("proveedor_adjudicado").alias("contratista"),
         entity_city("nombre_entidad", "ciudad").alias("contratante"),
         upper_or_nd("objeto_del_contrato").alias("objeto"),
-        term_text(start, end).alias("plazo"),
+        money_text("_v").alias("valor"), term_text(start, end).alias("plazo"),
         process_link("urlproceso").alias("enlace"))
-    order = [F.desc_nulls_last("_v"), "proceso", "modalidad", "contratista", "contratante", "objeto", "plazo",
-             "enlace"]
-    cut = base.orderBy(*order).limit(top)
-    w = Window.partitionBy().orderBy(*order)      # over <= top rows
-    return cut.select(F.row_number().over(w).cast("long").alias("n"), "proceso", "modalidad", "contratista",
-                      "contratante", "objeto", money_text("_v").alias("valor"), "plazo", "enlace")
 
 
-def conclusions(df: DataFrame, value: str = S.VALUE) -> DataFrame:
-    """M8: conclusion items a-e from the statistics; f-h are placeholders."""
+def conclusions(df: DataFrame, value: str = S.VALUE, market: DataFrame | None = None) -> DataFrame:
+    """M8: conclusion items a-e from the statistics; f-h are placeholders.
+    ``market`` may pass an already computed ``market_stats`` row."""
     spark = df.sparkSession
-    m = S.market_stats(df, value).withColumn("_k", F.lit(1))
+    m = (market if market is not None else S.market_stats(df, value)).withColumn("_k", F.lit(1))
     sup = (S.supplier_count(df) if S.SUPPLIER in df.columns
            else spark.createDataFrame([(0,)], "n_proveedores bigint")).withColumn("_k", F.lit(1))
     mod = (S.predominant_modality(df) if "modalidad_de_contratacion" in df.columns
@@ -77,16 +78,18 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
     section reads it; a lost executor recomputes its blocks from lineage."""
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     date_col = S.pick_date_column(src)
+    stats = S.describe_values(src, value).persist()
+    market = S.market_stats(src, value, stats=stats).persist()
     sections: dict[str, DataFrame] = {
         "demanda_totales": S.demand_totals(src, value),
         "demanda_distribuciones": S.demand_distributions(src, value=value),
         "proveedores_n": S.supplier_count(src),
         "proveedores": S.supplier_distribution(src, value=value),
         "concentracion": S.concentration(src, value=value),
-        "mercado": S.market_stats(src, value),
-        "atipicos_mayores": S.top_outliers(src, value),
+        "mercado": market,
+        "atipicos_mayores": S.top_outliers(src, value, stats=stats),
         "anexo": annex(src, value=value),
-        "conclusiones": conclusions(src, value),
+        "conclusiones": conclusions(src, value, market=market),
     }
     if date_col:
         sections["por_anio"] = S.by_year(src, date_col, value)

@@ -213,6 +213,30 @@ def _flag_outliers(df: DataFrame, value: str, by: Sequence[str], stats: DataFram
     return flagged, keys
 
 
+def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
+                          stats: DataFrame | None = None) -> DataFrame:
+    """A13 + A14 in one pass over the fence-flagged rows: outlier count and %
+    (strict fences, Q9) and n, mean, median, min, max, std, CV, total of the
+    values that are not outliers."""
+    flagged, keys = _flag_outliers(df, value, by, stats)
+    kept = F.when(~F.col("_out"), F.col("_v"))
+    agg = flagged.groupBy(*keys).agg(
+        F.count_if("_out").alias("n_atipicos"),
+        (F.count_if("_out") / F.count(F.lit(1)) * 100.0).alias("pct_atipicos"),
+        F.count(kept).alias("n_ajustado"), F.avg(kept).alias("media_ajustada"),
+        F.min(kept).alias("minimo_ajustado"), F.max(kept).alias("maximo_ajustado"),
+        F.stddev_samp(kept).alias("_sd"), F.sum(kept).alias("total_ajustado"))
+    med = exact_quantiles(flagged.where(~F.col("_out")), "_v", [0.5], keys, ["mediana_ajustada"]).drop("_n")
+    adj_ok = F.col("n_ajustado") > 0
+    out = agg.join(med, keys, "left").select(
+        *keys, "n_atipicos", "pct_atipicos", F.col("n_ajustado").cast("long").alias("n_ajustado"),
+        "media_ajustada", "mediana_ajustada", "minimo_ajustado", "maximo_ajustado",
+        F.when(adj_ok, F.coalesce("_sd", F.lit(0.0))).alias("desviacion_ajustada"),
+        F.when(adj_ok, cv_percent(F.coalesce("_sd", F.lit(0.0)), "media_ajustada")).alias("coef_variacion_ajustado"),
+        "total_ajustado")
+    return drop_all_key(out)
+
+
 def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
              stats: DataFrame | None = None) -> DataFrame:
     """A13 (+F12): outlier count and percentage (strict fences, Q9)."""
@@ -225,7 +249,9 @@ def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
 
 def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
                  stats: DataFrame | None = None) -> DataFrame:
-    """The five largest outlier values (duplicates kept), ranked."""
+    """The five largest outlier values (duplicates kept), ranked.
+    The ``row_number() <= 5`` filter is planned as a per-partition group limit
+    before the shuffle."""
     flagged, keys = _flag_outliers(df, value, by, stats)
     w = Window.partitionBy(*keys).orderBy(F.desc("_v"))
     out = (flagged.where("_out").withColumn("posicion", F.row_number().over(w))
@@ -236,33 +262,26 @@ def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top:
 
 def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
                    stats: DataFrame | None = None) -> DataFrame:
-    """N, mean, median, min, max, std, CV and total without the outliers."""
-    flagged, keys = _flag_outliers(df, value, by, stats)
-    kept = flagged.where(~F.col("_out")).select(*keys, "_v")
-    mom = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_ajustado"), F.avg("_v").alias("media_ajustada"),
-        F.min("_v").alias("minimo_ajustado"), F.max("_v").alias("maximo_ajustado"),
-        F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("desviacion_ajustada"),
-        F.sum("_v").alias("total_ajustado"))
-    med = exact_quantiles(kept, "_v", [0.5], keys, ["mediana_ajustada"]).drop("_n")
-    out = mom.join(med, keys).select(
-        *keys, F.col("n_ajustado").cast("long").alias("n_ajustado"), "media_ajustada", "mediana_ajustada",
-        "minimo_ajustado", "maximo_ajustado", "desviacion_ajustada",
-        cv_percent("desviacion_ajustada", "media_ajustada").alias("coef_variacion_ajustado"),
-        "total_ajustado")
-    return drop_all_key(out)
+    """N, mean, median, min, max, std, CV and total without the outliers
+    (groups whose every value is an outlier are absent)."""
+    oa = outliers_and_adjusted(df, value, by, stats).where(F.col("n_ajustado") > 0)
+    return oa.select(*by, "n_ajustado", "media_ajustada", "mediana_ajustada", "minimo_ajustado",
+                     "maximo_ajustado", "desviacion_ajustada", "coef_variacion_ajustado", "total_ajustado")
 
 
-def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
-    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section)."""
-    st = describe_values(df, value, by)
+def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
+                 stats: DataFrame | None = None) -> DataFrame:
+    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section).
+
+    The per-group statistics (one row per group) are persisted because the
+    fences feed a second pass over the rows."""
+    st = stats if stats is not None else describe_values(df, value, by).persist()
     keys = list(by) or [ALL_KEY]
     st_k = st if by else st.withColumn(ALL_KEY, F.lit(0))
-    outl = outliers(df, value, by, stats=st)
-    adj = adjusted_stats(df, value, by, stats=st)
+    oa = outliers_and_adjusted(df, value, by, stats=st)
     if not by:
-        outl, adj = outl.withColumn(ALL_KEY, F.lit(0)), adj.withColumn(ALL_KEY, F.lit(0))
-    full = st_k.join(outl, keys).join(adj, keys, "left")
+        oa = oa.withColumn(ALL_KEY, F.lit(0))
+    full = st_k.join(oa, keys, "left")
     ref = F.when(F.col("media_ajustada").isNull() | (F.col("media_ajustada") == 0),
                  F.col("media")).otherwise(F.col("media_ajustada"))
     full = full.withColumn("precio_referencia", ref) \

@@ -27,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contract_view(spark: SparkSession, sf_dir: str, with_line_keys: bool = False) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    from pliego.operators.parallel import spread
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
-        "l_returnflag", "l_shipdate")
+        "l_returnflag", "l_shipdate"))
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")

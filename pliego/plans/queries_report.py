@@ -32,10 +32,12 @@ b AS (SELECT valor_del_contrato AS v, coalesce(proceso_de_compra, 'N/D') AS proc
        ELSE upper(coalesce(nombre_entidad, 'N/D')) END AS contratante,
   upper(coalesce(objeto_del_contrato, 'N/D')) AS objeto,
   CAST(floor((epoch(fecha_de_fin_del_contrato) - epoch(fecha_de_inicio_del_contrato)) / 86400) AS BIGINT) AS d,
-  urlproceso AS enlace FROM cv),
+  urlproceso AS enlace, proceso_de_compra AS p0, modalidad_de_contratacion AS p1, proveedor_adjudicado AS p2,
+  nombre_entidad AS p3, ciudad AS p4, objeto_del_contrato AS p5, fecha_de_inicio_del_contrato AS p6,
+  fecha_de_fin_del_contrato AS p7, urlproceso AS p8 FROM cv),
 t AS (SELECT *, {_TERM} AS plazo FROM b),
-r AS (SELECT *, row_number() OVER (ORDER BY v DESC NULLS LAST, proceso, modalidad, contratista, contratante, objeto,
-  plazo, enlace) AS n FROM t)
+r AS (SELECT *, row_number() OVER (ORDER BY v DESC NULLS LAST, p0 NULLS FIRST, p1 NULLS FIRST, p2 NULLS FIRST,
+  p3 NULLS FIRST, p4 NULLS FIRST, p5 NULLS FIRST, p6 NULLS FIRST, p7 NULLS FIRST, p8 NULLS FIRST) AS n FROM t)
 SELECT CAST(n AS BIGINT) AS n, proceso, modalidad, contratista, contratante, objeto, {_money_sql('v')} AS valor, plazo, enlace
 FROM r WHERE n <= 50""")
 def q_annex(spark, sf):
