@@ -1,4 +1,4 @@
-"""Exact per-group quantiles and mode without gathering a group into one task.
+"""Exact order statistics per group without gathering a group into one task.
 
 ``percentile``/``mode`` aggregates keep a value->count map per group and merge
 it in one task, so a group holding a third of the table would sit in a single
@@ -6,22 +6,26 @@ executor. Here the work is split instead:
 
 1. compress rows to ``(group, value, copies)`` with map-side combine;
 2. range-partition that table on ``(group, value)``: a hot group spans many
-   contiguous slices, each slice at most ~1/P of the distinct values;
+   contiguous slices, each slice at most ~1/P of the distinct values. The
+   sliced table is frozen with a reliable checkpoint so every reader sees the
+   same slices even if a branch is recomputed;
 3. count copies per ``(group, slice)`` (P x G rows) and turn them into the
    rank offset of every slice inside its group;
-   The sliced table is checkpointed so every reader sees the same slices.
 4. a running count inside each ``(slice, group)`` gives every distinct value
-   its rank interval ``[start, end)``; each interval is tested against the few
-   ranks a quantile needs (linear interpolation between ranks floor/ceil of
-   ``p * (n - 1)``, the rule pandas and DuckDB's ``quantile_cont`` use).
+   its rank interval ``[_s, _e)`` in the group's sorted order (``_n`` copies in
+   all). This *ranked table* is all later statistics need: a quantile is the
+   value at rank ``p * (n - 1)`` (linear interpolation between floor and ceil,
+   the rule of pandas and DuckDB's ``quantile_cont``), outliers are the lowest
+   and highest rank ranges, and moments are weighted sums.
 
-Only ``2 * len(probs)`` rows per group reach the final aggregate.
+Only a handful of rows per group reach the final aggregates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +40,17 @@ def value_counts_by_group(df: DataFrame, value: str, keys: Sequence[str]) -> Dat
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    keys: Sequence[str] = (), names: Sequence[str] | None = None,
-                    partitions: int | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """One row per group: ``keys..., _n, <name_i>`` with the exact quantiles.
+def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), partitions: int | None = None,
+                  counted: DataFrame | None = None) -> DataFrame:
+    """(keys..., value, _c, _s, _e, _n): each distinct value with its copies,
+    its rank interval ``[_s, _e)`` inside the group and the group size ``_n``.
 
-    ``counted`` may pass a precomputed ``value_counts_by_group`` result.
-    """
+    The result is persisted (memory, spilling to disk); it is recomputed
+    deterministically from the checkpointed slices if a block is lost."""
     keys = list(keys)
-    names = list(names or [f"q_{i}" for i in range(len(probs))])
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = counted if counted is not None else value_counts_by_group(df, value, keys)
-
-    # The slice id must be identical in both branches that read it below, so
-    # the range-partitioned table is frozen with a reliable checkpoint (shared
-    # checkpoint folder): a recomputed branch can never re-sample other bounds.
     ensure_checkpoint_dir(spark)
     ranged = (vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -61,50 +60,85 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         *keys, "_p",
         F.coalesce(F.sum("_sc").over(by_group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
-        F.sum("_sc").over(by_group).alias("_n"),
-    )
+        F.sum("_sc").over(by_group).alias("_n"))
     running = ranged.withColumn(
         "_cum", F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy(value)
                                  .rowsBetween(Window.unboundedPreceding, 0)))
     located = running.join(offsets, on=[*keys, "_p"])
     end = F.col("_off") + F.col("_cum")
-    start = end - F.col("_c")
+    return (located.select(*keys, value, "_c", (end - F.col("_c")).alias("_s"), end.alias("_e"), "_n")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def values_at(ranked: DataFrame, value: str, keys: Sequence[str], positions: dict[str, Column]) -> DataFrame:
+    """One row per group with the value at each (fractional) rank position.
 
+    ``positions`` maps an output name to a Column over the group's columns
+    present in ``ranked`` (``_n`` and any per-group columns joined in); a
+    null position gives null."""
+    keys = list(keys)
     wanted = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"),
-                               F.floor(pos).cast("long").alias("r")))
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"),
-                               F.ceil(pos).cast("long").alias("r")))
-    hits = (located.select(*keys, "_n", value, start.alias("_s"), end.alias("_e"),
-                           F.array(*wanted).alias("_w"))
-            .select(*keys, "_n", value,
-                    F.explode(F.filter("_w", lambda w: (w["r"] >= F.col("_s")) & (w["r"] < F.col("_e"))))
-                    .alias("_t")))
-    aggs = [F.max("_n").alias("_n")]
-    for i in range(len(probs)):
+    for i, pos in enumerate(positions.values()):
+        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(pos).cast("long").alias("r")))
+        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).cast("long").alias("r")))
+    hits = ranked.select(*keys, value, F.explode(
+        F.filter(F.array(*wanted), lambda w: w["r"].isNotNull() & (w["r"] >= F.col("_s")) & (w["r"] < F.col("_e")))
+    ).alias("_t"))
+    aggs = []
+    for i in range(len(positions)):
         aggs.append(F.max(F.when((F.col("_t.i") == i) & (F.col("_t.side") == 0), F.col(value))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when((F.col("_t.i") == i) & (F.col("_t.side") == 1), F.col(value))).alias(f"_hi{i}"))
     picked = hits.groupBy(*keys).agg(*aggs)
-    out = [*keys, F.col("_n")]
-    for i, (p, name) in enumerate(zip(probs, names)):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        frac = pos - F.floor(pos)
+    # the fractional part of each position, evaluated on one row per group
+    frac_src = ranked.groupBy(*keys).agg(*[F.max(pos).alias(f"_pos{i}") for i, pos in enumerate(positions.values())])
+    out = picked.join(frac_src, keys, "right")
+    cols = list(keys)
+    for i, name in enumerate(positions):
+        p = F.col(f"_pos{i}")
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return picked.select(*out)
+        cols.append((lo + (hi - lo) * (p - F.floor(p))).alias(name))
+    return out.select(*cols)
+
 
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
+                    names: Sequence[str] | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """One row per group: ``keys..., _n, <name_i>`` with the exact quantiles."""
+    keys = list(keys)
+    names = list(names or [f"q_{i}" for i in range(len(probs))])
+    r = ranked if ranked is not None else ranked_values(df, value, keys)
+    pos = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in zip(names, probs)}
+    q = values_at(r, value, keys, pos)
+    n = r.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    return n.join(q, keys).select(*keys, "_n", *names)
 
-def exact_mode(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "moda",
-               counted: DataFrame | None = None) -> DataFrame:
+
+def exact_mode(ranked: DataFrame, value: str, keys: Sequence[str] = (), name: str = "moda") -> DataFrame:
     """Most frequent value per group; ties -> the smallest value (Q6).
 
     ``min_by`` keeps one candidate per partial buffer, so the per-group merge
     is O(1) whatever the group size."""
-    vc = counted if counted is not None else value_counts_by_group(df, value, keys)
-    return vc.groupBy(*keys).agg(
-        F.min_by(F.col(value), F.struct(-F.col("_c"), F.col(value))).alias(name))
+    return ranked.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("_c"), F.col(value))).alias(name))
+
+
+def weighted_moments(ranked: DataFrame, value: str, keys: Sequence[str], weight: Column | None = None,
+                     prefix: str = "") -> DataFrame:
+    """n, sum, min, max, mean, sample variance/std over the weighted values
+    (weight defaults to the copies ``_c``); two-pass variance."""
+    keys = list(keys)
+    w = weight if weight is not None else F.col("_c")
+    r = ranked.withColumn("_w", w.cast("double"))
+    first = r.groupBy(*keys).agg(
+        F.sum("_w").alias("_wn"), F.sum(F.col("_w") * F.col(value)).alias("_ws"),
+        F.min(F.when(F.col("_w") > 0, F.col(value))).alias(f"{prefix}min"),
+        F.max(F.when(F.col("_w") > 0, F.col(value))).alias(f"{prefix}max"))
+    first = first.withColumn("_mean", F.when(F.col("_wn") > 0, F.col("_ws") / F.col("_wn")))
+    second = (r.join(first.select(*keys, "_mean"), keys)
+              .groupBy(*keys).agg(F.sum(F.col("_w") * (F.col(value) - F.col("_mean")) ** 2).alias("_ss")))
+    var = F.when(F.col("_wn") > 1, F.col("_ss") / (F.col("_wn") - 1)).when(F.col("_wn") > 0, F.lit(0.0))
+    return first.join(second, keys).select(
+        *keys, F.col("_wn").cast("long").alias(f"{prefix}n"),
+        F.when(F.col("_wn") > 0, F.col("_ws")).alias(f"{prefix}sum"), f"{prefix}min", f"{prefix}max",
+        F.col("_mean").alias(f"{prefix}mean"), var.alias(f"{prefix}var"), F.sqrt(var).alias(f"{prefix}std"))
 
 
 def with_all_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -116,7 +150,3 @@ def with_all_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[st
 
 def drop_all_key(df: DataFrame) -> DataFrame:
     return df.drop(ALL_KEY) if ALL_KEY in df.columns else df
-
-
-def col_or(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -78,8 +78,8 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
     section reads it; a lost executor recomputes its blocks from lineage."""
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     date_col = S.pick_date_column(src)
-    stats = S.describe_values(src, value).persist()
-    market = S.market_stats(src, value, stats=stats).persist()
+    ranked = S.ranked_positive(src, value)
+    market = S.market_stats(src, value, ranked=ranked).persist()
     sections: dict[str, DataFrame] = {
         "demanda_totales": S.demand_totals(src, value),
         "demanda_distribuciones": S.demand_distributions(src, value=value),
@@ -87,7 +87,7 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
         "proveedores": S.supplier_distribution(src, value=value),
         "concentracion": S.concentration(src, value=value),
         "mercado": market,
-        "atipicos_mayores": S.top_outliers(src, value, stats=stats),
+        "atipicos_mayores": S.top_outliers(src, value, ranked=ranked),
         "anexo": annex(src, value=value),
         "conclusiones": conclusions(src, value, market=market),
     }

@@ -18,7 +18,7 @@ from pliego.functions.links import cv_percent, dispersion_reading as _reading
 from pliego.functions.money import to_numeric
 from pliego.functions.text import strip_ws
 from pliego.operators.quantiles import (
-    ALL_KEY, drop_all_key, exact_mode, exact_quantiles, value_counts_by_group, with_all_key)
+    ALL_KEY, drop_all_key, exact_mode, exact_quantiles, ranked_values, values_at, weighted_moments, with_all_key)
 
 # ---- fixed values -------------------------------------------------------------
 VALUE = "valor_del_contrato"
@@ -57,9 +57,11 @@ def distribution(df: DataFrame, column: str, top: int = 10, value: str = VALUE)
                 F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total"),
                 F.count(F.col(column)).alias("_present")))
     tops = agg.orderBy(F.desc("valor_total"), F.asc("categoria")).limit(top).withColumn("_k", F.lit(0))
-    total = agg.agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_present_all"))
+    # Same aggregate columns in both branches, so Spark reuses one exchange.
+    total = agg.agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_present_all"),
+                    F.sum("contratos").alias("_rows"))
     # tops has <= N rows and total one: a window over their union stays bounded.
-    both = tops.unionByName(total.withColumn("_k", F.lit(1)), allowMissingColumns=True)
+    both = tops.unionByName(total.withColumn("_k", F.lit(1)).drop("_rows"), allowMissingColumns=True)
     w = Window.partitionBy()
     both = both.withColumn("_tot_all", F.max("_tot").over(w)).withColumn("_pres", F.max("_present_all").over(w))
     return (both.where((F.col("_k") == 0) & (F.col("_pres") > 0))
@@ -175,88 +177,148 @@ def _positive(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, to_numeric(value).alias("_v")).where(F.col("_v") > 0)
 
 
-def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
-    """N, mean, median, mode, min, max, range, sum, var, std, CV%, quartiles,
-    IQR, p10, p90 and fences, per group (or one row), over values > 0."""
+def ranked_positive(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """The ranked (group, value, copies, rank interval) table of the positive
+    values: the single pass over the rows every price statistic shares."""
     base, keys = with_all_key(df, by)
-    base = _positive(base, value, keys)
-    counted = value_counts_by_group(base, "_v", keys)
-    moments = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_v").alias("media"), F.min("_v").alias("minimo"),
-        F.max("_v").alias("maximo"), F.sum("_v").alias("suma"),
-        F.coalesce(F.var_samp("_v"), F.lit(0.0)).alias("varianza"),
-        F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("desviacion"))
-    quant = exact_quantiles(base, "_v", STAT_PROBS, keys, STAT_NAMES, counted=counted).drop("_n")
-    mode = exact_mode(base, "_v", keys, counted=counted)
+    return ranked_values(_positive(base, value, keys), "_v", keys), keys
+
+
+def _rank_hits(pos: F.Column, name: str) -> list:
+    """Aggregates picking the values at floor/ceil of a per-row rank position
+    (rows carry their group's size, so no join is needed)."""
+    lo, hi = F.floor(pos), F.ceil(pos)
+    inside = lambda r: (r >= F.col("_s")) & (r < F.col("_e"))
+    return [F.max(F.when(inside(lo), F.col("_v"))).alias(f"_{name}_lo"),
+            F.max(F.when(inside(hi), F.col("_v"))).alias(f"_{name}_hi"),
+            F.max(pos).alias(f"_{name}_pos")]
+
+
+def _interp(name: str) -> F.Column:
+    p, lo, hi = F.col(f"_{name}_pos"), F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+    return (lo + (hi - lo) * (p - F.floor(p))).alias(name)
+
+
+def _first_pass(r: DataFrame, keys: list[str]) -> DataFrame:
+    """Stage A: n, sum, min, max, mode and the quantiles in one aggregate."""
+    aggs = [F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_v")).alias("suma"),
+            F.min("_v").alias("minimo"), F.max("_v").alias("maximo"),
+            F.min_by(F.col("_v"), F.struct(-F.col("_c"), F.col("_v"))).alias("moda")]
+    for p, name in zip(STAT_PROBS, STAT_NAMES):
+        aggs += _rank_hits(F.lit(p) * (F.col("_n") - 1), name)
+    a = r.groupBy(*keys).agg(*aggs)
+    return a.select(*keys, F.col("n").cast("long").alias("n"), "suma", "minimo", "maximo", "moda",
+                    (F.col("suma") / F.col("n")).alias("media"), *[_interp(n) for n in STAT_NAMES])
+
+
+def _second_pass(r: DataFrame, keys: list[str], first: DataFrame) -> DataFrame:
+    """Stage B: exact two-pass variance, outlier counts and the moments of the
+    kept values (shifted by the group mean) in one aggregate."""
     ric = F.col("q3") - F.col("q1")
-    out = (moments.join(quant, keys).join(mode, keys)
-           .select(*keys, F.col("n").cast("long").alias("n"), "media", F.col("q2").alias("mediana"), "moda",
-                   "minimo", "maximo", (F.col("maximo") - F.col("minimo")).alias("rango"), "suma",
-                   "varianza", "desviacion", cv_percent("desviacion", "media").alias("coef_variacion"),
-                   "q1", "q2", "q3", ric.alias("ric"), "p10", "p90",
-                   (F.col("q1") - IQR_FACTOR * ric).alias("limite_inferior"),
-                   (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior")))
-    return drop_all_key(out)
+    fences = first.select(*keys, "media", (F.col("q1") - IQR_FACTOR * ric).alias("limite_inferior"),
+                          (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior"))
+    j = r.join(fences, keys)
+    d = F.col("_v") - F.col("media")
+    low = F.col("_v") < F.col("limite_inferior")
+    high = F.col("_v") > F.col("limite_superior")
+    kept = ~low & ~high
+    kc = F.when(kept, F.col("_c")).otherwise(F.lit(0))
+    return j.groupBy(*keys).agg(
+        F.sum(F.col("_c") * d * d).alias("_ss"),
+        F.sum(F.when(low, F.col("_c")).otherwise(0)).alias("_nlow"),
+        F.sum(F.when(high, F.col("_c")).otherwise(0)).alias("_nhigh"),
+        F.sum(kc).alias("_kn"), F.sum(kc * d).alias("_kd"), F.sum(kc * d * d).alias("_kdd"),
+        F.sum(kc * F.col("_v")).alias("_ksum"),
+        F.min(F.when(kept, F.col("_v"))).alias("minimo_ajustado"),
+        F.max(F.when(kept, F.col("_v"))).alias("maximo_ajustado"))
+
+
+def _stats_columns(keys: list[str]) -> list:
+    ric = F.col("q3") - F.col("q1")
+    var = F.when(F.col("n") > 1, F.col("_ss") / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    return [*keys, "n", "media", F.col("q2").alias("mediana"), "moda", "minimo", "maximo",
+            (F.col("maximo") - F.col("minimo")).alias("rango"), "suma", var.alias("varianza"),
+            F.sqrt(var).alias("desviacion"), cv_percent(F.sqrt(var), F.col("media")).alias("coef_variacion"),
+            "q1", "q2", "q3", ric.alias("ric"), "p10", "p90",
+            (F.col("q1") - IQR_FACTOR * ric).alias("limite_inferior"),
+            (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior")]
 
 
-def _flag_outliers(df: DataFrame, value: str, by: Sequence[str], stats: DataFrame | None = None):
-    base, keys = with_all_key(df, by)
-    base = _positive(base, value, keys)
-    st = stats if stats is not None else describe_values(df, value, by)
-    if not by:
-        st = st.withColumn(ALL_KEY, F.lit(0))
-    fences = st.select(*keys, "limite_inferior", "limite_superior")
-    if not by:
-        fences = F.broadcast(fences)      # exactly one row
-    flagged = base.join(fences, keys).withColumn(
-        "_out", (F.col("_v") < F.col("limite_inferior")) | (F.col("_v") > F.col("limite_superior")))
-    return flagged, keys
+def _price_tables(df: DataFrame, value: str, by: Sequence[str],
+                  ranked: tuple[DataFrame, list[str]] | None) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    r, keys = ranked if ranked is not None else ranked_positive(df, value, by)
+    first = _first_pass(r, keys)
+    second = _second_pass(r, keys, first)
+    return r, first, second, keys
+
+
+def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
+                    ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """N, mean, median, mode, min, max, range, sum, var, std, CV%, quartiles,
+    IQR, p10, p90 and fences, per group (or one row), over values > 0."""
+    _, first, second, keys = _price_tables(df, value, by, ranked)
+    return drop_all_key(first.join(second.select(*keys, "_ss"), keys).select(*_stats_columns(keys)))
+
+
+def _third_pass(r: DataFrame, keys: list[str], second: DataFrame, top: int = 0,
+                median: bool = True) -> DataFrame:
+    """Stage C: the adjusted median (rank ``n_low + (n_kept - 1) / 2``: outliers
+    hold the lowest and highest ranks) and the ``top`` largest outliers (rank
+    ``n-1-j`` while ``j < n_high``, then ``n_low-1-(j-n_high)``)."""
+    counts = second.select(*keys, "_nlow", "_nhigh", "_kn")
+    j = r.join(counts, keys)
+    aggs = [F.max("_n").alias("_ntot")]
+    if median:
+        aggs += _rank_hits(F.when(F.col("_kn") > 0, F.col("_nlow") + (F.col("_kn") - 1) * 0.5), "mediana_ajustada")
+    for t in range(top):
+        rank = (F.when(F.lit(t) < F.col("_nhigh"), F.col("_n") - 1 - t)
+                .when(F.lit(t) < F.col("_nhigh") + F.col("_nlow"), F.col("_nlow") - 1 - (t - F.col("_nhigh"))))
+        aggs += _rank_hits(rank, f"top{t}")
+    return j.groupBy(*keys).agg(*aggs)
 
 
 def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                          stats: DataFrame | None = None) -> DataFrame:
-    """A13 + A14 in one pass over the fence-flagged rows: outlier count and %
-    (strict fences, Q9) and n, mean, median, min, max, std, CV, total of the
-    values that are not outliers."""
-    flagged, keys = _flag_outliers(df, value, by, stats)
-    kept = F.when(~F.col("_out"), F.col("_v"))
-    agg = flagged.groupBy(*keys).agg(
-        F.count_if("_out").alias("n_atipicos"),
-        (F.count_if("_out") / F.count(F.lit(1)) * 100.0).alias("pct_atipicos"),
-        F.count(kept).alias("n_ajustado"), F.avg(kept).alias("media_ajustada"),
-        F.min(kept).alias("minimo_ajustado"), F.max(kept).alias("maximo_ajustado"),
-        F.stddev_samp(kept).alias("_sd"), F.sum(kept).alias("total_ajustado"))
-    med = exact_quantiles(flagged.where(~F.col("_out")), "_v", [0.5], keys, ["mediana_ajustada"]).drop("_n")
-    adj_ok = F.col("n_ajustado") > 0
-    out = agg.join(med, keys, "left").select(
-        *keys, "n_atipicos", "pct_atipicos", F.col("n_ajustado").cast("long").alias("n_ajustado"),
-        "media_ajustada", "mediana_ajustada", "minimo_ajustado", "maximo_ajustado",
-        F.when(adj_ok, F.coalesce("_sd", F.lit(0.0))).alias("desviacion_ajustada"),
-        F.when(adj_ok, cv_percent(F.coalesce("_sd", F.lit(0.0)), "media_ajustada")).alias("coef_variacion_ajustado"),
-        "total_ajustado")
+                          stats: DataFrame | None = None,
+                          ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """A13 + A14: outlier count and % (strict fences, Q9) and n, mean, median,
+    min, max, std, CV, total of the values that are not outliers."""
+    r, first, second, keys = _price_tables(df, value, by, ranked)
+    third = _third_pass(r, keys, second)
+    kn = F.col("_kn")
+    adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
+        .when(kn > 0, F.lit(0.0))
+    adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
+    out = first.select(*keys, "n", "media").join(second, keys).join(third, keys, "left").select(
+        *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
+        ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
+        kn.cast("long").alias("n_ajustado"), F.when(kn > 0, F.col("_ksum") / kn).alias("media_ajustada"),
+        F.when(kn > 0, _interp("mediana_ajustada")).alias("mediana_ajustada"),
+        "minimo_ajustado", "maximo_ajustado", F.when(kn > 0, adj_std).alias("desviacion_ajustada"),
+        F.when(kn > 0, cv_percent(adj_std, F.col("_ksum") / kn)).alias("coef_variacion_ajustado"),
+        F.when(kn > 0, F.col("_ksum")).alias("total_ajustado"))
     return drop_all_key(out)
 
 
 def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
              stats: DataFrame | None = None) -> DataFrame:
     """A13 (+F12): outlier count and percentage (strict fences, Q9)."""
-    flagged, keys = _flag_outliers(df, value, by, stats)
-    out = flagged.groupBy(*keys).agg(
-        F.count_if("_out").alias("n_atipicos"),
-        (F.count_if("_out") / F.count(F.lit(1)) * 100.0).alias("pct_atipicos"))
+    _, first, second, keys = _price_tables(df, value, by, None)
+    out = first.select(*keys, "n").join(second, keys).select(
+        *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
+        ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"))
     return drop_all_key(out)
 
 
 def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
-                 stats: DataFrame | None = None) -> DataFrame:
-    """The five largest outlier values (duplicates kept), ranked.
-    The ``row_number() <= 5`` filter is planned as a per-partition group limit
-    before the shuffle."""
-    flagged, keys = _flag_outliers(df, value, by, stats)
-    w = Window.partitionBy(*keys).orderBy(F.desc("_v"))
-    out = (flagged.where("_out").withColumn("posicion", F.row_number().over(w))
-           .where(F.col("posicion") <= top)
-           .select(*keys, F.col("posicion").cast("long").alias("posicion"), F.col("_v").alias("valor")))
+                 stats: DataFrame | None = None,
+                 ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """The five largest outlier values (duplicates kept), ranked."""
+    r, first, second, keys = _price_tables(df, value, by, ranked)
+    third = _third_pass(r, keys, second, top=top, median=False)
+    out = third.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(t + 1).cast("long").alias("posicion"), _interp(f"top{t}").alias("valor"))
+        for t in range(top)])).alias("_t")).where(F.col("_t.valor").isNotNull()) \
+        .select(*keys, "_t.posicion", "_t.valor")
     return drop_all_key(out)
 
 
@@ -270,18 +332,25 @@ def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
 
 
 def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                 stats: DataFrame | None = None) -> DataFrame:
-    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section).
-
-    The per-group statistics (one row per group) are persisted because the
-    fences feed a second pass over the rows."""
-    st = stats if stats is not None else describe_values(df, value, by).persist()
-    keys = list(by) or [ALL_KEY]
-    st_k = st if by else st.withColumn(ALL_KEY, F.lit(0))
-    oa = outliers_and_adjusted(df, value, by, stats=st)
-    if not by:
-        oa = oa.withColumn(ALL_KEY, F.lit(0))
-    full = st_k.join(oa, keys, "left")
+                 ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section):
+    the ranked table plus three aggregates."""
+    r, first, second, keys = _price_tables(df, value, by, ranked)
+    third = _third_pass(r, keys, second)
+    kn = F.col("_kn")
+    adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
+        .when(kn > 0, F.lit(0.0))
+    adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
+    adj_mean = F.when(kn > 0, F.col("_ksum") / kn)
+    full = first.join(second, keys).join(third, keys, "left").select(
+        *_stats_columns(keys),
+        (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
+        ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
+        kn.cast("long").alias("n_ajustado"), adj_mean.alias("media_ajustada"),
+        F.when(kn > 0, _interp("mediana_ajustada")).alias("mediana_ajustada"),
+        "minimo_ajustado", "maximo_ajustado", F.when(kn > 0, adj_std).alias("desviacion_ajustada"),
+        F.when(kn > 0, cv_percent(adj_std, adj_mean)).alias("coef_variacion_ajustado"),
+        F.when(kn > 0, F.col("_ksum")).alias("total_ajustado"))
     ref = F.when(F.col("media_ajustada").isNull() | (F.col("media_ajustada") == 0),
                  F.col("media")).otherwise(F.col("media_ajustada"))
     full = full.withColumn("precio_referencia", ref) \
