@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
-import __spark_entry__ as E  # noqa: E402
+import __spark_entry__ as E  # noqa: E402,F401
 from pliego.plans.contract_view import TABLES  # noqa: E402
 from pliego.session import build_session  # noqa: E402
 
