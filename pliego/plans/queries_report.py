@@ -100,3 +100,25 @@ def q_base_versions(spark, sf):
     upd = ev.where(F.col("event_type") == "purchase").withColumn("value", F.col("value") + 1)
     out = upsert_base(spark, upd, path, ["event_id"], batch_id=2)
     return out.select("event_id", "value")
+
+
+@register("query_combined_sources", f"""{CV},
+s2 AS (SELECT count(*) AS n FROM cv WHERE fuente = 'A' AND departamento = 'ASIA' AND contains(upper(objeto_del_contrato), 'RED')),
+s1 AS (SELECT count(*) AS n FROM (SELECT DISTINCT proceso_de_compra, _linea, modalidad_de_contratacion,
+         estado_contrato, nombre_entidad, objeto_del_contrato, departamento, ciudad, round(valor_del_contrato, 2),
+         fecha_de_inicio_del_contrato FROM cv
+         WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND contains(lower(objeto_del_contrato), 'red')))
+SELECT 'SECOP II' AS fuente, least(n, 20000) AS filas, n AS coincidencias, n > 20000 AS truncado FROM s2
+UNION ALL SELECT 'SECOP I', n, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM s1""")
+def q_query_combined(spark, sf):
+    from pliego.plans.fixtures import result_pages
+    from pliego.plans.jobs import ContractQuery, query_combined, query_source1, query_source2
+    from pliego.sources.html import extract_result_rows
+    path = scratch_path(spark, f"api-{uuid.uuid4().hex}")
+    cv = contract_view(spark, sf).where(F.col("fuente") == "A").drop("fuente")
+    cv.select(*[F.col(c).cast("string") for c in cv.columns]).write.json(path)
+    q = ContractQuery(keyword="red", department="ASIA")
+    s2, rep = query_source2(files.scan_api_dump(spark, path), q)
+    s1 = query_source1(extract_result_rows(result_pages(spark, sf)), q)
+    _, counts = query_combined({"SECOP II": s2, "SECOP I": s1}, [rep])
+    return counts.select("fuente", "filas", "coincidencias", "truncado")

@@ -152,26 +152,28 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return spread(p).mapInPandas(_parse_pages, ROWS_SCHEMA)
 
 
-def _chosen_tables(rows: DataFrame) -> DataFrame:
-    """Table choice per page: header 'Número de Proceso', else the known CSS
-    class, else the largest table with more than one row, else the first."""
-    t = rows.where(F.col("t_idx") >= 0).select("page_id", "t_idx", "t_class", "t_rows", "t_first").distinct()
+def _table_choice(rows: DataFrame) -> DataFrame:
+    """Table choice per page, as columns on every table row: header 'Número de
+    Proceso', else the known CSS class, else the largest table with more than
+    one row, else the first. A window over one page's rows (bounded by the page
+    size), so the parsed rows are read once."""
+    t = rows.where(F.col("t_idx") >= 0)
     header = F.lit(False)
     for k in RESULT_HEADER_KEYS:
         header = header | F.col("t_first").contains(k)
     klass = F.array_contains(F.split(F.coalesce("t_class", F.lit("")), " "), RESULT_TABLE_CLASS)
     prio = (F.when(header, F.lit(1)).when(klass, F.lit(2)).when(F.col("t_rows") > 1, F.lit(3)).otherwise(F.lit(4)))
     tie = F.when(prio == 3, -F.col("t_rows")).otherwise(F.lit(0))
-    best = t.groupBy("page_id").agg(F.min(F.struct(prio.alias("p"), tie.alias("r"), F.col("t_idx").alias("i"),
-                                                   header.alias("h"))).alias("_b"))
-    return best.select("page_id", F.col("_b.i").alias("t_idx"), F.col("_b.h").alias("is_result_table"))
+    best = F.min(F.struct(prio.alias("p"), tie.alias("r"), F.col("t_idx").alias("i"), header.alias("h"))) \
+        .over(Window.partitionBy("page_id"))
+    return t.withColumn("_best", best).where(F.col("t_idx") == F.col("_best.i")) \
+        .withColumn("is_result_table", F.col("_best.h")).drop("_best")
 
 
 def extract_result_rows(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """S5 (+F17, C11-C15): result-table rows -> the 12 result columns (+page_id)."""
     rows = rows if rows is not None else table_rows(pages)
-    chosen = _chosen_tables(rows).where("is_result_table")
-    r = rows.join(chosen, ["page_id", "t_idx"]).where(~F.col("has_th") & result_row_predicate("cells"))
+    r = _table_choice(rows).where("is_result_table").where(~F.col("has_th") & result_row_predicate("cells"))
     cell = {name: strip_ws(F.get(F.col("cells"), i)) for i, name in RESULT_TABLE_POSITIONS.items()}
     dept, town = split_location(cell["ubicacion_ejecucion"])
     label, date = split_dated_label(cell["fecha_texto"])
@@ -190,19 +192,19 @@ def extract_generic_rows(pages: DataFrame, rows: DataFrame | None = None) -> Dat
     """Fallback for a chosen table of unknown layout -> map(column -> value).
 
     Headers come from the table's ``th`` cells (normalized), else ``col_i``;
-    rows are padded/truncated to the first data row's width; blank rows dropped."""
+    rows are padded/truncated to the first data row's width; blank rows
+    dropped. Windows run over one page's rows."""
     rows = rows if rows is not None else table_rows(pages)
-    chosen = _chosen_tables(rows).where(~F.col("is_result_table"))
-    r = rows.join(chosen, ["page_id", "t_idx"])
-    heads = (r.where("has_th").groupBy("page_id").agg(F.min(F.struct("r_idx", "cells")).alias("_h"))
-             .select("page_id", F.transform("_h.cells", lambda x: normalize_header(x)).alias("headers")))
-    data = r.where(~F.col("has_th") & (F.size("cells") > 0)) \
-        .where(F.exists("cells", lambda x: x != ""))
-    w = Window.partitionBy("page_id").orderBy("r_idx")
-    data = data.withColumn("_width", F.first(F.size("cells")).over(w.rowsBetween(Window.unboundedPreceding,
-                                                                                  Window.unboundedFollowing)))
-    d = data.join(heads, "page_id", "left")
-    names = F.when(F.size(F.coalesce("headers", F.array())) == F.col("_width"), F.col("headers")).otherwise(
+    r = _table_choice(rows).where(~F.col("is_result_table"))
+    page = Window.partitionBy("page_id")
+    first_head = F.min(F.when(F.col("has_th"), F.struct("r_idx", "cells"))).over(page)
+    data_row = ~F.col("has_th") & (F.size("cells") > 0) & F.exists("cells", lambda x: x != "")
+    first_data = F.min(F.when(data_row, F.struct("r_idx", F.size("cells").alias("w")))).over(page)
+    d = (r.withColumn("_h", first_head).withColumn("_f", first_data).where(data_row)
+         .withColumn("headers", F.transform(F.coalesce(F.col("_h.cells"), F.array().cast("array<string>")),
+                                            lambda x: normalize_header(x)))
+         .withColumn("_width", F.col("_f.w")))
+    names = F.when(F.size("headers") == F.col("_width"), F.col("headers")).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
     padded = F.transform(F.sequence(F.lit(0), F.col("_width") - 1),
                          lambda i: F.coalesce(F.get(F.col("cells"), i), F.lit("")))
@@ -232,33 +234,37 @@ def combine_pages(pages: DataFrame) -> DataFrame:
 def extract_detail_records(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """S7 (+J6, W6, S8): detail pages -> one 20-field record per page.
 
-    Label/value rows are mapped through the broadcast label table; the first
-    occurrence of a field wins; dates keep only the date part."""
+    Label/value rows are mapped through the broadcast label table; one
+    aggregate per page keeps the first occurrence of every field (``min_by``
+    over the row position) and the header text, so the parsed rows are read
+    once. Dates keep only the date part."""
     spark = pages.sparkSession
     rows = rows if rows is not None else table_rows(pages)
     labels = F.broadcast(spark.createDataFrame(list(DETAIL_LABELS.items()), "etiqueta string, campo string"))
-    pairs = rows.where((F.col("t_idx") >= 0) & (F.size("cells") >= 2)).select(
-        "page_id", "t_idx", "r_idx", normalize_label(F.get(F.col("cells"), 0)).alias("etiqueta"),
-        strip_ws(F.get(F.col("cells"), 1)).alias("valor"))
-    mapped = pairs.where((F.col("etiqueta") != "") & (F.col("valor") != "")).join(labels, "etiqueta")
-    mapped = mapped.withColumn("valor", F.when(F.col("campo").isin(*DATE_FIELDS), only_date("valor"))
-                               .otherwise(F.col("valor"))).where(F.col("valor") != "")
-    w = Window.partitionBy("page_id", "campo").orderBy("t_idx", "r_idx")
-    first = mapped.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    dept, town = split_location(F.col("valor"))
-    exploded = first.select("page_id", F.explode(
-        F.when(F.col("campo") == "_ubicacion",
-               F.array(F.struct(F.lit("departamento").alias("k"), dept.alias("v")),
-                       F.struct(F.lit("municipio").alias("k"), town.alias("v"))))
-        .otherwise(F.array(F.struct(F.col("campo").alias("k"), F.col("valor").alias("v"))))).alias("_kv"))
-    fields = [c for c in DETAIL_COLUMNS if c not in ("numero_proceso", "entidad", "id_proceso", "url_detalle")]
-    wide = exploded.groupBy("page_id").pivot("_kv.k", fields).agg(F.first("_kv.v"))
-    head = rows.where(F.col("t_idx") == -1).select(
-        "page_id", "url", header_number("page_text").alias("numero_proceso"),
-        header_entity("page_text").alias("entidad"))
-    rec = head.join(wide, "page_id", "left")
-    cols = {c: F.coalesce(F.col(c), F.lit("")) for c in fields}
-    rec = rec.withColumns(cols).withColumn("id_proceso", id_from_url("url")).withColumn("url_detalle", F.col("url"))
+    pair = (F.col("t_idx") >= 0) & (F.size("cells") >= 2)
+    r = rows.select("page_id", "url", "t_idx", "r_idx", "page_text",
+                    F.when(pair, normalize_label(F.get(F.col("cells"), 0))).alias("etiqueta"),
+                    F.when(pair, strip_ws(F.get(F.col("cells"), 1))).alias("valor"))
+    r = r.join(labels, "etiqueta", "left")
+    r = r.withColumn("valor", F.when(F.col("campo").isin(*DATE_FIELDS), only_date("valor")).otherwise(F.col("valor")))
+    usable = F.col("campo").isNotNull() & (F.col("etiqueta") != "") & F.coalesce(F.col("valor") != "", F.lit(False))
+    pos = F.struct("t_idx", "r_idx")
+    fields = sorted({v for v in DETAIL_LABELS.values()})
+    aggs = [F.max(F.when(F.col("t_idx") == -1, F.col("page_text"))).alias("_text"), F.max("url").alias("url")]
+    for f in fields:
+        hit = usable & (F.col("campo") == f)
+        aggs.append(F.min_by(F.when(hit, F.col("valor")), F.when(hit, pos)).alias(f"_f_{f}"))
+    per_page = r.groupBy("page_id").agg(*aggs)
+    dept, town = split_location(F.col("_f__ubicacion"))
+    cols = {c: F.coalesce(F.col(f"_f_{c}"), F.lit("")) for c in fields if c != "_ubicacion"}
+    rec = per_page.withColumns(cols).withColumns({
+        "departamento": F.coalesce(F.when(F.col("_f__ubicacion").isNotNull(), dept), F.lit("")),
+        "municipio": F.coalesce(F.when(F.col("_f__ubicacion").isNotNull(), town), F.lit("")),
+        "numero_proceso": header_number("_text"), "entidad": header_entity("_text"),
+        "id_proceso": id_from_url("url"), "url_detalle": F.col("url")})
+    for c in DETAIL_COLUMNS:
+        if c not in rec.columns:
+            rec = rec.withColumn(c, F.lit(""))
     # Keep records that have a process number or an object.
     rec = rec.where((F.col("numero_proceso") != "") | (F.col("objeto_contrato") != ""))
     return rec.select("page_id", *DETAIL_COLUMNS)
