@@ -21,6 +21,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PLIEGO_DRIVER_MEMORY", "16g"))
     )
     if master:
