@@ -45,8 +45,9 @@ def _category(col: str):
 
 
 def distribution(df: DataFrame, column: str, top: int = 10, value: str = VALUE) -> DataFrame:
-    """A1: per category (null -> 'No informado'): contracts, value sum, share of
-    the total over *all* categories; descending by sum, ties by name; top N.
+    """A1 (+W3 share of total, L1 sort, L2 top-N head): per category (null ->
+    'No informado'): contracts, value sum, share of the total over *all*
+    categories; descending by sum, ties by name; top N.
 
     An all-null (or missing) column gives an empty result (Q2)."""
     if column not in df.columns:

@@ -36,3 +36,26 @@ def q_upsert_id(spark, sf):
 SELECT time_bucket(INTERVAL '1 day', ts) AS inicio, count(*) AS n, max(ts) AS mas_reciente FROM events GROUP BY 1""")
 def q_fresh_windows(spark, sf):
     return freshness_windows(table(spark, sf, "events"), "ts")
+
+
+@register("upsert_stream_last_event_per_user", """
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_upsert_stream(spark, sf):
+    """The events land as three files (by day of month); a file-source
+    stream merges them batch by batch with ``foreachBatch``; the result must
+    equal the batch keep-last."""
+    import uuid
+
+    from pliego.session import scratch_path
+    from pliego.streaming.incremental import read_base, upsert_base_stream
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    day = F.dayofmonth("ts")
+    for i, (lo, hi) in enumerate([(1, 10), (11, 20), (21, 31)]):
+        ev.where(day.between(lo, hi)).write.parquet(f"{root}/landing/part{i}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{root}/landing/*"))
+    q = upsert_base_stream(stream, f"{root}/base", ["user_id"], ["ts", "event_id"], f"{root}/checkpoint")
+    q.awaitTermination()
+    return read_base(spark, f"{root}/base").drop("_lote")
