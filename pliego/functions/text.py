@@ -9,7 +9,7 @@ __all__ = [
     "WS", "ACCENTED", "UNACCENTED", "normalize_string", "fold", "fold_collapse",
     "normalize_label", "normalize_header", "split_location", "split_dated_label",
     "only_date", "process_id", "detail_url", "id_from_url", "header_number",
-    "header_entity", "has_content", "strip_ws", "collapse_ws",
+    "header_entity", "has_content", "strip_ws", "collapse_ws", "normalizes_to_blank",
 ]
 
 # ---- fixed values (must equal the reference's) -------------------------------
@@ -66,6 +66,20 @@ def normalize_string(col) -> Column:
     return strip_ws(s)
 
 
+# Characters normalize_string removes entirely: whitespace and control
+# characters, except the mis-decoded punctuation that becomes visible text.
+_VANISHING = "".join(sorted((set(WS_CHARS) | set(CONTROL_STRING))
+                            - (set(CP1252_FROM) - {"\xa0"}) - {CP1252_ELLIPSIS}))
+
+
+def normalizes_to_blank(col) -> Column:
+    """True when ``normalize_string(col)`` would be '' — decided on the raw
+    text with one ``translate`` (no regex), so a filter on it can run before
+    the normalization without repeating it."""
+    c = _c(col).cast("string")
+    return c.isNull() | (F.length(F.translate(c, _VANISHING, "")) == 0)
+
+
 def fold(col) -> Column:
     """Fixed accent table, then lower case."""
     return F.lower(F.translate(_c(col), ACCENTED, UNACCENTED))

@@ -63,3 +63,11 @@ def test_clean_pipeline_types(spark):
     assert len(rows) == 2
     assert rows[0].cuantia == 255000000.0 and rows[0].fecha_apertura.month == 3
     assert rows[1].cuantia is None and rows[1].fecha_apertura.day == 10
+
+
+def test_blank_test_on_raw_equals_normalized(spark):
+    from pliego.functions.text import normalize_string, normalizes_to_blank
+    samples = ["", " ", "\xa0", "\x85", "\x82", "\x01\x02", "\t\n", "　", "a", " \x96 ", None, "\x7f", "\x99"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    for r in df.select((normalize_string("s") == "").alias("a"), normalizes_to_blank("s").alias("b")).collect():
+        assert r.a == r.b
