@@ -270,3 +270,33 @@ def q_study_per_region(spark, sf):
                  "interpretacion")
     return rounded(m, {c: R4 for c in ["media", "mediana", "desviacion", "coef_variacion", "q1", "q3",
                                        "media_ajustada", "mediana_ajustada", "precio_referencia"]})
+
+
+# ---- null paths (nullif written the same way on both sides) -------------------
+
+@register("distribution_null_category", f"""{CV},
+n AS (SELECT nullif(modalidad_de_contratacion, '1-URGENT') AS m, valor_del_contrato FROM cv),
+g AS (SELECT coalesce(m, 'No informado') AS categoria, count(*) AS contratos,
+             coalesce(sum(valor_del_contrato), 0.0) AS valor_total FROM n GROUP BY 1),
+t AS (SELECT sum(valor_total) AS tot FROM g)
+SELECT categoria, contratos, round(valor_total, 2) AS valor_total,
+       round(CASE WHEN tot <> 0 THEN valor_total / tot * 100.0 ELSE 0.0 END, 4) AS pct_valor
+FROM g, t ORDER BY g.valor_total DESC, categoria LIMIT 10""")
+def q_distribution_nulls(spark, sf):
+    cv = contract_view(spark, sf).withColumn(
+        "modalidad_de_contratacion", F.nullif(F.col("modalidad_de_contratacion"), F.lit("1-URGENT")))
+    d = study.distribution(cv, "modalidad_de_contratacion", 10)
+    return rounded(d, {"valor_total": R2, "pct_valor": R4})
+
+
+_NULLED_EVENTS = """SELECT event_type, CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 11 = 0 THEN -value
+  ELSE value END AS v FROM events"""
+
+
+@register("describe_values_null_paths", f"WITH {_desc_sql(_NULLED_EVENTS, ['event_type'])}\n{_desc_select(['event_type'])}")
+def q_describe_nulls(spark, sf):
+    ev = table(spark, sf, "events")
+    v = (F.when(F.col("user_id") % 7 == 0, F.lit(None).cast("double"))
+         .when(F.col("user_id") % 11 == 0, -F.col("value")).otherwise(F.col("value")))
+    d = study.describe_values(ev.select("event_type", v.alias("value")), "value", ["event_type"])
+    return rounded(d, _DESC_ROUND)
