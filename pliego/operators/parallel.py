@@ -13,6 +13,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     this is a no-op, so no shuffle is added. Round-robin repartitioning sorts
     rows first (``spark.sql.execution.sortBeforeRepartition``), so a retried
     task sees the same rows."""
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

@@ -26,13 +26,19 @@ def scan_csv_text(spark: SparkSession, path: str, na_values: list[str] | None =
 
 
 def latest_snapshot(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
-    """Rows of the newest file in a folder (by modification time)."""
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"') \
-        if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(folder).select("*", F.col("_metadata.file_modification_time").alias("_mtime"),
-                                                F.col("_metadata.file_path").alias("_file"))
-    newest = df.agg(F.max(F.struct("_mtime", "_file")).alias("_m")).select("_m._file")
-    return df.join(F.broadcast(newest), "_file").drop("_mtime", "_file")
+    """Rows of the newest file in a folder (by modification time).
+
+    The folder is listed through the ``binaryFile`` source without selecting
+    its content column, so only file metadata is read; one row (the newest
+    path) reaches the driver, and only that file is scanned."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+               .select("path", "modificationTime"))
+    newest = listing.orderBy(F.desc("modificationTime"), F.desc("path")).select("path").first()
+    if newest is None:
+        return spark.createDataFrame([], T.StructType([]))
+    if fmt == "csv":
+        return scan_csv_text(spark, newest["path"])
+    return spark.read.format(fmt).load(newest["path"])
 
 
 def scan_base(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
