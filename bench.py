@@ -38,7 +38,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="pliego-bench")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), app_name="pliego-bench")
     registry.load_all()
     # Warm-up (not timed): JIT, Python workers and the codegen cache, by
     # running every headline query once on the smallest tables.
