@@ -76,7 +76,10 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
 
     The input is persisted once (memory, spilling to disk) because every
     section reads it; a lost executor recomputes its blocks from lineage."""
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    from pliego.operators.parallel import spread
+    # The cached input is read by every section: spread it over the task
+    # slots first (a no-op when the scan already has enough partitions).
+    src = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     date_col = S.pick_date_column(src)
     ranked = S.ranked_positive(src, value)
     market = S.market_stats(src, value, ranked=ranked).persist()
