@@ -19,6 +19,11 @@ executor. Here the work is split instead:
    and highest rank ranges, and moments are weighted sums.
 
 Only a handful of rows per group reach the final aggregates.
+
+Steps 2-4 are only needed for big groups: one small aggregate measures the
+largest group (distinct values) and, when it is within
+``spark.pliego.rankWindowMaxRows`` (2 million by default), a single window per
+group assigns the same rank intervals without slicing or checkpointing.
 """
 
 from __future__ import annotations
@@ -40,17 +45,46 @@ def value_counts_by_group(df: DataFrame, value: str, keys: Sequence[str]) -> Dat
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
 
 
+# Largest number of distinct values one group may have for the single-window
+# ranking; bigger groups take the range-sliced path.
+WINDOW_MAX_ROWS_CONF = "spark.pliego.rankWindowMaxRows"
+WINDOW_MAX_ROWS_DEFAULT = 2_000_000
+
+
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), partitions: int | None = None,
-                  counted: DataFrame | None = None) -> DataFrame:
+                  counted: DataFrame | None = None, window_max_rows: int | None = None) -> DataFrame:
     """(keys..., value, _c, _s, _e, _n): each distinct value with its copies,
     its rank interval ``[_s, _e)`` inside the group and the group size ``_n``.
 
-    The result is persisted (memory, spilling to disk); it is recomputed
-    deterministically from the checkpointed slices if a block is lost."""
+    One small aggregate measures the largest group (distinct values). When
+    it is within ``window_max_rows`` a plain window ranks each group in one
+    task; beyond it the range-sliced path below spreads every group over
+    many tasks. The result is persisted (memory, spilling to disk)."""
     keys = list(keys)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = counted if counted is not None else value_counts_by_group(df, value, keys)
+    limit = window_max_rows if window_max_rows is not None else int(
+        spark.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    largest = vc.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= limit:
+        by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        end = F.sum("_c").over(by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = (vc.select(*keys, value, "_c", end.alias("_e"), F.sum("_c").over(by_group).alias("_n"))
+                  .select(*keys, value, "_c", (F.col("_e") - F.col("_c")).alias("_s"), "_e", "_n")
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+    else:
+        ranked = _ranked_by_slices(vc, value, keys, parts)
+    ranked.count()          # materialize, then release the intermediate
+    vc.unpersist()
+    return ranked
+
+
+def _ranked_by_slices(vc: DataFrame, value: str, keys: list[str], parts: int) -> DataFrame:
+    """The scalable path: range slices frozen by a checkpoint, slice offsets,
+    running counts inside each slice."""
+    spark = vc.sparkSession
     ensure_checkpoint_dir(spark)
     ranged = (vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
               .checkpoint(eager=True))
