@@ -81,8 +81,8 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
     # slots first (a no-op when the scan already has enough partitions).
     src = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     date_col = S.pick_date_column(src)
-    ranked = S.ranked_positive(src, value)
-    market = S.market_stats(src, value, ranked=ranked).persist()
+    tables = S.price_tables(src, value)
+    market = S.market_stats(src, value, tables=tables).persist()
     sections: dict[str, DataFrame] = {
         "demanda_totales": S.demand_totals(src, value),
         "demanda_distribuciones": S.demand_distributions(src, value=value),
@@ -90,7 +90,7 @@ def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str
         "proveedores": S.supplier_distribution(src, value=value),
         "concentracion": S.concentration(src, value=value),
         "mercado": market,
-        "atipicos_mayores": S.top_outliers(src, value, ranked=ranked),
+        "atipicos_mayores": S.top_outliers(src, value, tables=tables),
         "anexo": annex(src, value=value),
         "conclusiones": conclusions(src, value, market=market),
     }

@@ -245,14 +245,21 @@ def _stats_columns(keys: list[str]) -> list:
             (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior")]
 
 
-def _price_tables(df: DataFrame, value: str, by: Sequence[str],
-                  ranked: tuple[DataFrame, list[str]] | None) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def price_tables(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
+                 ranked: tuple[DataFrame, list[str]] | None = None) -> tuple:
+    """The ranked table and the two per-group passes (one row per group each,
+    persisted), to share between several price sections."""
     r, keys = ranked if ranked is not None else ranked_positive(df, value, by)
-    first = _first_pass(r, keys)
-    second = _second_pass(r, keys, first)
+    first = _first_pass(r, keys).persist()
+    second = _second_pass(r, keys, first).persist()
     return r, first, second, keys
 
 
+def _price_tables(df: DataFrame, value: str, by: Sequence[str],
+                  ranked: tuple[DataFrame, list[str]] | None, tables: tuple | None = None) -> tuple:
+    return tables if tables is not None else price_tables(df, value, by, ranked)
+
+
 def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
                     ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
     """N, mean, median, mode, min, max, range, sum, var, std, CV%, quartiles,
@@ -312,9 +319,9 @@ def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
 
 def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
                  stats: DataFrame | None = None,
-                 ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+                 ranked: tuple[DataFrame, list[str]] | None = None, tables: tuple | None = None) -> DataFrame:
     """The five largest outlier values (duplicates kept), ranked."""
-    r, first, second, keys = _price_tables(df, value, by, ranked)
+    r, first, second, keys = _price_tables(df, value, by, ranked, tables)
     third = _third_pass(r, keys, second, top=top, median=False)
     out = third.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(t + 1).cast("long").alias("posicion"), _interp(f"top{t}").alias("valor"))
@@ -333,10 +340,10 @@ def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
 
 
 def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                 ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+                 ranked: tuple[DataFrame, list[str]] | None = None, tables: tuple | None = None) -> DataFrame:
     """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section):
     the ranked table plus three aggregates."""
-    r, first, second, keys = _price_tables(df, value, by, ranked)
+    r, first, second, keys = _price_tables(df, value, by, ranked, tables)
     third = _third_pass(r, keys, second)
     kn = F.col("_kn")
     adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
