@@ -65,3 +65,9 @@ def q_detail(spark, sf):
 SELECT page_id, CAST(NULL AS BIGINT) AS total_resultados FROM pages""")
 def q_totals_landed(spark, sf):
     return H.result_totals(table(spark, sf, "pages"))
+
+
+@register("page_errors_landed_pages", """
+SELECT 'no table' AS error, count(*) AS paginas FROM pages WHERE NOT regexp_matches(html, '(?i)<table\\b')""")
+def q_page_errors_landed(spark, sf):
+    return H.page_errors(H.table_rows(table(spark, sf, "pages")))
