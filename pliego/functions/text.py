@@ -62,7 +62,10 @@ def normalize_string(col) -> Column:
     # "[\n\r\t]+ -> ' '" followed by "\s{2,} -> ' '" equals one pass that
     # turns every whitespace run of length >= 2, and every single newline or
     # tab, into one space.
-    s = F.regexp_replace(s, f"{WS}{{2,}}|[\n\r\t]", " ")
+    # Only text holding a double space or any other whitespace character can
+    # change; the check is two cheap scans, the regex runs only when needed.
+    needs = s.contains("  ") | (F.length(F.translate(s, _WS_NOT_SPACE, "")) != F.length(s))
+    s = F.when(needs, F.regexp_replace(s, f"{WS}{{2,}}|[\n\r\t]", " ")).otherwise(s)
     return strip_ws(s)
 
 
@@ -80,6 +83,9 @@ def normalizes_to_blank(col) -> Column:
     return c.isNull() | (F.length(F.translate(c, _VANISHING, "")) == 0)
 
 
+_WS_NOT_SPACE = WS_CHARS.replace(" ", "")
+
+
 def fold(col) -> Column:
     """Fixed accent table, then lower case."""
     return F.lower(F.translate(_c(col), ACCENTED, UNACCENTED))
