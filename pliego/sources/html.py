@@ -10,6 +10,7 @@ mapping, first-value-wins and pivot — is DataFrame work.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -60,6 +61,14 @@ DETAIL_LABELS = {
 DATE_FIELDS = ("fecha_apertura", "fecha_cierre", "fecha_adjudicacion")
 # -----------------------------------------------------------------------------
 
+# The parser below runs in Python workers. Pickling this module by value ships
+# its code with each task, so executors need nothing but pandas installed.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: the package must be importable on workers
+    pass
+
 ROWS_SCHEMA = ("page_id long, url string, t_idx int, t_class string, t_rows int, t_first string, "
                "r_idx int, has_th boolean, cells array<string>, links array<string>, page_text string, "
                "error string")
