@@ -146,35 +146,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return n.join(q, keys).select(*keys, "_n", *names)
 
 
-def exact_mode(ranked: DataFrame, value: str, keys: Sequence[str] = (), name: str = "moda") -> DataFrame:
-    """Most frequent value per group; ties -> the smallest value (Q6).
-
-    ``min_by`` keeps one candidate per partial buffer, so the per-group merge
-    is O(1) whatever the group size."""
-    return ranked.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("_c"), F.col(value))).alias(name))
-
-
-def weighted_moments(ranked: DataFrame, value: str, keys: Sequence[str], weight: Column | None = None,
-                     prefix: str = "") -> DataFrame:
-    """n, sum, min, max, mean, sample variance/std over the weighted values
-    (weight defaults to the copies ``_c``); two-pass variance."""
-    keys = list(keys)
-    w = weight if weight is not None else F.col("_c")
-    r = ranked.withColumn("_w", w.cast("double"))
-    first = r.groupBy(*keys).agg(
-        F.sum("_w").alias("_wn"), F.sum(F.col("_w") * F.col(value)).alias("_ws"),
-        F.min(F.when(F.col("_w") > 0, F.col(value))).alias(f"{prefix}min"),
-        F.max(F.when(F.col("_w") > 0, F.col(value))).alias(f"{prefix}max"))
-    first = first.withColumn("_mean", F.when(F.col("_wn") > 0, F.col("_ws") / F.col("_wn")))
-    second = (r.join(first.select(*keys, "_mean"), keys)
-              .groupBy(*keys).agg(F.sum(F.col("_w") * (F.col(value) - F.col("_mean")) ** 2).alias("_ss")))
-    var = F.when(F.col("_wn") > 1, F.col("_ss") / (F.col("_wn") - 1)).when(F.col("_wn") > 0, F.lit(0.0))
-    return first.join(second, keys).select(
-        *keys, F.col("_wn").cast("long").alias(f"{prefix}n"),
-        F.when(F.col("_wn") > 0, F.col("_ws")).alias(f"{prefix}sum"), f"{prefix}min", f"{prefix}max",
-        F.col("_mean").alias(f"{prefix}mean"), var.alias(f"{prefix}var"), F.sqrt(var).alias(f"{prefix}std"))
-
-
 def with_all_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Give an ungrouped computation a constant key so one code path serves both."""
     if keys:

@@ -17,8 +17,7 @@ from pliego.functions.dates import month_name, month_of, year_of
 from pliego.functions.links import cv_percent, dispersion_reading as _reading
 from pliego.functions.money import to_numeric
 from pliego.functions.text import strip_ws
-from pliego.operators.quantiles import (
-    ALL_KEY, drop_all_key, exact_mode, exact_quantiles, ranked_values, values_at, weighted_moments, with_all_key)
+from pliego.operators.quantiles import drop_all_key, ranked_values, with_all_key
 
 # ---- fixed values -------------------------------------------------------------
 VALUE = "valor_del_contrato"
