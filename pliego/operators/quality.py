@@ -129,3 +129,37 @@ def check_row(df: DataFrame, name: str, failed: Column, message: Column, level_o
     return df.select(F.lit(name).alias("comprobacion"),
                      F.when(failed, F.lit(level_on_fail)).otherwise(F.lit("ok")).alias("nivel"),
                      message.cast("string").alias("mensaje"))
+
+
+def standard_health_check(df: DataFrame, catalogs: dict, as_of: _dt.date, date_col: str,
+                          alias: tuple[str, str] | None = None) -> DataFrame:
+    """The source-health report as (comprobacion, nivel, mensaje) rows.
+
+    * freshness of ``date_col`` at ``as_of`` (warning when old);
+    * per catalog (column -> options): API values missing from the data
+      (failure: filtering by them returns nothing) and data values the
+      catalog lacks (warning);
+    * regression: ``alias = (column, label)`` must still translate to a value
+      that finds rows (failure otherwise).
+    Every check is one small aggregate; nothing is collected."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from pliego.operators.filters import resolve_option
+    from pliego.operators.lookup import catalog_orphans, catalog_unknowns
+    checks = []
+    fr = freshness(df, date_col, as_of)
+    checks.append(check_row(fr, "frescura", F.col("estado") == "aviso", F.col("dias"), "aviso"))
+    for column, options in catalogs.items():
+        orph = catalog_orphans(df, column, options).agg(F.count(F.lit(1)).alias("n"))
+        checks.append(check_row(orph, f"catalogo_huerfanos:{column}", F.col("n") > 0, F.col("n")))
+        unk = catalog_unknowns(df, column, options).agg(F.count(F.lit(1)).alias("n"))
+        checks.append(check_row(unk, f"catalogo_desconocidos:{column}", F.col("n") > 0, F.col("n"), "aviso"))
+    if alias is not None:
+        column, label = alias
+        opt = resolve_option(catalogs[column], label)
+        values = list(opt.all_api_values) if opt is not None else []
+        hits = df.agg(F.count_if(F.col(column).isin(values) if values else F.lit(False)).alias("n"))
+        checks.append(check_row(hits, f"regresion:{label}", F.col("n") == 0, F.col("n")))
+    return reduce(lambda a, b: a.unionByName(b), checks)

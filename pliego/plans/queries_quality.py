@@ -58,3 +58,31 @@ def q_health(spark, sf):
         quality.check_row(mono, "conteo_monotono", ~F.col("ok"), F.col("con_filtro")),
         quality.check_row(app, "filtro_estado", ~F.col("aplicado"), F.col("fuera")),
     ])
+
+
+def _health_sql() -> str:
+    from pliego import catalogs as K
+    from pliego.plans.queries_search import _values_sql
+    cats = {"departamento": K.DEPARTMENTS, "modalidad_de_contratacion": K.MODALITIES,
+            "tipo_de_contrato": K.CONTRACT_TYPES, "estado_contrato": K.STATES}
+    parts = ["""SELECT 'frescura' AS comprobacion, CASE WHEN dias > 30 THEN 'aviso' ELSE 'ok' END AS nivel,
+  CAST(dias AS VARCHAR) AS mensaje FROM (SELECT CAST(floor((epoch(TIMESTAMP '2024-02-15') -
+  epoch(max(fecha_de_inicio_del_contrato))) / 86400) AS BIGINT) AS dias FROM cv)"""]
+    for col, opts in cats.items():
+        cat = f"(SELECT DISTINCT unnest(valores_api) AS valor FROM {_values_sql(opts)})"
+        parts.append(f"""SELECT 'catalogo_huerfanos:{col}', CASE WHEN n > 0 THEN 'fallo' ELSE 'ok' END, CAST(n AS VARCHAR)
+  FROM (SELECT count(*) AS n FROM {cat} c WHERE c.valor NOT IN (SELECT {col} FROM cv WHERE {col} IS NOT NULL))""")
+        parts.append(f"""SELECT 'catalogo_desconocidos:{col}', CASE WHEN n > 0 THEN 'aviso' ELSE 'ok' END, CAST(n AS VARCHAR)
+  FROM (SELECT count(DISTINCT {col}) AS n FROM cv WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT valor FROM {cat}))""")
+    parts.append("""SELECT 'regresion:Bogotá D.C.', CASE WHEN n = 0 THEN 'fallo' ELSE 'ok' END, CAST(n AS VARCHAR)
+  FROM (SELECT count_if(departamento = 'Distrito Capital de Bogotá') AS n FROM cv)""")
+    return CV + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("health_check_catalogs", _health_sql())
+def q_health_catalogs(spark, sf):
+    from pliego import catalogs as K
+    cats = {"departamento": K.DEPARTMENTS, "modalidad_de_contratacion": K.MODALITIES,
+            "tipo_de_contrato": K.CONTRACT_TYPES, "estado_contrato": K.STATES}
+    return quality.standard_health_check(contract_view(spark, sf), cats, AS_OF, "fecha_de_inicio_del_contrato",
+                                         alias=("departamento", "Bogotá D.C."))
