@@ -24,7 +24,7 @@ def q_freshness(spark, sf):
 
 
 @register("filter_applied_check", f"""{CV}
-SELECT count(*) AS filas, count_if(modalidad_de_contratacion NOT IN ('1-URGENT', '2-HIGH')) AS fuera,
+SELECT count(*) AS filas, CAST(count_if(modalidad_de_contratacion NOT IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS fuera,
   CAST(count(DISTINCT modalidad_de_contratacion) AS BIGINT) AS distintos,
   count_if(modalidad_de_contratacion NOT IN ('1-URGENT', '2-HIGH')) = 0 AS aplicado
 FROM cv WHERE modalidad_de_contratacion = '1-URGENT'""")
@@ -34,7 +34,7 @@ def q_filter_applied(spark, sf):
 
 
 @register("count_monotonic_check", f"""{CV}
-SELECT count(*) AS sin_filtro, count_if(departamento = 'EUROPE') AS con_filtro,
+SELECT count(*) AS sin_filtro, CAST(count_if(departamento = 'EUROPE') AS BIGINT) AS con_filtro,
   count_if(departamento = 'EUROPE') < count(*) AS ok FROM cv""")
 def q_monotonic(spark, sf):
     return quality.count_monotonic_check(contract_view(spark, sf), F.col("departamento") == "EUROPE")

@@ -115,7 +115,7 @@ def q_drop_empty(spark, sf):
 
 
 @register("has_content_documents", """
-SELECT count_if(doc_id % 10 <> 0) AS con_contenido, count_if(doc_id % 10 = 0) AS sin_contenido FROM documents""")
+SELECT CAST(count_if(doc_id % 10 <> 0) AS BIGINT) AS con_contenido, CAST(count_if(doc_id % 10 = 0) AS BIGINT) AS sin_contenido FROM documents""")
 def q_has_content(spark, sf):
     d = _blank_docs(spark, sf)
     return d.agg(F.count_if(FL.content_predicate("lang")).alias("con_contenido"),

@@ -194,7 +194,7 @@ f AS (SELECT {kb}b.v, (b.v < st.limite_inferior OR b.v > st.limite_superior) AS
 
 
 @register("outliers_events", f"""WITH {_flag_sql(_EVENTS_SRC, ['event_type'])}
-SELECT event_type, count_if(out) AS n_atipicos, round(count_if(out) / count(*) * 100.0, 4) AS pct_atipicos
+SELECT event_type, CAST(count_if(out) AS BIGINT) AS n_atipicos, round(count_if(out) / count(*) * 100.0, 4) AS pct_atipicos
 FROM f GROUP BY event_type""")
 def q_outliers(spark, sf):
     return rounded(study.outliers(table(spark, sf, "events"), "value", ["event_type"]), {"pct_atipicos": R4})
@@ -254,7 +254,7 @@ def q_dispersion(spark, sf):
 
 
 @register("study_per_region", f"""{CV}, {_flag_sql("SELECT departamento, valor_del_contrato AS v FROM cv", ['departamento'])},
-{_adj_sql(['departamento'])}, o AS (SELECT departamento, count_if(out) AS n_atipicos FROM f GROUP BY 1)
+{_adj_sql(['departamento'])}, o AS (SELECT departamento, CAST(count_if(out) AS BIGINT) AS n_atipicos FROM f GROUP BY 1)
 SELECT st.departamento, st.n, round(st.media, 4) AS media, round(st.q2, 4) AS mediana,
   round(st.desviacion, 4) AS desviacion, round(st.coef_variacion, 4) AS coef_variacion,
   round(st.q1, 4) AS q1, round(st.q3, 4) AS q3, o.n_atipicos, a.n_ajustado,

@@ -51,7 +51,7 @@ SELECT doc_id, md5({_normalize_sql('text')}) AS texto_md5, length({_normalize_sq
 FROM documents""")
 def q_normalize_documents(spark, sf):
     d = cleaning.normalize_strings(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.md5("text").alias("texto_md5"), F.length("text").alias("longitud"))
+    return d.select("doc_id", F.md5("text").alias("texto_md5"), F.length("text").cast("long").alias("longitud"))
 
 
 @register("fold_documents", f"""
@@ -116,8 +116,8 @@ def q_clean_results(spark, sf):
 
 
 @register("conversion_failures", f"""WITH r AS ({RAW_RESULTS_SQL})
-SELECT 'cuantia' AS columna, count_if(k % 4 = 3) AS fallidos FROM r
-UNION ALL SELECT 'fecha_apertura', 0 FROM r LIMIT 2""")
+SELECT 'cuantia' AS columna, CAST(count_if(k % 4 = 3) AS BIGINT) AS fallidos FROM r
+UNION ALL SELECT 'fecha_apertura', CAST(0 AS BIGINT) FROM r LIMIT 2""")
 def q_conversion_failures(spark, sf):
     raw = cleaning.normalize_strings(raw_results(spark, sf))
     return cleaning.conversion_failures(raw).where(F.col("columna").isin("cuantia", "fecha_apertura"))
