@@ -30,10 +30,18 @@ def test_entry_runs(spark):
     assert df.count() >= 0 and "precio_referencia" in df.columns
 
 
+SPARK_TO_DUCKDB = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
+    rel = con.sql(SQL[name])
+    types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString()) == types.get(f.name), f.name
     res = con.execute(SQL[name])
     ocols, orows = [d[0] for d in res.description], res.fetchall()
     assert sorted(cols) == sorted(ocols)
