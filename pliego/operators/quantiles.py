@@ -146,6 +146,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return n.join(q, keys).select(*keys, "_n", *names)
 
 
+def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
+                     names: Sequence[str] | None = None, accuracy: int = 10000) -> DataFrame:
+    """Opt-in approximate quantiles (Q7): one aggregate with a bounded sketch
+    per group (``percentile_approx``); rank error at most ``n / accuracy``.
+    Values are observed values, not interpolated."""
+    names = list(names or [f"q_{i}" for i in range(len(probs))])
+    q = F.percentile_approx(F.col(value), [float(p) for p in probs], accuracy)
+    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("_q"), F.count(F.lit(1)).alias("_n"))
+    return out.select(*keys, "_n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def with_all_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Give an ungrouped computation a constant key so one code path serves both."""
     if keys:

@@ -71,3 +71,17 @@ def test_ungrouped(spark, skewed):
     pdf, df = skewed
     d = S.describe_values(df, "v").first()
     assert d["n"] == len(pdf) and np.isclose(d["p90"], pdf["v"].quantile(0.9))
+
+
+def test_approx_quantiles_within_rank_error(spark, skewed):
+    from pliego.operators.quantiles import approx_quantiles
+    pdf, df = skewed
+    got = approx_quantiles(df, "v", [0.25, 0.5, 0.75], ["g"], accuracy=10000).toPandas().set_index("g")
+    for g, grp in pdf.groupby("g"):
+        s = np.sort(grp["v"].to_numpy())
+        n = len(s)
+        for i, p in enumerate([0.25, 0.5, 0.75]):
+            v = got.loc[g, f"q_{i}"]
+            rank_lo, rank_hi = np.searchsorted(s, v, "left"), np.searchsorted(s, v, "right")
+            target = p * n
+            assert rank_lo - n / 10000 - 1 <= target <= rank_hi + n / 10000 + 1
