@@ -52,21 +52,20 @@ def distribution(df: DataFrame, column: str, top: int = 10, value: str = VALUE)
     if column not in df.columns:
         return df.sparkSession.createDataFrame(
             [], "categoria string, contratos bigint, valor_total double, pct_valor double")
-    agg = (df.groupBy(_category(column).alias("categoria"))
-           .agg(F.count(F.lit(1)).alias("contratos"),
-                F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total"),
-                F.count(F.col(column)).alias("_present")))
-    tops = agg.orderBy(F.desc("valor_total"), F.asc("categoria")).limit(top).withColumn("_k", F.lit(0))
-    # Same aggregate columns in both branches, so Spark reuses one exchange.
-    total = agg.agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_present_all"),
-                    F.sum("contratos").alias("_rows"))
-    # tops has <= N rows and total one: a window over their union stays bounded.
-    both = tops.unionByName(total.withColumn("_k", F.lit(1)).drop("_rows"), allowMissingColumns=True)
-    w = Window.partitionBy()
-    both = both.withColumn("_tot_all", F.max("_tot").over(w)).withColumn("_pres", F.max("_present_all").over(w))
-    return (both.where((F.col("_k") == 0) & (F.col("_pres") > 0))
+    # One aggregate yields the category rows and (rollup) the grand-total row;
+    # one top-(N+1) cut puts the total row first, so the input is read once.
+    agg = (df.select(_category(column).alias("categoria"), to_numeric(value).alias("_v"),
+                     F.col(column).isNotNull().cast("long").alias("_p"))
+           .rollup("categoria")
+           .agg(F.count(F.lit(1)).alias("contratos"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("valor_total"),
+                F.sum("_p").alias("_present"), F.grouping_id().alias("_g")))
+    cut = agg.orderBy(F.desc("_g"), F.desc("valor_total"), F.asc("categoria")).limit(top + 1)
+    w = Window.partitionBy()      # over <= N+1 rows
+    cut = (cut.withColumn("_tot", F.max(F.when(F.col("_g") == 1, F.col("valor_total"))).over(w))
+           .withColumn("_pres", F.max(F.when(F.col("_g") == 1, F.col("_present"))).over(w)))
+    return (cut.where((F.col("_g") == 0) & (F.col("_pres") > 0))
             .select("categoria", "contratos", "valor_total",
-                    F.when(F.col("_tot_all") != 0, F.col("valor_total") / F.col("_tot_all") * 100.0)
+                    F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
                     .otherwise(F.lit(0.0)).alias("pct_valor")))
 
 
@@ -82,18 +81,23 @@ def demand_distributions(df: DataFrame, dims: Sequence[tuple[str, int]] = DEMAND
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), _category(c).alias("categoria"),
                                F.col(c).isNotNull().cast("long").alias("present"),
                                F.lit(n).alias("top")) for c, n in dims])
-    stacked = df.select(*seg, to_numeric(value).alias("_v"), F.explode(pairs).alias("_d"))
-    agg = (stacked.groupBy(*seg, F.col("_d.dimension").alias("dimension"),
-                           F.col("_d.categoria").alias("categoria"))
-           .agg(F.count(F.lit(1)).alias("contratos"),
-                F.coalesce(F.sum("_v"), F.lit(0.0)).alias("valor_total"),
-                F.sum("_d.present").alias("_present"), F.max("_d.top").alias("_top")))
-    totals = agg.groupBy(*seg, "dimension").agg(F.sum("valor_total").alias("_tot"),
-                                                F.sum("_present").alias("_pres"))
-    w = Window.partitionBy(*seg, "dimension").orderBy(F.desc("valor_total"), F.asc("categoria"))
-    ranked = agg.withColumn("posicion", F.row_number().over(w)).where(F.col("posicion") <= F.col("_top"))
-    ranked = ranked.where(F.col("posicion") <= max([n for _, n in dims] or [0]))
-    return (ranked.join(totals, on=[*seg, "dimension"]).where(F.col("_pres") > 0)
+    stacked = df.select(*seg, to_numeric(value).alias("_v"), F.explode(pairs).alias("_d")).select(
+        *seg, "_v", F.col("_d.dimension").alias("dimension"), F.col("_d.categoria").alias("categoria"),
+        F.col("_d.present").alias("_p"), F.col("_d.top").alias("_t"))
+    # rollup gives each (segment, dimension) its total row next to its
+    # categories (coarser levels are dropped); the total row is ranked first.
+    agg = (stacked.rollup(*seg, "dimension", "categoria")
+           .agg(F.count(F.lit(1)).alias("contratos"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("valor_total"),
+                F.sum("_p").alias("_present"), F.max("_t").alias("_top"), F.grouping_id().alias("_g"))
+           .where(F.col("_g") <= 1).where(F.col("dimension").isNotNull()))
+    w = Window.partitionBy(*seg, "dimension").orderBy(F.desc("_g"), F.desc("valor_total"), F.asc("categoria"))
+    n_max = max([n for _, n in dims] or [0]) + 1
+    ranked = agg.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_max)
+    whole = Window.partitionBy(*seg, "dimension")
+    ranked = (ranked.withColumn("_tot", F.max(F.when(F.col("_g") == 1, F.col("valor_total"))).over(whole))
+              .withColumn("_pres", F.max(F.when(F.col("_g") == 1, F.col("_present"))).over(whole))
+              .withColumn("posicion", F.col("_rn") - 1))
+    return (ranked.where((F.col("_g") == 0) & (F.col("posicion") <= F.col("_top")) & (F.col("_pres") > 0))
             .select(*seg, "dimension", F.col("posicion").cast("long").alias("posicion"),
                     "categoria", "contratos", "valor_total",
                     F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
