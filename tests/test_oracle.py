@@ -4,13 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from pliego.plans import registry
 from pliego.plans.contract_view import TABLES
 
 from conftest import SF_SMALL
 from oracle_compare import canon
 
-NAMES = sorted(E.queries())
-SQL = E.oracle_sql()
+registry.load_all()
+NAMES = sorted(registry.QUERIES)
+SQL = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
