@@ -36,3 +36,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of text that a Python task handles at once.
+BLOCK_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are cut by size as well as by rows, so long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def text_blocks(batches, keys: int):
+    """From Arrow batches whose last column is text: (key columns, texts) in blocks of about BLOCK_BYTES."""
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(keys)]
+        texts = batch.column(keys).to_pylist()
+        first, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t) if t else 0
+            if size >= BLOCK_BYTES or i == len(texts) - 1:
+                yield [c[first:i + 1] for c in cols], texts[first:i + 1]
+                first, size = i + 1, 0
+
+
+def ship(module_name: str) -> None:
+    """Send the module's functions to Python workers by value: workers need no installed package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for name in (module_name, __name__):
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

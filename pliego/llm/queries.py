@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontaminate, sharding, url_model
-from pliego.llm.common import table
+from pliego.llm import decontaminate, langid, pieces, quality_rank, sharding, url_model
+from pliego.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("op10_sharding", sharding.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@_add("op5_quality_ranking")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_add("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_add("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
