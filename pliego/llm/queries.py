@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontaminate, langid, pieces, quality_rank, sharding, url_model
+from pliego.llm import decontaminate, jaccard_join, langid, pieces, quality_rank, sharding, url_model
 from pliego.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@_add("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
