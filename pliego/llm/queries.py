@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontaminate, jaccard_join, langid, pieces, quality_rank, sharding, url_model
+from pliego.llm import decontaminate, jaccard_join, langid, pieces, quality_rank, sharding, suffix_dedup, url_model
 from pliego.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_add("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
