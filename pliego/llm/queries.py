@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontaminate, jaccard_join, langid, pieces, quality_rank, sharding, suffix_dedup, url_model
+from pliego.llm import ann_tree, decontaminate, jaccard_join, langid, pieces, quality_rank, sharding, suffix_dedup, url_model
 from pliego.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@_add("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search_embeddings(table(spark, sf_dir, "embeddings"))
