@@ -41,8 +41,8 @@ from pliego.llm.common import bounded_batches, ship, text_blocks, written
 
 LENGTH = 200
 WIDTH = 40
-BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 512 << 10
+BUCKET_BYTES = 1 << 20
+SHARD_BYTES = 128 << 10
 _PIECE = 256 << 10
 _POS_BITS = 21
 
@@ -205,7 +205,8 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     ship(__name__)
     src = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     anchors = _anchor_rows(src, length, width)
-    again = anchors.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k")
+    # written first: a join of two plain shuffles is one that Spark can split at a hot anchor
+    again = written(anchors.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"), "anchors")
     members = written(anchors.join(again, "k", "left_semi"), "contexts")
     classes = members.groupBy("k", "x").agg(F.count("*").alias("c"), F.min(F.struct("s", "e", "h", "d")).alias("r"))
     classes = written(classes.select("k", "x", "c", "r.*"), "classes")
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     bytes_of = written(_context_bytes(src, many, length), "bytes")
     large = per.filter(f"nx > 1 AND size > {BUCKET_BYTES}").select("k").checkpoint()
     ranges = alone.unionByName(_merge_buckets(
-        bytes_of.join(large, "k", "left_anti"), int(2 * total // BUCKET_BYTES) + 1, length, width))
+        bytes_of.join(large, "k", "left_anti"), int(4 * total // BUCKET_BYTES) + 1, length, width))
     if not large.isEmpty():
         ranges = ranges.unionByName(_group_windows(bytes_of.join(large, "k", "left_semi"), length))
     found = ranges.filter(F.size("r") > 0)
