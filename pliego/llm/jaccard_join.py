@@ -299,10 +299,10 @@ def keep_one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", n
         F.col("d").alias("__d"), F.col("h").alias("__h"), F.lit(False).alias("__z")).distinct())
     out = docs.join(keep, F.col(doc).eqNullSafe(F.col("__d")) & F.xxhash64(text).eqNullSafe(F.col("__h")))
     # rows with equal id and text are one document
-    same = F.count("*").alias("c")
-    twice = groups.filter("n > 0").groupBy("d", "h").agg(same).filter("c > 1").select("d", "h").checkpoint()
+    twice = (groups.filter("n > 0").groupBy("d", "h").agg(F.count("*").alias("m")).filter("m > 1")
+             .select(F.col("d").alias("__d2"), F.col("h").alias("__h2")).checkpoint())
     if twice.isEmpty():
         return out.select(*docs.columns)
-    once = out.join(twice, F.col("__d").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")) & F.col("__z"), "left")
-    rest = once.filter("h IS NULL").select(*docs.columns)
-    return rest.unionByName(once.filter("h IS NOT NULL").dropDuplicates(["__d", "__h"]).select(*docs.columns))
+    both = out.join(twice, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__h") == F.col("__h2")) & F.col("__z"), "left")
+    rest = both.filter("__h2 IS NULL").select(*docs.columns)
+    return rest.unionByName(both.filter("__h2 IS NOT NULL").dropDuplicates(["__d", "__h"]).select(*docs.columns))
