@@ -37,7 +37,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pliego.llm import shingles
@@ -194,8 +194,14 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int):
-    """Whether two classes can reach the threshold at all: their sizes without n-grams that no other prefix has."""
-    return F.expr(f"({100 + percent}) * least(a.e, b.e) >= {percent} * (a.n + b.n)")
+    """Whether the classes of rows a and b, which share an n-gram, can be linked by what the row of each says.
+
+    Their sizes without n-grams that no other prefix has; the n-gram's place in the
+    short prefix of the smaller set; and the most that can lie before and after it.
+    """
+    return F.expr(f"{100 + percent} * least(a.e, b.e) >= {percent} * (a.n + b.n) "
+                  "AND CASE WHEN a.n < b.n OR (a.n = b.n AND a.c < b.c) THEN a.q ELSE b.q END "
+                  f"AND {100 + percent} * (least(a.r, b.r) + least(a.n - a.i, b.n - b.i)) >= {percent} * (a.n + b.n)")
 
 
 def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS,
@@ -213,37 +219,41 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(
         F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
         F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    tokens = classes.select("c", F.explode("prefix").alias("k"))
+    tokens = classes.select("c", F.posexplode("prefix").alias("i", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
     tokens = written(tokens.join(shared, "k"), "shared")
     # n-grams of its prefix that no other prefix has cannot be in any overlap
-    bound = tokens.groupBy("c").agg(F.count("*").alias("in_common")).join(classes, "c").select(
-        "c", "n", "copies", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"),
+    bound = tokens.groupBy("c").agg(F.count("*").alias("in_common"),
+                                    F.sum((F.col("m") > SMALL).cast("int")).alias("wide")).join(classes, "c").select(
+        "c", "n", "copies", "wide", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"),
         (F.col("n") - F.size("prefix") + F.col("in_common")).alias("e"))
-    tokens = tokens.join(bound, "c").select(
-        "c", "n", "p", "e", "last", "copies", "k", "m",
+    in_order = Window.partitionBy("c").orderBy("i")  # within one prefix
+    tokens = tokens.withColumn("r", F.row_number().over(in_order) - 1).join(bound, "c").select(
+        "c", "n", "p", "e", "i", "r", "last", "copies", "wide", "k", "m",
+        F.expr(f"i <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}").alias("q"),
         F.expr(f"CASE WHEN m > {SMALL} THEN c & (shiftleft(1L, CAST(ceil(log2(m / {SMALL}D)) AS int)) - 1) ELSE 0 END").alias("run"))
     tokens = written(tokens, "tokens")
 
+    # shared n-grams of large groups, of which not every pair is made, and the rest of
+    # the set whose prefix ends first: what a pair's overlap may have besides its small groups
+    rest = F.expr("least(a.wide, b.wide) + CASE WHEN a.last < b.last THEN a.n - a.p ELSE b.n - b.p END").alias("rest")
     a, b = tokens.alias("a"), tokens.alias("b")
-    near = a.join(b, F.expr("a.k = b.k AND a.run = b.run AND a.c < b.c") & _possible(percent)).select(
-        F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"),
-        F.expr("CASE WHEN a.last < b.last THEN a.n - a.p ELSE b.n - b.p END").alias("tail"),
-        F.expr(f"a.m > {SMALL}").alias("large"))
+    near = a.join(b, F.expr("a.k = b.k AND a.run = b.run AND a.c < b.c "
+                            f"AND {100 + percent} * least(a.e, b.e) >= {percent} * (a.n + b.n)")).select(
+        F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), rest,
+        F.expr(f"CAST(a.m <= {SMALL} AS int)").alias("one"), _possible(percent).alias("ok"))
     hubs = (tokens.filter(f"m > {SMALL}").groupBy("k")
-            .agg(F.min(F.struct((-F.col("copies")).alias("x"), "c", "n", "e")).alias("hub"))
-            .select("k", "hub.c", "hub.n", "hub.e"))
+            .agg(F.min(F.struct((-F.col("copies")).alias("x"), "c", "n", "p", "e", "i", "r", "q", "last", "wide")).alias("hub"))
+            .select("k", "hub.*"))
     a, b = tokens.filter(f"m > {SMALL}").alias("a"), hubs.alias("b")
     star = a.join(b, F.expr("a.k = b.k AND a.c <> b.c") & _possible(percent)).select(
         F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"),
         F.expr("CASE WHEN a.c < b.c THEN a.n ELSE b.n END").alias("na"),
-        F.expr("CASE WHEN a.c < b.c THEN b.n ELSE a.n END").alias("nb"), F.lit(0).alias("tail"), F.lit(True).alias("large"))
-    # prefix overlap plus the rest of the set whose prefix ends first bounds the overlap,
-    # if all shared prefix n-grams were paired here; pairs in large groups come back below
+        F.expr("CASE WHEN a.c < b.c THEN b.n ELSE a.n END").alias("nb"), rest, F.lit(0).alias("one"), F.lit(True).alias("ok"))
     pairs = near.unionByName(star).groupBy("a", "b").agg(
-        F.max("na").alias("na"), F.max("nb").alias("nb"),
-        (F.count("*") + F.max("tail")).alias("most"), F.max("large").alias("large"))
-    pairs = pairs.filter(F.col("large") | ((100 + percent) * F.col("most") >= percent * (F.col("na") + F.col("nb"))))
+        F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("ok").alias("ok"),
+        (F.sum("one") + F.max("rest")).alias("most")).filter("ok")
+    pairs = pairs.filter((100 + percent) * F.col("most") >= percent * (F.col("na") + F.col("nb")))
     pairs = written(pairs.select("a", "b", "na", "nb"), "pairs")
 
     reps = classes.select("c", F.col("rep.d").alias("d"), F.col("rep.h").alias("h"))
@@ -257,7 +267,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         comps = connected_components(links).checkpoint()
         # large groups with classes of different components
         wide = (tokens.filter(f"m > {SMALL}").join(comps, F.col("c") == F.col("node"), "left")
-                .select("k", "c", "n", "e", F.coalesce("root", "c").alias("g")))
+                .select("k", "c", "n", "e", "i", "r", "q", F.coalesce("root", "c").alias("g")))
         sizes = wide.groupBy("k", "g").agg(F.count("*").alias("s"))
         main = sizes.groupBy("k").agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
         wide = wide.join(main.select("k", F.col("x.g").alias("main")), "k").checkpoint()
