@@ -91,7 +91,7 @@ def vectors(n, copies):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 8))
     rows = [(i, (centres[i % 12] + 0.3 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(n)]
-    same = rows[50][1]
+    same = rows[10][1]
     rows += [(n + i, same) for i in range(copies)]
     odd = [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0] * 3]
     return rows + [(50 * (n + i), v) for i, v in enumerate(odd)] + [(None, same)]
