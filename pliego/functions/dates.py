@@ -55,6 +55,9 @@ _SHAPES = [
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d+$", ["yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSS"]),
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
+    # timestamps written out by Spark: any number of fractional digits
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,9}$", ["yyyy-M-d H:m:s.SSSSSSSSS"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m"]),
 ]
 
 

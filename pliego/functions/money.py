@@ -58,8 +58,8 @@ def with_money(df, column: str, out: str | None = None, only_content: bool = Tru
 
 
 def to_numeric(col) -> Column:
-    """Coerce to double; unparseable -> null (``try_cast``)."""
-    return _c(col).try_cast("double")
+    """Coerce to double; unparseable and NaN -> null (``try_cast``)."""
+    return F.nullif(_c(col).try_cast("double"), F.lit(float("nan")))   # NaN equals NaN in Spark
 
 
 def money_text(col) -> Column:

@@ -170,7 +170,7 @@ def header_entity(col) -> Column:
     """C32 (2/2): the first non-blank line after the header line."""
     lines = F.transform(F.split(F.coalesce(_c(col), F.lit("")), "\n"), lambda x: strip_ws(x))
     idx = F.array_position(F.transform(lines, lambda x: x.rlike(HEADER_NUMBER)), F.lit(True))
-    after = F.filter(F.slice(lines, F.greatest(idx + 1, F.lit(1)), F.lit(1 << 20)),
+    after = F.filter(F.slice(lines, F.greatest(idx + 1, F.lit(1)), F.size(lines)),
                      lambda x: x != "")
     return F.when(idx > 0, F.coalesce(F.get(after, 0), F.lit(""))).otherwise(F.lit(""))
 

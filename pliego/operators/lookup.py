@@ -7,11 +7,11 @@ resolution table is then joined back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.catalogs import ALL_LABEL, NATIONAL_LABEL, Option, catalog_frame, code_table_frame
-from pliego.functions.text import fold_collapse, strip_ws
+from pliego.functions.text import ACCENTED, UNACCENTED, fold_collapse, strip_ws
 
 # ---- fixed values -------------------------------------------------------------
 # Tier order (Q24, our deviation: an option's own label/value/code ranks above
@@ -20,33 +20,81 @@ TIER_CODE, TIER_API, TIER_OWN, TIER_MEMBER, TIER_PARTIAL = 1, 2, 3, 4, 5
 # -----------------------------------------------------------------------------
 
 
-def _catalog_keys(cat: DataFrame) -> DataFrame:
-    """Long table (tier, key, pos): one row per way an option can be matched."""
-    own = F.array(F.col("etiqueta"), F.col("valor_api"), F.col("codigo_secop1"))
-    return (cat.select("pos", F.lit(TIER_CODE).alias("tier"), F.col("codigo_secop1").alias("key"))
-            .unionByName(cat.select("pos", F.lit(TIER_API).alias("tier"), F.col("valor_api").alias("key")))
-            .unionByName(cat.select("pos", F.lit(TIER_OWN).alias("tier"), F.explode(own).alias("key"))
-                         .withColumn("key", fold_collapse("key")))
-            .unionByName(cat.select("pos", F.lit(TIER_MEMBER).alias("tier"), F.explode("valores_api").alias("key"))
-                         .withColumn("key", fold_collapse("key")))
-            .unionByName(cat.select("pos", F.lit(TIER_PARTIAL).alias("tier"),
-                                    fold_collapse("etiqueta").alias("key")))
-            .where(F.col("key").isNotNull()))
+class KeyIndex:
+    """What a catalog entry can be called: exact keys by tier, and folded names for the partial tier.
 
+    One table serves both sides: Spark joins it to a column's values, the driver
+    looks single filter arguments up in it."""
 
-def resolve_values(values: DataFrame, column: str, options: list[Option]) -> DataFrame:
-    """J1 on a frame of distinct values: value -> (pos, tier) of the chosen option."""
-    spark = values.sparkSession
-    keys = F.broadcast(_catalog_keys(catalog_frame(spark, options)))
+    def __init__(self, entries: list[tuple[int, str | None, int]], names: list[tuple[str, int]]):
+        self.entries = sorted({(t, k, p) for t, k, p in entries if k})
+        self.names = names
+        self._first: dict[tuple[int, str], int] = {}
+        for tier, key, pos in self.entries:
+            self._first.setdefault((tier, key), pos)
+
+    def position(self, value: str) -> int | None:
+        """Place of the entry that a text stands for, by the lowest tier, then the first place."""
+        text = str(value).strip()
+        goal = folded(text)
+        exact = [(tier, self._first[tier, key]) for tier, key in self.asked(text, goal) if (tier, key) in self._first]
+        partial = [(TIER_PARTIAL, pos) for name, pos in self.names if goal and goal in name]
+        return min(exact or partial, default=(None, None))[1]
+
+    @staticmethod
+    def asked(text, goal) -> list[tuple[int, object]]:
+        return [(TIER_CODE, text), (TIER_API, text), (TIER_OWN, goal), (TIER_MEMBER, goal)]
+
+    def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        return (spark.createDataFrame(self.entries, "tier int, key string, pos int"),
+                spark.createDataFrame(self.names, "name string, pos int"))
+
+
+FOLD_TABLE = str.maketrans(ACCENTED, UNACCENTED)
+
+
+def folded(text: str) -> str:
+    """The driver's twin of ``fold_collapse`` for catalog keys and filter arguments."""
+    return " ".join(str(text).translate(FOLD_TABLE).lower().split())
+
+
+def option_index(options: list[Option]) -> KeyIndex:
+    entries: list[tuple[int, str | None, int]] = []
+    for pos, o in enumerate(options):
+        entries += [(TIER_CODE, o.code, pos), (TIER_API, o.api_value, pos)]
+        entries += [(TIER_OWN, folded(k), pos) for k in (o.label, o.api_value, o.code) if k]
+        entries += [(TIER_MEMBER, folded(k), pos) for k in o.all_api_values]
+    return KeyIndex(entries, [(folded(o.label), pos) for pos, o in enumerate(options)])
+
+
+def code_index(table: dict[str, str]) -> KeyIndex:
+    named = [(folded(name), pos) for pos, name in enumerate(table.values())]
+    return KeyIndex([(TIER_CODE, code, pos) for pos, code in enumerate(table)]
+                    + [(TIER_OWN, name, pos) for name, pos in named], named)
+
+
+def _resolve(values: DataFrame, column: str, index: KeyIndex, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(_value, _pos, _tier) of a frame of distinct values: equi-joins for the exact tiers;
+    only values without an exact match meet the folded names in a loop."""
+    exact, names = (F.broadcast(f) for f in index.frames(values.sparkSession))   # fixed catalogs
     text = strip_ws(F.col(column).cast("string"))
     v = (values.select(F.col(column).alias("_value"), text.alias("_text"), fold_collapse(text).alias("_goal"))
-         .where((F.col("_text") != "") & ~F.col("_text").isin(ALL_LABEL, NATIONAL_LABEL)))
-    cond = (((F.col("tier") <= TIER_API) & (F.col("key") == F.col("_text")))
-            | (F.col("tier").isin(TIER_OWN, TIER_MEMBER) & (F.col("key") == F.col("_goal")))
-            | ((F.col("tier") == TIER_PARTIAL) & (F.col("_goal") != "") & F.col("key").contains(F.col("_goal"))))
-    hits = v.join(keys, cond)
-    return hits.groupBy("_value").agg(F.min(F.struct("tier", "pos")).alias("_m")) \
-        .select("_value", F.col("_m.pos").alias("_pos"), F.col("_m.tier").alias("_tier"))
+         .where((F.col("_text") != "") & ~F.col("_text").isin(*ignored, "")))
+    asks = F.array(*[F.struct(F.lit(t).alias("tier"), k.alias("key"))
+                     for t, k in KeyIndex.asked(F.col("_text"), F.col("_goal"))])
+    tried = (v.select("_value", "_goal", F.explode(asks).alias("_a")).select("_value", "_goal", "_a.*")
+             .join(exact, ["tier", "key"], "left").groupBy("_value", "_goal")
+             .agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("tier", "pos"))).alias("_m")))
+    found = tried.where(F.col("_m").isNotNull()).select("_value", "_m")
+    loop = (tried.where(F.col("_m").isNull()).drop("_m")
+            .join(names, (F.col("_goal") != "") & F.col("name").contains(F.col("_goal")))
+            .groupBy("_value").agg(F.min(F.struct(F.lit(TIER_PARTIAL).alias("tier"), "pos")).alias("_m")))
+    return found.unionByName(loop).select("_value", F.col("_m.pos").alias("_pos"), F.col("_m.tier").alias("_tier"))
+
+
+def resolve_values(values: DataFrame, column: str, options: list[Option]) -> DataFrame:
+    """J1 on a frame of distinct values: value -> (pos, tier) of the chosen option."""
+    return _resolve(values, column, option_index(options), (ALL_LABEL, NATIONAL_LABEL))
 
 
 def resolve_catalog(df: DataFrame, column: str, options: list[Option], prefix: str | None = None) -> DataFrame:
@@ -68,21 +116,10 @@ def resolve_code(df: DataFrame, column: str, table: dict[str, str], out: str | N
     then partial name (first in table order); unknown values pass unchanged."""
     spark = df.sparkSession
     out = out or f"{column}_codigo"
-    codes = code_table_frame(spark, table)
-    keys = F.broadcast(
-        codes.select("pos", "codigo", F.lit(1).alias("tier"), F.col("codigo").alias("key"))
-        .unionByName(codes.select("pos", "codigo", F.lit(2).alias("tier"), fold_collapse("nombre").alias("key")))
-        .unionByName(codes.select("pos", "codigo", F.lit(3).alias("tier"), fold_collapse("nombre").alias("key"))))
-    text = strip_ws(F.col(column).cast("string"))
+    codes = F.broadcast(code_table_frame(spark, table))
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    v = distinct.select(F.col(column).alias("_value"), text.alias("_text"), fold_collapse(text).alias("_goal")) \
-        .where(F.col("_text") != "")
-    cond = (((F.col("tier") == 1) & (F.col("key") == F.col("_text")))
-            | ((F.col("tier") == 2) & (F.col("key") == F.col("_goal")))
-            | ((F.col("tier") == 3) & F.col("key").contains(F.col("_goal"))))
-    res = (v.join(keys, cond).groupBy("_value", "_text")
-           .agg(F.min(F.struct("tier", "pos", "codigo")).alias("_m"))
-           .select("_value", F.col("_m.codigo").alias("_code")))
+    res = _resolve(distinct, column, code_index(table))
+    res = res.join(codes, F.col("_pos") == F.col("pos")).select("_value", F.col("codigo").alias("_code"))
     joined = df.join(res, df[column] == res["_value"], "left")
     blank = F.col(column).isNull() | (strip_ws(F.col(column).cast("string")) == "")
     return joined.withColumn(out, F.when(blank, F.lit(None).cast("string"))

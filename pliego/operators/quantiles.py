@@ -19,21 +19,16 @@ executor. Here the work is split instead:
    and highest rank ranges, and moments are weighted sums.
 
 Only a handful of rows per group reach the final aggregates.
-
-Steps 2-4 are only needed for big groups: one small aggregate measures the
-largest group (distinct values) and, when it is within
-``spark.pliego.rankWindowMaxRows`` (2 million by default), a single window per
-group assigns the same rank intervals without slicing or checkpointing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pliego.operators.keys import join_groups
 from pliego.session import ensure_checkpoint_dir
 
 ALL_KEY = "_all"
@@ -45,45 +40,22 @@ def value_counts_by_group(df: DataFrame, value: str, keys: Sequence[str]) -> Dat
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
 
 
-# Largest number of distinct values one group may have for the single-window
-# ranking; bigger groups take the range-sliced path.
-WINDOW_MAX_ROWS_CONF = "spark.pliego.rankWindowMaxRows"
-WINDOW_MAX_ROWS_DEFAULT = 2_000_000
-
-
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), partitions: int | None = None,
-                  counted: DataFrame | None = None, window_max_rows: int | None = None) -> DataFrame:
+                  counted: DataFrame | None = None) -> DataFrame:
     """(keys..., value, _c, _s, _e, _n): each distinct value with its copies,
     its rank interval ``[_s, _e)`` inside the group and the group size ``_n``.
 
-    One small aggregate measures the largest group (distinct values). When
-    it is within ``window_max_rows`` a plain window ranks each group in one
-    task; beyond it the range-sliced path below spreads every group over
-    many tasks. The result is persisted (memory, spilling to disk)."""
+    Every group, whatever its size, is ranked by range slices; the table is
+    written with a reliable checkpoint, so nothing stays cached."""
     keys = list(keys)
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vc = counted if counted is not None else value_counts_by_group(df, value, keys)
-    limit = window_max_rows if window_max_rows is not None else int(
-        spark.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    largest = vc.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        end = F.sum("_c").over(by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = (vc.select(*keys, value, "_c", end.alias("_e"), F.sum("_c").over(by_group).alias("_n"))
-                  .select(*keys, value, "_c", (F.col("_e") - F.col("_c")).alias("_s"), "_e", "_n")
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-    else:
-        ranked = _ranked_by_slices(vc, value, keys, parts)
-    ranked.count()          # materialize, then release the intermediate
-    vc.unpersist()
-    return ranked
+    return _ranked_by_slices(vc, value, keys, parts)
 
 
 def _ranked_by_slices(vc: DataFrame, value: str, keys: list[str], parts: int) -> DataFrame:
-    """The scalable path: range slices frozen by a checkpoint, slice offsets,
-    running counts inside each slice."""
+    """Range slices frozen by a checkpoint, slice offsets, running counts
+    inside each slice. Null is a group like any other."""
     spark = vc.sparkSession
     ensure_checkpoint_dir(spark)
     ranged = (vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
@@ -98,10 +70,10 @@ def _ranked_by_slices(vc: DataFrame, value: str, keys: list[str], parts: int) ->
     running = ranged.withColumn(
         "_cum", F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy(value)
                                  .rowsBetween(Window.unboundedPreceding, 0)))
-    located = running.join(offsets, on=[*keys, "_p"])
+    located = join_groups(running, offsets, [*keys, "_p"])
     end = F.col("_off") + F.col("_cum")
     return (located.select(*keys, value, "_c", (end - F.col("_c")).alias("_s"), end.alias("_e"), "_n")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .checkpoint(eager=True))
 
 
 def values_at(ranked: DataFrame, value: str, keys: Sequence[str], positions: dict[str, Column]) -> DataFrame:
@@ -125,7 +97,7 @@ def values_at(ranked: DataFrame, value: str, keys: Sequence[str], positions: dic
     picked = hits.groupBy(*keys).agg(*aggs)
     # the fractional part of each position, evaluated on one row per group
     frac_src = ranked.groupBy(*keys).agg(*[F.max(pos).alias(f"_pos{i}") for i, pos in enumerate(positions.values())])
-    out = picked.join(frac_src, keys, "right")
+    out = join_groups(frac_src, picked, keys, "left") if keys else frac_src.crossJoin(picked)
     cols = list(keys)
     for i, name in enumerate(positions):
         p = F.col(f"_pos{i}")
@@ -143,7 +115,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     pos = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in zip(names, probs)}
     q = values_at(r, value, keys, pos)
     n = r.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    return n.join(q, keys).select(*keys, "_n", *names)
+    both = join_groups(n, q, keys) if keys else n.crossJoin(q)   # one row each without keys
+    return both.select(*keys, "_n", *names)
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),

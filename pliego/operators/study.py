@@ -17,6 +17,7 @@ from pliego.functions.dates import month_name, month_of, year_of
 from pliego.functions.links import cv_percent, dispersion_reading as _reading
 from pliego.functions.money import to_numeric
 from pliego.functions.text import strip_ws
+from pliego.operators.keys import join_groups
 from pliego.operators.quantiles import drop_all_key, ranked_values, with_all_key
 
 # ---- fixed values -------------------------------------------------------------
@@ -56,18 +57,32 @@ def distribution(df: DataFrame, column: str, top: int = 10, value: str = VALUE)
            .agg(F.count(F.lit(1)).alias("contratos"),
                 F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total"),
                 F.count(F.col(column)).alias("_present")))
-    tops = agg.orderBy(F.desc("valor_total"), F.asc("categoria")).limit(top).withColumn("_k", F.lit(0))
-    # Same aggregate columns in both branches, so Spark reuses one exchange.
-    total = agg.agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_present_all"),
-                    F.sum("contratos").alias("_rows"))
-    # tops has <= N rows and total one: a window over their union stays bounded.
-    both = tops.unionByName(total.withColumn("_k", F.lit(1)).drop("_rows"), allowMissingColumns=True)
-    w = Window.partitionBy()
-    both = both.withColumn("_tot_all", F.max("_tot").over(w)).withColumn("_pres", F.max("_present_all").over(w))
-    return (both.where((F.col("_k") == 0) & (F.col("_pres") > 0))
-            .select("categoria", "contratos", "valor_total",
-                    F.when(F.col("_tot_all") != 0, F.col("valor_total") / F.col("_tot_all") * 100.0)
-                    .otherwise(F.lit(0.0)).alias("pct_valor")))
+    return (_top_with_totals(agg, [], F.lit(top), top)
+            .select("categoria", "contratos", "valor_total", "pct_valor"))
+
+
+TOTAL_BUCKETS = 64
+
+
+def _top_with_totals(agg: DataFrame, part: list[str], limit: F.Column, most: int) -> DataFrame:
+    """The top categories of every ``part`` with their share of its total, from one
+    reading of the aggregate: hash buckets keep their own top rows and sum, so the
+    final window of a part has at most ``TOTAL_BUCKETS * most`` rows."""
+    best = [F.desc("valor_total"), F.asc("categoria")]
+    bucket = Window.partitionBy(*part, "_b")
+    local = (agg.withColumn("_b", F.pmod(F.xxhash64("categoria"), F.lit(TOTAL_BUCKETS)))
+             .withColumn("_rn", F.row_number().over(bucket.orderBy(*best)))
+             .withColumn("_bt", F.sum("valor_total").over(bucket))
+             .withColumn("_bp", F.sum("_present").over(bucket))
+             .where(F.col("_rn") <= most))
+    whole = Window.partitionBy(*part)
+    first = F.col("_rn") == 1
+    out = (local.withColumn("_tot", F.sum(F.when(first, F.col("_bt"))).over(whole))
+           .withColumn("_pres", F.sum(F.when(first, F.col("_bp"))).over(whole))
+           .withColumn("posicion", F.row_number().over(whole.orderBy(*best)).cast("long"))
+           .where((F.col("posicion") <= limit) & (F.col("_pres") > 0)))
+    return out.withColumn("pct_valor", F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
+                          .otherwise(F.lit(0.0)))
 
 
 def demand_distributions(df: DataFrame, dims: Sequence[tuple[str, int]] = DEMAND_DIMENSIONS,
@@ -75,8 +90,8 @@ def demand_distributions(df: DataFrame, dims: Sequence[tuple[str, int]] = DEMAND
     """A2 (+W5): every dimension's distribution in one scan.
 
     Rows are stacked as (dimension, category) pairs inside the scan stage and
-    pre-aggregated map-side; top-N per (segment, dimension) uses a
-    ``row_number`` filter that Spark plans as a partial group limit."""
+    pre-aggregated map-side; top-N and totals per (segment, dimension) come from
+    one reading of that aggregate. Null segments are segments."""
     seg = list(segment)
     dims = [(c, n) for c, n in dims if c in df.columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), _category(c).alias("categoria"),
@@ -88,16 +103,8 @@ def demand_distributions(df: DataFrame, dims: Sequence[tuple[str, int]] = DEMAND
            .agg(F.count(F.lit(1)).alias("contratos"),
                 F.coalesce(F.sum("_v"), F.lit(0.0)).alias("valor_total"),
                 F.sum("_d.present").alias("_present"), F.max("_d.top").alias("_top")))
-    totals = agg.groupBy(*seg, "dimension").agg(F.sum("valor_total").alias("_tot"),
-                                                F.sum("_present").alias("_pres"))
-    w = Window.partitionBy(*seg, "dimension").orderBy(F.desc("valor_total"), F.asc("categoria"))
-    ranked = agg.withColumn("posicion", F.row_number().over(w)).where(F.col("posicion") <= F.col("_top"))
-    ranked = ranked.where(F.col("posicion") <= max([n for _, n in dims] or [0]))
-    return (ranked.join(totals, on=[*seg, "dimension"]).where(F.col("_pres") > 0)
-            .select(*seg, "dimension", F.col("posicion").cast("long").alias("posicion"),
-                    "categoria", "contratos", "valor_total",
-                    F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
-                    .otherwise(F.lit(0.0)).alias("pct_valor")))
+    return (_top_with_totals(agg, [*seg, "dimension"], F.col("_top"), max([n for _, n in dims] or [0]))
+            .select(*seg, "dimension", "posicion", "categoria", "contratos", "valor_total", "pct_valor"))
 
 
 def demand_totals(df: DataFrame, value: str = VALUE) -> DataFrame:
@@ -217,7 +224,7 @@ def _second_pass(r: DataFrame, keys: list[str], first: DataFrame) -> DataFrame:
     ric = F.col("q3") - F.col("q1")
     fences = first.select(*keys, "media", (F.col("q1") - IQR_FACTOR * ric).alias("limite_inferior"),
                           (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior"))
-    j = r.join(fences, keys)
+    j = join_groups(r, fences, keys)
     d = F.col("_v") - F.col("media")
     low = F.col("_v") < F.col("limite_inferior")
     high = F.col("_v") > F.col("limite_superior")
@@ -247,10 +254,10 @@ def _stats_columns(keys: list[str]) -> list:
 def price_tables(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
                  ranked: tuple[DataFrame, list[str]] | None = None) -> tuple:
     """The ranked table and the two per-group passes (one row per group each,
-    persisted), to share between several price sections."""
+    checkpointed), to share between several price sections."""
     r, keys = ranked if ranked is not None else ranked_positive(df, value, by)
-    first = _first_pass(r, keys).persist()
-    second = _second_pass(r, keys, first).persist()
+    first = _first_pass(r, keys).checkpoint()
+    second = _second_pass(r, keys, first).checkpoint()
     return r, first, second, keys
 
 
@@ -264,7 +271,7 @@ def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
     """N, mean, median, mode, min, max, range, sum, var, std, CV%, quartiles,
     IQR, p10, p90 and fences, per group (or one row), over values > 0."""
     _, first, second, keys = _price_tables(df, value, by, ranked)
-    return drop_all_key(first.join(second.select(*keys, "_ss"), keys).select(*_stats_columns(keys)))
+    return drop_all_key(join_groups(first, second.select(*keys, "_ss"), keys).select(*_stats_columns(keys)))
 
 
 def _third_pass(r: DataFrame, keys: list[str], second: DataFrame, top: int = 0,
@@ -273,7 +280,7 @@ def _third_pass(r: DataFrame, keys: list[str], second: DataFrame, top: int = 0,
     hold the lowest and highest ranks) and the ``top`` largest outliers (rank
     ``n-1-j`` while ``j < n_high``, then ``n_low-1-(j-n_high)``)."""
     counts = second.select(*keys, "_nlow", "_nhigh", "_kn")
-    j = r.join(counts, keys)
+    j = join_groups(r, counts, keys)
     aggs = [F.max("_n").alias("_ntot")]
     if median:
         aggs += _rank_hits(F.when(F.col("_kn") > 0, F.col("_nlow") + (F.col("_kn") - 1) * 0.5), "mediana_ajustada")
@@ -295,7 +302,7 @@ def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] =
     adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
         .when(kn > 0, F.lit(0.0))
     adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
-    out = first.select(*keys, "n", "media").join(second, keys).join(third, keys, "left").select(
+    out = join_groups(join_groups(first.select(*keys, "n", "media"), second, keys), third, keys, "left").select(
         *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
         ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
         kn.cast("long").alias("n_ajustado"), F.when(kn > 0, F.col("_ksum") / kn).alias("media_ajustada"),
@@ -310,7 +317,7 @@ def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
              stats: DataFrame | None = None) -> DataFrame:
     """A13 (+F12): outlier count and percentage (strict fences, Q9)."""
     _, first, second, keys = _price_tables(df, value, by, None)
-    out = first.select(*keys, "n").join(second, keys).select(
+    out = join_groups(first.select(*keys, "n"), second, keys).select(
         *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
         ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"))
     return drop_all_key(out)
@@ -349,7 +356,7 @@ def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
         .when(kn > 0, F.lit(0.0))
     adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
     adj_mean = F.when(kn > 0, F.col("_ksum") / kn)
-    full = first.join(second, keys).join(third, keys, "left").select(
+    full = join_groups(join_groups(first, second, keys), third, keys, "left").select(
         *_stats_columns(keys),
         (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
         ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),

@@ -28,15 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contract_view(spark: SparkSession, sf_dir: str, with_line_keys: bool = False,
                   spread_scan: bool = False) -> DataFrame:
-    """``spread_scan`` spreads the narrow fact scan before the joins when it has
-    fewer splits than task slots (pays off when the view is cached and read
-    many times, e.g. by the complete study; a no-op on a cluster)."""
+    """``spread_scan`` deals the narrow fact scan out over the task slots, for
+    tables of a single row group; a cluster reading many files leaves it off."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     if spread_scan:
-        from pliego.operators.parallel import spread
-        li = spread(li)
+        li = li.repartition(spark.sparkContext.defaultParallelism)
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")

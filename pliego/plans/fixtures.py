@@ -27,10 +27,10 @@ def anglo_money(v) -> F.Column:
 
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-1 style all-text result rows, one per lineitem."""
-    from pliego.operators.parallel import spread
-    # landed text files arrive in many splits: spread the narrow scan before rendering
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice",
-                                                         "l_suppkey", "l_shipdate"))
+    # landed text files arrive in many splits: deal the narrow scan out before rendering
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_shipdate"
+    ).repartition(spark.sparkContext.defaultParallelism)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)

@@ -23,7 +23,6 @@ from pliego.functions.text import (detail_url, header_entity, header_number, id_
                                    normalize_label, only_date, process_id, split_dated_label, split_location,
                                    strip_ws)
 from pliego.operators.filters import result_row_predicate
-from pliego.operators.parallel import spread
 from pliego.schemas import DETAIL_COLUMNS, RESULT_COLUMNS, RESULT_TABLE_POSITIONS
 
 # ---- fixed values (must equal the reference's) -------------------------------
@@ -209,7 +208,7 @@ def _parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def table_rows(pages: DataFrame) -> DataFrame:
     """One row per HTML table row (plus one error row per page without tables)."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return spread(p).mapInPandas(_parse_pages, ROWS_SCHEMA)
+    return p.mapInPandas(_parse_pages, ROWS_SCHEMA)
 
 
 def _table_choice(rows: DataFrame) -> DataFrame:

@@ -8,18 +8,15 @@ from pliego.operators import study as S
 from pliego.operators.quantiles import exact_quantiles
 
 
-@pytest.fixture(scope="module", params=["window", "slices"])
-def skewed(spark, request):
-    # "slices" forces the range-sliced path that spreads a hot group over tasks
-    spark.conf.set("spark.pliego.rankWindowMaxRows", "2000000" if request.param == "window" else "0")
+@pytest.fixture(scope="module")
+def skewed(spark):
     rng = np.random.default_rng(7)
     hot = pd.DataFrame({"g": "hot", "v": np.round(rng.lognormal(10, 1.2, 3000), 2)})
     hot.loc[::7, "v"] = 50000.0                       # many copies of one value
     cold = pd.DataFrame({"g": [f"g{i % 40}" for i in range(6000)], "v": np.round(rng.gamma(2, 500, 6000), 2)})
     one = pd.DataFrame({"g": ["single"], "v": [7.0]})
     pdf = pd.concat([hot, cold, one], ignore_index=True)
-    yield pdf, spark.createDataFrame(pdf)
-    spark.conf.unset("spark.pliego.rankWindowMaxRows")
+    return pdf, spark.createDataFrame(pdf)
 
 
 def test_quantiles_match_numpy(spark, skewed):
