@@ -99,14 +99,23 @@ def set_difference(expected: DataFrame, actual: DataFrame, column: str) -> tuple
     return e.join(a, column, "left_anti"), a.join(e, column, "left_anti")
 
 
-def fallback(primary: DataFrame | None, secondary_factory) -> DataFrame:
-    """Use the second source when the first failed or is empty.
-
-    ``isEmpty`` only reads until the first row."""
+def fallback(primary, secondary, errors: list[Exception] | None = None) -> DataFrame:
+    """The second source's rows when the first failed or is empty.
+
+    Both are factories (or None for a source not asked). A failure of the first
+    is handed to the caller through ``errors``; without a second source it is
+    raised. ``isEmpty`` only reads until the first row."""
+    if primary is None and secondary is None:
+        raise ValueError("no source to ask")
+    rows = None
     if primary is not None:
         try:
-            if not primary.isEmpty():
-                return primary
-        except Exception:  # noqa: BLE001 - a failed source falls back
-            pass
-    return secondary_factory()
+            rows = primary()
+            if secondary is None or not rows.isEmpty():
+                return rows
+        except Exception as exc:  # noqa: BLE001 - a source may fail in any way; it is reported
+            if secondary is None:
+                raise
+            if errors is not None:
+                errors.append(exc)
+    return secondary()

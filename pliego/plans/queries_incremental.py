@@ -28,7 +28,7 @@ FROM events""")
 def q_upsert_id(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "event_type", "value")
     new = ev.where(F.col("event_type") == "purchase").withColumn("value", F.col("value") * 2)
-    out = upsert(ev.withColumn("_lote", F.lit(0).cast("long")), new, ["event_id"]).drop("_lote")
+    out = upsert(ev.withColumn("_lote", F.lit(0).cast("long")), new, ["event_id"], ["value"]).drop("_lote")
     return rounded(out, {"value": 4})
 
 
@@ -59,3 +59,40 @@ def q_upsert_stream(spark, sf):
     q = upsert_base_stream(stream, f"{root}/base", ["user_id"], ["ts", "event_id"], f"{root}/checkpoint")
     q.awaitTermination()
     return read_base(spark, f"{root}/base").drop("_lote")
+
+
+@register("stream_onto_existing_base", """
+SELECT event_id, ts, user_id, event_type, value, CASE WHEN day(ts) > 10 THEN 'stream' END AS origen FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day(ts) > 10 DESC, ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1""")
+def q_stream_onto_base(spark, sf):
+    """T2 on a base that batch merges made first; the stream brings a column the base lacks."""
+    import uuid
+
+    from pliego.session import scratch_path
+    from pliego.streaming.incremental import read_base, upsert_base, upsert_base_stream
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    early = ev.where(F.dayofmonth("ts") <= 10)
+    upsert_base(spark, early, f"{root}/base", ["user_id"], ["ts", "event_id"])
+    upsert_base(spark, early, f"{root}/base", ["user_id"], ["ts", "event_id"])
+    late = ev.where(F.dayofmonth("ts") > 10).withColumn("origen", F.lit("stream"))
+    late.write.parquet(f"{root}/landing/part0")
+    stream = spark.readStream.schema(late.schema).parquet(f"{root}/landing/*")
+    upsert_base_stream(stream, f"{root}/base", ["user_id"], ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
+    return read_base(spark, f"{root}/base").drop("_lote")
+
+
+@register("base_in_batch_duplicates", """
+SELECT user_id, max(event_id) AS v, count(*) AS n FROM events GROUP BY user_id""")
+def q_base_duplicates(spark, sf):
+    """Many rows of a key in one batch, and a data column called ``v``."""
+    import uuid
+
+    from pliego.session import scratch_path
+    from pliego.streaming.incremental import upsert_base
+    path = scratch_path(spark, f"base-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events")
+    per_user = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = ev.select("user_id", F.col("event_id").alias("v")).join(per_user, "user_id")
+    return upsert_base(spark, rows, path, ["user_id"], ["v"]).select("user_id", "v", "n")

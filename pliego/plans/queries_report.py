@@ -96,9 +96,9 @@ def q_base_versions(spark, sf):
     from pliego.streaming.incremental import upsert_base
     path = scratch_path(spark, f"base-{uuid.uuid4().hex}")
     ev = table(spark, sf, "events").select("event_id", "event_type", "value")
-    upsert_base(spark, ev, path, ["event_id"], batch_id=1)
+    upsert_base(spark, ev, path, ["event_id"], ["value"])
     upd = ev.where(F.col("event_type") == "purchase").withColumn("value", F.col("value") + 1)
-    out = upsert_base(spark, upd, path, ["event_id"], batch_id=2)
+    out = upsert_base(spark, upd, path, ["event_id"], ["value"])
     return out.select("event_id", "value")
 
 
@@ -107,8 +107,8 @@ s2 AS (SELECT count(*) AS n FROM cv WHERE fuente = 'A' AND departamento = 'ASIA'
 s1 AS (SELECT count(*) AS n FROM (SELECT DISTINCT proceso_de_compra, _linea, modalidad_de_contratacion,
          estado_contrato, nombre_entidad, objeto_del_contrato, departamento, ciudad, round(valor_del_contrato, 2),
          fecha_de_inicio_del_contrato FROM cv
-         WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND contains(lower(objeto_del_contrato), 'red')))
-SELECT 'SECOP II' AS fuente, least(n, 20000) AS filas, n AS coincidencias, n > 20000 AS truncado FROM s2
+         WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND departamento = 'ASIA' AND contains(lower(objeto_del_contrato), 'red')))
+SELECT 'SECOP II' AS fuente, n AS filas, n AS coincidencias, FALSE AS truncado FROM s2
 UNION ALL SELECT 'SECOP I', n, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM s1""")
 def q_query_combined(spark, sf):
     from pliego.plans.fixtures import result_pages
@@ -122,3 +122,25 @@ def q_query_combined(spark, sf):
     s1 = query_source1(extract_result_rows(result_pages(spark, sf)), q)
     _, counts = query_combined({"SECOP II": s2, "SECOP I": s1}, [rep])
     return counts.select("fuente", "filas", "coincidencias", "truncado")
+
+
+@register("query_combined_report", f"""{CV},
+s2 AS (SELECT count(*) AS n FROM cv WHERE fuente = 'A')
+SELECT 'SECOP I' AS fuente, CAST(0 AS BIGINT) AS filas, CAST(NULL AS BIGINT) AS coincidencias, CAST(NULL AS BOOLEAN) AS truncado,
+  CAST(NULL AS VARCHAR) AS error, 'tipo de contrato: sin ese dato en la fuente, no se filtra' AS aviso
+UNION ALL SELECT 'SECOP II', least(n, 100), n, n > 100, NULL,
+  CASE WHEN n > 100 THEN '100 de ' || n || ' coincidencias, por orden de proceso_de_compra,objeto_del_contrato' END FROM s2
+UNION ALL SELECT 'otra', 0, NULL, NULL, 'sin respuesta', NULL""")
+def q_combined_report(spark, sf):
+    """M4: a capped source, a source without matches (unknown state) and a failed one, each with its row."""
+    from pliego.plans.fixtures import result_pages
+    from pliego.plans.jobs import ContractQuery, query_combined, query_source1, query_source2
+    from pliego.sources.html import extract_result_rows
+    path = scratch_path(spark, f"api-{uuid.uuid4().hex}")
+    cv = contract_view(spark, sf).where(F.col("fuente") == "A").drop("fuente")
+    cv.select(*[F.col(c).cast("string") for c in cv.columns]).write.json(path)
+    s2, rep = query_source2(files.scan_api_dump(spark, path), ContractQuery(), 100, ["proceso_de_compra", "objeto_del_contrato"])
+    s1 = query_source1(extract_result_rows(result_pages(spark, sf)), ContractQuery(state="NoExiste"))
+    _, report = query_combined({"SECOP II": s2, "SECOP I": s1, "otra": RuntimeError("sin respuesta")}, [rep],
+                               ContractQuery(contract_type="Obra"))
+    return report.select("fuente", "filas", "coincidencias", "truncado", "error", F.get("avisos", F.lit(0)).alias("aviso"))

@@ -17,10 +17,13 @@ def null_tokens(df: DataFrame, tokens: list[str] = NA_TOKENS) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c)) for c in cols})
 
 
-def scan_csv_text(spark: SparkSession, path: str, na_values: list[str] | None = NA_TOKENS) -> DataFrame:
-    """CSV with header -> all-string frame (no inference); quoted newlines
-    allowed; the BOM in the header is handled by the reader."""
-    df = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+def scan_csv_text(spark: SparkSession, path: str, na_values: list[str] | None = NA_TOKENS,
+                  multi_line: bool = True) -> DataFrame:
+    """CSV with header -> all-string frame (no inference); the BOM in the
+    header is handled by the reader. Quoted newlines are allowed by default,
+    which makes a file one task; pass ``multi_line=False`` for files with one
+    record per line, and large files are split."""
+    df = (spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
           .option("inferSchema", "false").option("encoding", "UTF-8").csv(path))
     return null_tokens(df, na_values) if na_values else df
 
@@ -42,13 +45,11 @@ def latest_snapshot(spark: SparkSession, folder: str, fmt: str = "csv") -> DataF
 
 
 def scan_base(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S3: Parquet or CSV base by extension; a missing base is an empty frame."""
-    try:
-        if path.endswith(".csv"):
-            return scan_csv_text(spark, path)
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent base
+    """S3: Parquet or CSV base by extension; a missing base is an empty frame, an unreadable one an error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema or T.StructType([]))
+    return scan_csv_text(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def scan_api_dump(spark: SparkSession, path: str, schema: T.StructType = API_SCHEMA,

@@ -43,8 +43,8 @@ def test_scan_base_missing_is_empty(spark, scratch):
 def test_versioned_base(spark, scratch):
     base = os.path.join(scratch, "base")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value")
-    upsert_base(spark, ev, base, ["event_id"])
-    upsert_base(spark, ev.limit(3).withColumn("value", F.lit(-1.0)), base, ["event_id"])
+    upsert_base(spark, ev, base, ["event_id"], ["value"])
+    upsert_base(spark, ev.limit(3).withColumn("value", F.lit(-1.0)), base, ["event_id"], ["value"])
     assert latest_version(spark, base) == 2
     cur = read_base(spark, base)
     assert cur.count() == ev.count() and cur.where("value = -1.0").count() == 3
