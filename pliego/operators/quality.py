@@ -71,7 +71,7 @@ def filter_options(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).cast("string").alias("valor"))
                       for c in columns if c in df.columns])
     return (df.select(F.explode(pairs).alias("_p")).select("_p.campo", "_p.valor")
-            .where(F.col("valor").isNotNull()).distinct())
+            .where(F.col("valor").isNotNull()).distinct().orderBy("campo", "valor"))
 
 
 def count_by_source(df: DataFrame, column: str = "fuente") -> DataFrame:

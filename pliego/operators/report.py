@@ -52,7 +52,8 @@ def conclusions(df: DataFrame, value: str = S.VALUE, market: DataFrame | None =
     mod = (S.predominant_modality(df) if "modalidad_de_contratacion" in df.columns
            else spark.createDataFrame([], "categoria string, contratos bigint, valor_total double, pct_valor double")
            ).withColumn("_k", F.lit(1))
-    j = m.join(sup, "_k").join(mod, "_k", "left")
+    # without a positive value the price items say N/D, the others stand
+    j = sup.join(m, "_k", "left").join(mod, "_k", "left")
     n_sup = F.translate(F.format_number(F.col("n_proveedores"), 0), ",", ".")
     return j.select(
         F.concat(F.lit("a) Precio promedio del mercado: "), money_text("media"),

@@ -23,7 +23,7 @@ SELECT DISTINCT 'P-' || proceso_de_compra || '-' || CAST(_linea AS VARCHAR) AS n
   '{_DETAIL}?numConstancia=' || proceso_de_compra || '-' || CAST(_linea AS VARCHAR) AS url_detalle
 FROM cv WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0""")
 def q_extract_rows(spark, sf):
-    return H.combine_pages(result_pages(spark, sf))
+    return H.combine_pages(result_pages(spark, sf)).drop("extra")
 
 
 @register("result_totals", """
@@ -71,3 +71,20 @@ def q_totals_landed(spark, sf):
 SELECT 'no table' AS error, count(*) AS paginas FROM pages WHERE NOT regexp_matches(html, '(?i)<table\\b')""")
 def q_page_errors_landed(spark, sf):
     return H.page_errors(H.table_rows(table(spark, sf, "pages")))
+
+
+@register("html_odd_tables", """
+SELECT c_custkey AS page_id, 'Cliente' AS columna, c_name AS valor FROM customer
+UNION ALL SELECT c_custkey, 'Cliente', c_mktsegment || ' ' || CAST(c_custkey AS VARCHAR) FROM customer
+UNION ALL SELECT c_custkey, 'Cliente', 'fin' FROM customer""")
+def q_html_odd(spark, sf):
+    """S6 on tables with equal headers, row headers and a table inside a cell."""
+    c = table(spark, sf, "customer")
+    html = F.concat(
+        F.lit("<table><thead><tr><th>Cliente</th><th>Cliente</th><th>Cliente</th></tr></thead><tbody><tr><th>fila</th><td>"),
+        F.col("c_name"), F.lit("</td><td>"), F.col("c_mktsegment"), F.lit("<table><tr><td>"), F.col("c_custkey").cast("string"),
+        F.lit("</td></tr></table></td><td>fin</td></tr></tbody></table>"))
+    pages = c.select(F.col("c_custkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    rows = H.extract_generic_rows(pages)
+    return rows.select("page_id", F.explode("fila").alias("k", "valor")).select(
+        "page_id", F.regexp_replace(F.initcap(F.regexp_replace("k", "#.*", "")), "_", " ").alias("columna"), "valor")

@@ -69,8 +69,8 @@ except Exception:  # noqa: BLE001 - older cloudpickle: the package must be impor
     pass
 
 ROWS_SCHEMA = ("page_id long, url string, t_idx int, t_class string, t_rows int, t_first string, "
-               "r_idx int, has_th boolean, cells array<string>, links array<string>, page_text string, "
-               "error string")
+               "r_idx int, has_th boolean, cells array<string>, links array<string>, tds array<string>, "
+               "heads array<string>, in_body boolean, page_text string, error string")
 
 
 class _TableReader(HTMLParser):
@@ -80,8 +80,10 @@ class _TableReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tables: list[dict] = []
         self.stack: list[dict] = []
+        self.outer: list[tuple] = []    # row, cell and part of the tables around this one
         self.row = None
         self.cell = None
+        self.part = ""
         self.text: list[str] = []
         self.skip = 0
 
@@ -93,24 +95,40 @@ class _TableReader(HTMLParser):
             t = {"class": a.get("class") or "", "rows": []}
             self.tables.append(t)
             self.stack.append(t)
+            self.outer.append((self.row, self.cell, self.part))
+            self.row, self.cell, self.part = None, None, ""
+        elif tag in ("thead", "tbody", "tfoot") and self.stack:
+            self.part = tag
         elif tag == "tr" and self.stack:
-            self.row = {"cells": [], "links": [], "th": False}
+            self.row = {"cells": [], "links": [], "th": False, "part": self.part}
             self.stack[-1]["rows"].append(self.row)
         elif tag in ("td", "th") and self.row is not None:
             self.row["th"] = self.row["th"] or tag == "th"
             self.cell = {"text": [], "links": [], "th": tag == "th"}
             self.row["cells"].append(self.cell)
         elif tag == "a" and self.cell is not None:
-            self.cell["links"].append(" ".join(v for v in (a.get("href"), a.get("onclick")) if v))
+            link = " ".join(v for v in (a.get("href"), a.get("onclick")) if v)
+            for cell in self._open_cells():
+                cell["links"].append(link)
         elif tag == "br":
             self.text.append("\n")
 
+    def _open_cells(self):
+        """The innermost cell and the cells of outer tables that hold it."""
+        if self.cell is not None:
+            yield self.cell
+        for _, cell, _ in self.outer:
+            if cell is not None:
+                yield cell
+
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         elif tag == "table" and self.stack:
             self.stack.pop()
-            self.row = None
+            self.row, self.cell, self.part = self.outer.pop()
+        elif tag in ("thead", "tbody", "tfoot"):
+            self.part = ""
         elif tag in ("td", "th"):
             self.cell = None
         elif tag == "tr":
@@ -121,8 +139,8 @@ class _TableReader(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
-        if self.cell is not None:
-            self.cell["text"].append(data)
+        for cell in self._open_cells():
+            cell["text"].append(data)
         self.text.append(data)
         self.text.append("\n")
 
@@ -135,6 +153,7 @@ def _cell_text(parts: list[str]) -> str:
 # faster than the event parser. Pages with nested tables use ``_TableReader``.
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TABLE = re.compile(r"<table\b([^>]*)>(.*?)</table\s*>", re.S | re.I)
+_PART = re.compile(r"<(thead|tbody|tfoot)\b[^>]*>", re.I)
 _TR = re.compile(r"<tr\b[^>]*>(.*?)(?=<tr\b|</tbody|</thead|</tfoot|\Z)", re.S | re.I)
 _CELL = re.compile(r"<(td|th)\b[^>]*>(.*?)(?=<td\b|<th\b|</tr|\Z)", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -166,10 +185,12 @@ def _fast_tables(html: str):
         cm = _CLASS.search(m.group(1))
         klass = unescape(next((g for g in cm.groups() if g is not None), "")) if cm else ""
         rows = []
+        parts = [(p.start(), p.group(1).lower()) for p in _PART.finditer(inner)]
         for tr in _TR.finditer(inner):
             cells = [(c.group(1).lower() == "th", c.group(2)) for c in _CELL.finditer(tr.group(1))]
             rows.append({"th": any(th for th, _ in cells),
-                         "cells": [{"text": _nodes(frag), "links": [_links(frag)]} for _, frag in cells]})
+                         "part": next((name for at, name in reversed(parts) if at < tr.start()), ""),
+                         "cells": [{"text": _nodes(frag), "links": [_links(frag)], "th": th} for th, frag in cells]})
         tables.append({"class": klass, "rows": rows})
     text = "\n".join(t.strip() for t in _nodes(body) if t.strip())
     return tables, text
@@ -188,20 +209,26 @@ def _parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     reader.feed(html or "")
                     reader.close()
                 except Exception as exc:  # noqa: BLE001 - a bad page is reported, not fatal
-                    out.append((page_id, url, -1, None, None, None, None, None, None, None, None, str(exc)))
+                    out.append((page_id, url, -1, None, None, None, None, None, None, None, None, None, None, None, str(exc)))
                     continue
                 tables = reader.tables
                 page_text = "\n".join(ln.strip() for ln in "".join(reader.text).split("\n") if ln.strip())
-            out.append((page_id, url, -1, None, None, None, None, None, None, None, page_text,
+            out.append((page_id, url, -1, None, None, None, None, None, None, None, None, None, None, page_text,
                         None if tables else "no table"))
             for ti, t in enumerate(tables):
                 first = ""
                 if t["rows"]:
                     first = " ".join(_cell_text(c["text"]) for c in t["rows"][0]["cells"]).lower()
+                parts = {r["part"] for r in t["rows"]}
+                # header cells: those of the head if there is one, else all; data rows: those of the body if there is one
+                heads = [_cell_text(c["text"]) for r in t["rows"] if r["part"] == "thead" or "thead" not in parts
+                         for c in r["cells"] if c["th"]]
                 for ri, r in enumerate(t["rows"]):
                     out.append((page_id, url, ti, t["class"], len(t["rows"]), first, ri, r["th"],
                                 [_cell_text(c["text"]) for c in r["cells"]],
-                                [" ".join(c["links"]) for c in r["cells"]], None, None))
+                                [" ".join(c["links"]) for c in r["cells"]],
+                                [_cell_text(c["text"]) for c in r["cells"] if not c["th"]],
+                                heads if ri == 0 else None, r["part"] == "tbody" or "tbody" not in parts, None, None))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ROWS_SCHEMA.split(", ")])
 
 
@@ -250,23 +277,26 @@ def extract_result_rows(pages: DataFrame, rows: DataFrame | None = None) -> Data
 def extract_generic_rows(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Fallback for a chosen table of unknown layout -> map(column -> value).
 
-    Headers come from the table's ``th`` cells (normalized), else ``col_i``;
-    rows are padded/truncated to the first data row's width; blank rows
-    dropped. Windows run over one page's rows."""
+    Headers come from the table head's ``th`` cells (normalized; a name that
+    comes again gets ``#2``, ``#3``, ...), else ``col_i``; values are the rows'
+    ``td`` cells, so row headers are left out and their rows kept; rows are
+    padded/truncated to the first data row's width; blank rows dropped.
+    Windows run over one page's rows."""
     rows = rows if rows is not None else table_rows(pages)
     r = _table_choice(rows).where(~F.col("is_result_table"))
     page = Window.partitionBy("page_id")
-    first_head = F.min(F.when(F.col("has_th"), F.struct("r_idx", "cells"))).over(page)
-    data_row = ~F.col("has_th") & (F.size("cells") > 0) & F.exists("cells", lambda x: x != "")
-    first_data = F.min(F.when(data_row, F.struct("r_idx", F.size("cells").alias("w")))).over(page)
-    d = (r.withColumn("_h", first_head).withColumn("_f", first_data).where(data_row)
-         .withColumn("headers", F.transform(F.coalesce(F.col("_h.cells"), F.array().cast("array<string>")),
-                                            lambda x: normalize_header(x)))
+    data_row = F.col("in_body") & (F.size("tds") > 0) & F.exists("tds", lambda x: x != "")
+    first_data = F.min(F.when(data_row, F.struct("r_idx", F.size("tds").alias("w")))).over(page)
+    d = (r.withColumn("_h", F.max("heads").over(page)).withColumn("_f", first_data).where(data_row)
+         .withColumn("_n", F.transform(F.coalesce("_h", F.array().cast("array<string>")), lambda x: normalize_header(x)))
          .withColumn("_width", F.col("_f.w")))
-    names = F.when(F.size("headers") == F.col("_width"), F.col("headers")).otherwise(
+    before = lambda x, i: F.size(F.filter(F.slice(F.col("_n"), F.lit(1), i), lambda y: y == x))
+    unique = F.transform(F.col("_n"), lambda x, i: F.when(before(x, i) == 0, x).otherwise(
+        F.concat(x, F.lit("#"), (before(x, i) + 1).cast("string"))))
+    names = F.when(F.size("_n") == F.col("_width"), unique).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
     padded = F.transform(F.sequence(F.lit(0), F.col("_width") - 1),
-                         lambda i: F.coalesce(F.get(F.col("cells"), i), F.lit("")))
+                         lambda i: F.coalesce(F.get(F.col("tds"), i), F.lit("")))
     return d.select("page_id", "r_idx", F.map_from_arrays(names, padded).alias("fila"))
 
 
@@ -280,14 +310,44 @@ def result_totals(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", total.alias("total_resultados"))
 
 
+def page_results(rows: DataFrame) -> DataFrame:
+    """One row per page: its data rows and, if it has none, why (``no table``, ``no rows`` or the parser's error)."""
+    chosen = _table_choice(rows)
+    data = F.when(F.col("is_result_table"), ~F.col("has_th") & result_row_predicate("cells")).otherwise(
+        F.col("in_body") & (F.size("tds") > 0) & F.exists("tds", lambda x: x != ""))
+    counted = chosen.groupBy("page_id").agg(F.count_if(data).alias("filas")).withColumnRenamed("page_id", "_page")
+    marks = rows.where(F.col("t_idx") == -1).select("page_id", "error")
+    return marks.join(counted, F.col("page_id").eqNullSafe(F.col("_page")), "left").select(
+        "page_id", F.coalesce("filas", F.lit(0)).alias("filas"),
+        F.coalesce("error", F.when(F.coalesce("filas", F.lit(0)) == 0, F.lit("no rows"))).alias("error"))
+
+
 def page_errors(rows: DataFrame) -> DataFrame:
-    """Parse errors per kind (pages are skipped, not fatal)."""
-    return rows.where(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("paginas"))
+    """Pages without data per kind of error (pages are skipped, not fatal)."""
+    return page_results(rows).where(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("paginas"))
+
+
+EXTRA = "array<struct<columna:string,valor:string>>"
 
 
 def combine_pages(pages: DataFrame) -> DataFrame:
-    """S10 + U2: rows of all pages that parsed, exact duplicates removed."""
-    return extract_result_rows(pages).drop("page_id").dropDuplicates()
+    """S10 + U2: the data rows of all pages that have any, exact duplicates removed.
+
+    Rows of pages of unknown layout stay: fields with a result column's name go
+    there, all others to ``extra`` (sorted by name; empty for result pages).
+    If there are pages and none has a data row, reading the result fails."""
+    rows = table_rows(pages)
+    known = extract_result_rows(pages, rows).drop("page_id").withColumn("extra", F.array().cast(EXTRA))
+    field = F.col("fila")
+    other = F.array_sort(F.map_entries(F.map_filter(field, lambda k, v: ~k.isin(*RESULT_COLUMNS))))
+    generic = extract_generic_rows(pages, rows).select(
+        *[F.element_at(field, c).alias(c) for c in RESULT_COLUMNS], other.cast(EXTRA).alias("extra"))
+    usable = page_results(rows).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("filas") > 0).alias("ok"))
+    failed = F.when((F.col("n") > 0) & (F.col("ok") == 0),
+                    F.raise_error(F.concat(F.lit("no page has data rows, of "), F.col("n").cast("string"))).cast("string"))
+    check = usable.select(failed.alias("_e")).where(F.col("_e").isNotNull()).select(
+        *[F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS], F.array().cast(EXTRA).alias("extra"))
+    return known.unionByName(generic).dropDuplicates().unionByName(check)
 
 
 def extract_detail_records(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -301,7 +361,9 @@ def extract_detail_records(pages: DataFrame, rows: DataFrame | None = None) -> D
     rows = rows if rows is not None else table_rows(pages)
     labels = F.broadcast(spark.createDataFrame(list(DETAIL_LABELS.items()), "etiqueta string, campo string"))
     pair = (F.col("t_idx") >= 0) & (F.size("cells") >= 2)
-    r = rows.select("page_id", "url", "t_idx", "r_idx", "page_text",
+    r = rows.select("page_id", "url", "t_idx", "r_idx",
+                    F.when(F.col("t_idx") == -1, header_number("page_text")).alias("_number"),
+                    F.when(F.col("t_idx") == -1, header_entity("page_text")).alias("_entity"),
                     F.when(pair, normalize_label(F.get(F.col("cells"), 0))).alias("etiqueta"),
                     F.when(pair, strip_ws(F.get(F.col("cells"), 1))).alias("valor"))
     r = r.join(labels, "etiqueta", "left")
@@ -309,7 +371,8 @@ def extract_detail_records(pages: DataFrame, rows: DataFrame | None = None) -> D
     usable = F.col("campo").isNotNull() & (F.col("etiqueta") != "") & F.coalesce(F.col("valor") != "", F.lit(False))
     pos = F.struct("t_idx", "r_idx")
     fields = sorted({v for v in DETAIL_LABELS.values()})
-    aggs = [F.max(F.when(F.col("t_idx") == -1, F.col("page_text"))).alias("_text"), F.max("url").alias("url")]
+    # the header is read in the scan: page text takes no part in the join and the aggregate
+    aggs = [F.max("_number").alias("_number"), F.max("_entity").alias("_entity"), F.max("url").alias("url")]
     for f in fields:
         hit = usable & (F.col("campo") == f)
         aggs.append(F.min_by(F.when(hit, F.col("valor")), F.when(hit, pos)).alias(f"_f_{f}"))
@@ -319,7 +382,7 @@ def extract_detail_records(pages: DataFrame, rows: DataFrame | None = None) -> D
     rec = per_page.withColumns(cols).withColumns({
         "departamento": F.coalesce(F.when(F.col("_f__ubicacion").isNotNull(), dept), F.lit("")),
         "municipio": F.coalesce(F.when(F.col("_f__ubicacion").isNotNull(), town), F.lit("")),
-        "numero_proceso": header_number("_text"), "entidad": header_entity("_text"),
+        "numero_proceso": F.coalesce("_number", F.lit("")), "entidad": F.coalesce("_entity", F.lit("")),
         "id_proceso": id_from_url("url"), "url_detalle": F.col("url")})
     for c in DETAIL_COLUMNS:
         if c not in rec.columns:

@@ -70,3 +70,27 @@ def test_generic_table(spark):
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
     rows = sorted(H.extract_generic_rows(pages).collect(), key=lambda r: r.r_idx)
     assert [dict(r.fila) for r in rows] == [{"nombre_cliente": "A", "saldo": "1"}, {"nombre_cliente": "B", "saldo": ""}]
+
+
+def pages_of(spark, *htmls):
+    return spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_odd_pages(spark):
+    empty = "<table><tr><th>Número de Proceso</th></tr></table>"
+    odd = ("<table><thead><tr><th>A</th><th>A</th><th>Numero Contrato</th></tr></thead>"
+           "<tbody><tr><th>1</th><td>x</td><td>y<table><tr><td>in</td></tr></table></td><td>z</td></tr></tbody></table>")
+    pages = pages_of(spark, results_page(), empty, odd, "<p>no</p>")
+    assert {r.error: r.paginas for r in H.page_errors(H.table_rows(pages)).collect()} == {"no rows": 1, "no table": 1}
+    out = H.combine_pages(pages).collect()
+    assert len(out) == 6
+    extra = next(r for r in out if r.extra)
+    assert {(e.columna, e.valor) for e in extra.extra} >= {("a", "x"), ("a#2", "y in")}
+
+
+def test_all_pages_failing_is_an_error(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="no page has data rows"):
+        H.combine_pages(pages_of(spark, "<p>a</p>", "<p>b</p>")).collect()
+    assert H.combine_pages(pages_of(spark, "x").limit(0)).collect() == []
