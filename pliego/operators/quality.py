@@ -132,7 +132,10 @@ def check_row(df: DataFrame, name: str, failed: Column, message: Column, level_o
 
 
 def standard_health_check(df: DataFrame, catalogs: dict, as_of: _dt.date, date_col: str,
-                          alias: tuple[str, str] | None = None) -> DataFrame:
+                          alias: tuple[str, str] | None = None, required: list[str] = (),
+                          applied: dict[str, list[str]] | None = None,
+                          smaller: dict[str, list[str]] | None = None,
+                          scripts: dict[str, tuple[DataFrame, str, dict[str, str]]] | None = None) -> DataFrame:
     """The source-health report as (comprobacion, nivel, mensaje) rows.
 
     * freshness of ``date_col`` at ``as_of`` (warning when old);
@@ -140,26 +143,63 @@ def standard_health_check(df: DataFrame, catalogs: dict, as_of: _dt.date, date_c
       (failure: filtering by them returns nothing) and data values the
       catalog lacks (warning);
     * regression: ``alias = (column, label)`` must still translate to a value
-      that finds rows (failure otherwise).
-    Every check is one small aggregate; nothing is collected."""
+      that finds rows (failure otherwise);
+    * ``required`` columns that are missing (A30, failure);
+    * ``applied``: rows outside the values a filter was to leave (A29, failure);
+    * ``smaller``: a filter by these values must leave out some row (A31, failure);
+    * ``scripts``: codes in portal scripts that a code table lacks (J9, warning).
+
+    The data is read once: every looked-at column is counted by value in one
+    aggregate, and all checks are sums over that table joined to the catalogs'
+    values. Only ``scripts`` are other tables."""
     from functools import reduce
 
-    from pyspark.sql import functions as F
-
     from pliego.operators.filters import resolve_option
-    from pliego.operators.lookup import catalog_orphans, catalog_unknowns
-    checks = []
-    fr = freshness(df, date_col, as_of)
-    checks.append(check_row(fr, "frescura", F.col("estado") == "aviso", F.col("dias"), "aviso"))
-    for column, options in catalogs.items():
-        orph = catalog_orphans(df, column, options).agg(F.count(F.lit(1)).alias("n"))
-        checks.append(check_row(orph, f"catalogo_huerfanos:{column}", F.col("n") > 0, F.col("n")))
-        unk = catalog_unknowns(df, column, options).agg(F.count(F.lit(1)).alias("n"))
-        checks.append(check_row(unk, f"catalogo_desconocidos:{column}", F.col("n") > 0, F.col("n"), "aviso"))
+    from pliego.operators.lookup import code_drift
+    spark = df.sparkSession
+    missing = required_columns_check(df, list(required))
+    watched = [c for c in dict.fromkeys([*catalogs, *(applied or {}), *(smaller or {})]) if c in df.columns]
+    pairs = F.array(F.struct(F.lit("").alias("columna"), F.lit("").alias("valor")),
+                    *[F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in watched])
+    seen = (df.select(F.col(date_col).alias("_t"), F.explode(pairs).alias("_p")).groupBy("_p.columna", "_p.valor")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("_t").alias("_t")))
+    listed = spark.createDataFrame(sorted({(c, v) for c, options in catalogs.items() for o in options for v in o.all_api_values}),
+                                   "_c string, _v string")
+    both = seen.join(listed, (F.col("columna") == F.col("_c")) & (F.col("valor") == F.col("_v")), "full")
+    at = lambda c, cond: F.coalesce(F.sum(F.when((F.col("columna") == c) & cond, F.col("n"))), F.lit(0))
+    as_of_ts = F.lit(_dt.datetime(as_of.year, as_of.month, as_of.day)).cast("timestamp_ntz")
+    age = F.floor((F.unix_timestamp(as_of_ts.cast("timestamp"))
+                   - F.unix_timestamp(F.max("_t").cast("timestamp"))) / 86400).cast("long")
+    # name, figure, whether it fails, level
+    checks: list[tuple[str, Column, object, str]] = [("frescura", age, lambda x: x > FRESHNESS_ALERT_DAYS, "aviso")]
+    for column in catalogs:
+        checks.append((f"catalogo_huerfanos:{column}", F.count_if((F.col("_c") == column) & F.col("columna").isNull()),
+                       lambda x: x > 0, "fallo"))
+        checks.append((f"catalogo_desconocidos:{column}",
+                       F.count_if((F.col("columna") == column) & F.col("valor").isNotNull() & F.col("_c").isNull()),
+                       lambda x: x > 0, "aviso"))
     if alias is not None:
         column, label = alias
         opt = resolve_option(catalogs[column], label)
         values = list(opt.all_api_values) if opt is not None else []
-        hits = df.agg(F.count_if(F.col(column).isin(values) if values else F.lit(False)).alias("n"))
-        checks.append(check_row(hits, f"regresion:{label}", F.col("n") == 0, F.col("n")))
-    return reduce(lambda a, b: a.unionByName(b), checks)
+        checks.append((f"regresion:{label}", at(column, F.col("valor").isin(values) if values else F.lit(False)),
+                       lambda x: x == 0, "fallo"))
+    for column, values in (applied or {}).items():
+        checks.append((f"filtro_aplicado:{column}", at(column, F.col("valor").isNotNull() & ~F.col("valor").isin(values)),
+                       lambda x: x > 0, "fallo"))
+    for column, values in (smaller or {}).items():
+        left_out = at(column, F.col("valor").isNull() | ~F.col("valor").isin(values))
+        checks.append((f"conteo_monotono:{column}", left_out, lambda x: x == 0, "fallo"))
+    wide = both.agg(*[figure.cast("long").alias(f"f{i}") for i, (_, figure, _, _) in enumerate(checks)])
+    rows = F.array(*[F.struct(F.lit(name).alias("comprobacion"),
+                              F.when(fails(F.col(f"f{i}")), F.lit(level)).otherwise(F.lit("ok")).alias("nivel"),
+                              F.col(f"f{i}").cast("string").alias("mensaje"))
+                     for i, (name, _, fails, level) in enumerate(checks)])
+    parts = [wide.select(F.explode(rows).alias("r")).select("r.*")]
+    if required:
+        parts.append(spark.createDataFrame([("columnas_requeridas", "fallo" if missing else "ok", ",".join(missing))],
+                                           "comprobacion string, nivel string, mensaje string"))
+    for name, (texts, column, table) in (scripts or {}).items():
+        drift = code_drift(texts, column, table).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(check_row(drift, f"codigos:{name}", F.col("n") > 0, F.col("n"), "aviso"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

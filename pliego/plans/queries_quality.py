@@ -76,6 +76,11 @@ def _health_sql() -> str:
   FROM (SELECT count(DISTINCT {col}) AS n FROM cv WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT valor FROM {cat}))""")
     parts.append("""SELECT 'regresion:Bogotá D.C.', CASE WHEN n = 0 THEN 'fallo' ELSE 'ok' END, CAST(n AS VARCHAR)
   FROM (SELECT count_if(departamento = 'Distrito Capital de Bogotá') AS n FROM cv)""")
+    parts.append("""SELECT 'filtro_aplicado:estado_contrato', CASE WHEN n > 0 THEN 'fallo' ELSE 'ok' END, CAST(n AS VARCHAR)
+  FROM (SELECT count_if(estado_contrato NOT IN ('F', 'O')) AS n FROM cv)""")
+    parts.append("""SELECT 'conteo_monotono:departamento', CASE WHEN n = 0 THEN 'fallo' ELSE 'ok' END, CAST(n AS VARCHAR)
+  FROM (SELECT count_if(departamento IS NULL OR departamento <> 'EUROPE') AS n FROM cv)""")
+    parts.append("SELECT 'columnas_requeridas', 'fallo', 'cuantia'")
     return CV + "\n" + "\nUNION ALL\n".join(parts)
 
 
@@ -85,4 +90,6 @@ def q_health_catalogs(spark, sf):
     cats = {"departamento": K.DEPARTMENTS, "modalidad_de_contratacion": K.MODALITIES,
             "tipo_de_contrato": K.CONTRACT_TYPES, "estado_contrato": K.STATES}
     return quality.standard_health_check(contract_view(spark, sf), cats, AS_OF, "fecha_de_inicio_del_contrato",
-                                         alias=("departamento", "Bogotá D.C."))
+                                         alias=("departamento", "Bogotá D.C."),
+                                         required=["objeto_del_contrato", "cuantia"],
+                                         applied={"estado_contrato": ["F", "O"]}, smaller={"departamento": ["EUROPE"]})

@@ -30,9 +30,53 @@ def test_scan_reads_only_used_columns(spark):
     assert lineitem_scans and all("l_discount" not in l and "l_shipdate" not in l for l in lineitem_scans)
 
 
-def test_top_n_per_dimension_limits_before_the_shuffle(spark):
-    plan = executed(study.demand_distributions(contract_view(spark, SF_SMALL)))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def scans(plan: str, name: str) -> int:
+    final = plan.split("== Initial Plan ==")[0]
+    return sum(1 for line in final.split("\n") if f"{name}.parquet" in line)
+
+
+def test_distributions_and_health_read_the_facts_once(spark):
+    cv = contract_view(spark, SF_SMALL)
+    assert scans(executed(study.distribution(cv, "modalidad_de_contratacion")), "lineitem") == 1
+    assert scans(executed(study.demand_distributions(cv)), "lineitem") == 1
+    import datetime as dt
+
+    from pliego.operators import quality
+    cats = {"departamento": K.DEPARTMENTS, "estado_contrato": K.STATES}
+    report = quality.standard_health_check(cv, cats, dt.date(2024, 2, 15), "fecha_de_inicio_del_contrato",
+                                           required=["ciudad"], applied={"estado_contrato": ["F"]})
+    assert scans(executed(report), "lineitem") == 1
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    from pliego.operators.cleaning import clean
+    from pliego.plans.fixtures import raw_results, result_pages
+    from pliego.plans.jobs import ContractQuery, query_source1, query_source2
+    cv, pages, raw = contract_view(spark, SF_SMALL), result_pages(spark, SF_SMALL), raw_results(spark, SF_SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup("plans-only", "plans only")
+    try:
+        clean(raw)
+        FL.filter_keywords(cv, "red")
+        q = ContractQuery(keyword="red", department="ASIA", date_from="01/01/1997")
+        query_source1(H.extract_result_rows(pages), q)
+        query_source2(cv, q)
+        assert list(sc.statusTracker().getJobIdsForGroup("plans-only")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_typed_date_filter_reaches_the_scan(spark):
+    from pliego.plans.jobs import ContractQuery, api_predicate
+    cv = contract_view(spark, SF_SMALL)
+    plan = executed(cv.where(api_predicate(cv, ContractQuery(date_from="01/01/1997"))).groupBy("ciudad").count())
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_partial_match_loop_only_for_the_rest(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/customer.parquet").select(F.col("c_name").alias("v"))
+    plan = executed(lookup.resolve_catalog(df, "v", K.DEPARTMENTS))
+    assert "BroadcastHashJoin" in plan and plan.count("BroadcastNestedLoopJoin") <= 2
 
 
 def test_catalog_is_broadcast(spark):
