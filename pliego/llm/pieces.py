@@ -43,8 +43,8 @@ def check_model(processor) -> None:
 class ChunkTable:
     """Ids and decoded bytes of distinct chunks."""
 
-    def __init__(self, processor):
-        self.sp = processor
+    def __init__(self, processor, decode: bool = True):
+        self.sp, self.decode = processor, decode
         self.begin, self.end = processor.bos_id(), processor.eos_id()
         self.lone = [processor.piece_to_id(MARK)]
         self.clear()
@@ -59,18 +59,27 @@ class ChunkTable:
         # the library puts a marker of its own before every text: leave out the chunk's first
         ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         ids = [self.lone if c == " " else x for c, x in zip(chunks, ids)]
-        self.decoded += [b" " + d.encode() for d in self.sp.decode(ids)]
+        if self.decode:
+            self.decoded += [b" " + d.encode() for d in self.sp.decode(ids)]
         n = len(self.code)
         self.code.update(zip(chunks, range(n, n + len(chunks))))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """A text's chunks, each with the markers before it."""
+        text = text.replace(MARK, " ")
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return _CHUNK.findall(" " + text)
+        return (" " + text.replace(" ", "\x00 ")).split("\x00") if "\x00" not in text else _CHUNK.findall(" " + text)
+
     def encode(self, texts: list[str]):
-        """(ids, decoded bytes) of each text."""
+        """(ids, decoded bytes) of each text; no bytes if the table was made without decoding."""
         if len(self.code) > TABLE_CHUNKS:
             self.clear()
-        split = [_CHUNK.findall((" " + t).replace(MARK, " ")) if t else [] for t in texts]
+        split = [self.chunks(t) if t else [] for t in texts]
         new = set().union(*split) - self.code.keys()
         if new:
             self.add(sorted(new))
@@ -85,7 +94,7 @@ class ChunkTable:
             ids[0], ids[-1] = self.begin, self.end
             if total:
                 ids[1:-1] = self.flat[np.arange(total) + np.repeat(self.start[c] - (ends - sizes), sizes)]
-            yield ids, b"".join(map(dec, codes))[1:]
+            yield ids, b"".join(map(dec, codes))[1:] if self.decode else b""
 
 
 def encode_documents(docs: DataFrame, model_file: str, doc: str = "doc_id", text: str = "text",
