@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pliego.functions.dates import term_text
+from pliego.functions.dates import parse_date, term_text
 from pliego.functions.links import entity_city, process_link, upper_or_nd
 from pliego.functions.money import money_text, percent_text, to_numeric
 from pliego.operators import study as S
@@ -17,14 +17,21 @@ TO_BE_COMPLETED = "[Por completar por la Entidad Estatal]"
 # -----------------------------------------------------------------------------
 
 
+def _as_date(df: DataFrame, column: str):
+    return parse_date(column) if df.schema[column].dataType.simpleString() == "string" else F.col(column).cast("timestamp_ntz")
+
+
 def annex(df: DataFrame, top: int = ANNEX_TOP, value: str = S.VALUE) -> DataFrame:
     """M7 (L3, W1, C18-C23): the ``top`` largest contracts, numbered 1..n.
 
     The cut is a distributed top-k (``TakeOrderedAndProject``); numbering and
     formatting run on those ``top`` rows only. Ties are broken by the
     displayed columns so the numbering is deterministic."""
-    start = "fecha_inicio" if "fecha_inicio" in df.columns else "fecha_de_inicio_del_contrato"
-    end = "fecha_fin" if "fecha_fin" in df.columns else "fecha_de_fin_del_contrato"
+    # a typed date wins row by row; where it is null the raw date is read
+    df = df.withColumns({out: F.coalesce(*[_as_date(df, c) for c in (typed, raw) if c in df.columns] or [F.lit(None).cast("timestamp_ntz")])
+                         for out, typed, raw in (("_inicio", "fecha_inicio", "fecha_de_inicio_del_contrato"),
+                                                 ("_fin", "fecha_fin", "fecha_de_fin_del_contrato"))})
+    start, end = "_inicio", "_fin"
     raw = ["proceso_de_compra", "modalidad_de_contratacion", "proveedor_adjudicado", "nombre_entidad", "ciudad",
            "objeto_del_contrato", start, end, "urlproceso"]
     raw = [c for c in raw if c in df.columns]
@@ -56,13 +63,13 @@ def conclusions(df: DataFrame, value: str = S.VALUE, market: DataFrame | None =
     j = sup.join(m, "_k", "left").join(mod, "_k", "left")
     n_sup = F.translate(F.format_number(F.col("n_proveedores"), 0), ",", ".")
     return j.select(
-        F.concat(F.lit("a) Precio promedio del mercado: "), money_text("media"),
-                 F.lit(". Excluidos los valores atípicos, el promedio ajustado es "), money_text("media_ajustada"),
-                 F.lit(" y la mediana "), money_text("mediana"), F.lit(".")).alias("a"),
-        F.concat(F.lit("b) Precio de referencia sugerido: "), money_text("precio_referencia"), F.lit(".")).alias("b"),
-        F.concat(F.lit("c) Rango de precios observado en el mercado: entre "), money_text("q1"), F.lit(" y "),
+        F.concat(F.lit("a) Promedio de los contratos analizados: "), money_text("media"),
+                 F.lit("; sin atípicos, "), money_text("media_ajustada"),
+                 F.lit("; mediana, "), money_text("mediana"), F.lit(".")).alias("a"),
+        F.concat(F.lit("b) Valor de referencia: "), money_text("precio_referencia"), F.lit(".")).alias("b"),
+        F.concat(F.lit("c) La mitad central de los valores va de "), money_text("q1"), F.lit(" a "),
                  money_text("q3"), F.lit(".")).alias("c"),
-        F.concat(F.lit("d) Potenciales oferentes: "), n_sup, F.lit(" proveedores.")).alias("d"),
+        F.concat(F.lit("d) Proveedores distintos: "), n_sup, F.lit(".")).alias("d"),
         F.when(F.col("categoria").isNotNull(),
                F.concat(F.lit("e) Modalidad de selección predominante: "), F.col("categoria"), F.lit(", empleada en "),
                         F.col("contratos").cast("string"), F.lit(" de los contratos analizados ("),

@@ -402,5 +402,40 @@ def kpis(df: DataFrame, value: str = VALUE) -> DataFrame:
 
 
 def study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> DataFrame:
-    """The price section for every segment in one job, instead of a loop."""
+    """A32, price section: every segment in one job, instead of a loop."""
     return market_stats(df, value, by)
+
+
+def full_study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> dict[str, DataFrame]:
+    """Every section of the study with the segment as an extra grouping key.
+    Null segments are segments."""
+    by = list(by)
+    tables = price_tables(df, value, by)
+    market = market_stats(df, value, by, tables=tables)
+    total = F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total")
+    out = {
+        "demanda_totales": df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_contratos"), total),
+        "demanda_distribuciones": demand_distributions(df, value=value, segment=by),
+        "mercado": market,
+        "referencia": market.select(*by, "precio_referencia", F.col("q1").alias("rango_desde"), F.col("q3").alias("rango_hasta")),
+        "atipicos_mayores": top_outliers(df, value, by, tables=tables),
+    }
+    if SUPPLIER in df.columns:
+        known = known_suppliers(df)
+        out["proveedores_n"] = known.groupBy(*by).agg(F.countDistinct(SUPPLIER).cast("long").alias("n_proveedores"))
+        sup = demand_distributions(known, [(SUPPLIER, 10)], value, by).drop("dimension")
+        out["proveedores"] = sup
+        out["concentracion"] = sup.groupBy(*by).agg(
+            F.max(F.when(F.col("posicion") == 1, F.col("categoria"))).alias("lider"),
+            F.max(F.when(F.col("posicion") == 1, F.col("pct_valor"))).alias("cuota_lider"),
+            F.sum(F.when(F.col("posicion") <= 5, F.col("pct_valor"))).alias("cuota_top5"))
+    if "modalidad_de_contratacion" in df.columns:
+        out["modalidad_predominante"] = demand_distributions(df, [("modalidad_de_contratacion", 1)], value, by).drop("dimension", "posicion")
+    date_col = pick_date_column(df)
+    if date_col:
+        dated = df.where(F.col(date_col).isNotNull())
+        per = lambda f, name: dated.groupBy(*by, f(date_col).alias(name)).agg(F.count(F.lit(1)).alias("contratos"), total)
+        out["por_anio"], out["por_mes"] = per(year_of, "anio"), per(month_of, "mes")
+        out["mes_pico"] = out["por_mes"].groupBy(*by).agg(F.max_by("mes", F.struct("contratos", -F.col("mes"))).alias("mes"))
+        out["periodo"] = dated.groupBy(*by).agg(F.min(date_col).alias("desde"), F.max(date_col).alias("hasta"))
+    return out

@@ -49,13 +49,13 @@ WITH b AS (SELECT value AS v FROM events WHERE value > 0),
 s AS (SELECT avg(v) AS media, quantile_cont(v, 0.5) AS mediana, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM b),
 f AS (SELECT b.v, b.v < s.q1 - 1.5 * (s.q3 - s.q1) OR b.v > s.q3 + 1.5 * (s.q3 - s.q1) AS out FROM b, s),
 a AS (SELECT avg(v) AS media_ajustada FROM f WHERE NOT out)
-SELECT 'a) Precio promedio del mercado: ' || """ + _money_sql("media") + """ ||
-  '. Excluidos los valores atípicos, el promedio ajustado es ' || """ + _money_sql("media_ajustada") + """ ||
-  ' y la mediana ' || """ + _money_sql("mediana") + """ || '.' AS a,
-  'b) Precio de referencia sugerido: ' || """ + _money_sql(
+SELECT 'a) Promedio de los contratos analizados: ' || """ + _money_sql("media") + """ ||
+  '; sin atípicos, ' || """ + _money_sql("media_ajustada") + """ ||
+  '; mediana, ' || """ + _money_sql("mediana") + """ || '.' AS a,
+  'b) Valor de referencia: ' || """ + _money_sql(
     "CASE WHEN media_ajustada IS NULL OR media_ajustada = 0 THEN media ELSE media_ajustada END") + """ || '.' AS b,
-  'c) Rango de precios observado en el mercado: entre ' || """ + _money_sql("q1") + """ || ' y ' || """ + _money_sql("q3") + """ || '.' AS c,
-  'd) Potenciales oferentes: 0 proveedores.' AS d, CAST(NULL AS VARCHAR) AS e,
+  'c) La mitad central de los valores va de ' || """ + _money_sql("q1") + """ || ' a ' || """ + _money_sql("q3") + """ || '.' AS c,
+  'd) Proveedores distintos: 0.' AS d, CAST(NULL AS VARCHAR) AS e,
   'f) Definición del presupuesto oficial: [Por completar por la Entidad Estatal]' AS f,
   'g) Requisitos habilitantes y criterios diferenciales: [Por completar por la Entidad Estatal]' AS g,
   'h) Análisis de riesgos: [Por completar por la Entidad Estatal]' AS h

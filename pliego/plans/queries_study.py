@@ -300,3 +300,39 @@ def q_describe_nulls(spark, sf):
          .when(F.col("user_id") % 11 == 0, -F.col("value")).otherwise(F.col("value")))
     d = study.describe_values(ev.select("event_type", v.alias("value")), "value", ["event_type"])
     return rounded(d, _DESC_ROUND)
+
+
+@register("study_segment_suppliers", f"""{CV},
+s AS (SELECT departamento, proveedor_adjudicado AS categoria, count(*) AS contratos, sum(valor_del_contrato) AS v
+      FROM (SELECT CASE WHEN departamento = 'ASIA' THEN NULL ELSE departamento END AS departamento, proveedor_adjudicado,
+              valor_del_contrato FROM cv) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY v DESC, categoria) AS n,
+             sum(v) OVER (PARTITION BY departamento) AS t FROM s)
+SELECT departamento, n AS posicion, categoria, contratos, round(v, 2) AS valor_total, round(v / t * 100, 4) AS pct_valor
+FROM r WHERE n <= 10""")
+def q_segment_suppliers(spark, sf):
+    """A32 with a null segment: the suppliers section per department."""
+    cv = contract_view(spark, sf)
+    cv = cv.withColumn("departamento", F.when(F.col("departamento") != "ASIA", F.col("departamento")))
+    out = study.full_study_per_segment(cv, ["departamento"])["proveedores"]
+    return rounded(out, {"valor_total": 2, "pct_valor": 4})
+
+
+@register("study_segment_periods", f"""{CV}
+SELECT departamento, CAST(year(fecha_de_inicio_del_contrato) AS BIGINT) AS anio, count(*) AS contratos,
+  round(sum(valor_del_contrato), 2) AS valor_total FROM cv WHERE fecha_de_inicio_del_contrato IS NOT NULL GROUP BY 1, 2""")
+def q_segment_periods(spark, sf):
+    out = study.full_study_per_segment(contract_view(spark, sf), ["departamento"])["por_anio"]
+    return rounded(out, {"valor_total": 2})
+
+
+@register("describe_with_nan_and_null_segment", """
+WITH b AS (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS g,
+             CASE WHEN event_id % 10 <> 0 THEN value END AS v FROM events)
+SELECT g, count(*) AS n, round(avg(v), 6) AS media, round(quantile_cont(v, 0.5), 6) AS mediana FROM b WHERE v > 0 GROUP BY g""")
+def q_describe_nan(spark, sf):
+    ev = table(spark, sf, "events").select(
+        F.when(F.col("event_type") != "click", F.col("event_type")).alias("g"),
+        F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"))
+    out = study.describe_values(ev, "v", ["g"]).select("g", "n", "media", "mediana")
+    return rounded(out, {"media": 6, "mediana": 6})
