@@ -42,3 +42,12 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables: fewer tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -306,3 +306,20 @@ def test_registered_small(spark):
     ids = [r[0] for r in spark.read.parquet(SF_SMALL + "/documents.parquet").select("doc_id").collect()]
     for name in ("op7_sentencepiece", "op10_sharding"):
         assert sorted(r[0] for r in QUERIES[name](spark, SF_SMALL).select("doc_id").collect()) == sorted(ids)
+
+
+@pytest.mark.parametrize("name", ["op3_decontamination", "op10_sharding"])
+def test_sql(spark, name):
+    import duckdb
+
+    from oracle_compare import canon
+    from pliego.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    res = con.execute(ORACLE[name])
+    names, rows = [d[0] for d in res.description], res.fetchall()
+    df = QUERIES[name](spark, SF_SMALL)
+    assert sorted(df.columns) == sorted(names)
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(names, rows)
