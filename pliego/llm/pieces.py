@@ -40,6 +40,18 @@ def check_model(processor) -> None:
         raise ValueError("the model's normalisation changes white space; the chunk table cannot be used")
 
 
+class _Codes(dict):
+    """Numbers of chunks; a chunk not met before gets the next one and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkTable:
     """Ids and decoded bytes of distinct chunks."""
 
@@ -50,19 +62,19 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.decoded: list[bytes] = []
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
-    def add(self, chunks: list[str]) -> None:
+    def _segment(self) -> None:
+        """Ids of the chunks noted as new."""
+        chunks, self.code.new = self.code.new, []
         # the library puts a marker of its own before every text: leave out the chunk's first
         ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         ids = [self.lone if c == " " else x for c, x in zip(chunks, ids)]
         if self.decode:
             self.decoded += [b" " + d.encode() for d in self.sp.decode(ids)]
-        n = len(self.code)
-        self.code.update(zip(chunks, range(n, n + len(chunks))))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
@@ -80,12 +92,11 @@ class ChunkTable:
         if len(self.code) > TABLE_CHUNKS:
             self.clear()
         split = [self.chunks(t) if t else [] for t in texts]
-        new = set().union(*split) - self.code.keys()
-        if new:
-            self.add(sorted(new))
-        get, dec = self.code.__getitem__, self.decoded.__getitem__
-        for chunks in split:
-            codes = list(map(get, chunks))
+        number, dec = self.code.__getitem__, self.decoded.__getitem__
+        coded = [list(map(number, chunks)) for chunks in split]
+        if self.code.new:
+            self._segment()
+        for codes in coded:
             c = np.array(codes, np.int64)
             sizes = self.start[c + 1] - self.start[c]
             ends = np.cumsum(sizes)
