@@ -292,7 +292,6 @@ def _third_pass(r: DataFrame, keys: list[str], second: DataFrame, top: int = 0,
 
 
 def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                          stats: DataFrame | None = None,
                           ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
     """A13 + A14: outlier count and % (strict fences, Q9) and n, mean, median,
     min, max, std, CV, total of the values that are not outliers."""
@@ -313,8 +312,7 @@ def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] =
     return drop_all_key(out)
 
 
-def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-             stats: DataFrame | None = None) -> DataFrame:
+def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
     """A13 (+F12): outlier count and percentage (strict fences, Q9)."""
     _, first, second, keys = _price_tables(df, value, by, None)
     out = join_groups(first.select(*keys, "n"), second, keys).select(
@@ -324,7 +322,6 @@ def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
 
 
 def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
-                 stats: DataFrame | None = None,
                  ranked: tuple[DataFrame, list[str]] | None = None, tables: tuple | None = None) -> DataFrame:
     """The five largest outlier values (duplicates kept), ranked."""
     r, first, second, keys = _price_tables(df, value, by, ranked, tables)
@@ -336,11 +333,10 @@ def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top:
     return drop_all_key(out)
 
 
-def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                   stats: DataFrame | None = None) -> DataFrame:
+def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
     """N, mean, median, min, max, std, CV and total without the outliers
     (groups whose every value is an outlier are absent)."""
-    oa = outliers_and_adjusted(df, value, by, stats).where(F.col("n_ajustado") > 0)
+    oa = outliers_and_adjusted(df, value, by).where(F.col("n_ajustado") > 0)
     return oa.select(*by, "n_ajustado", "media_ajustada", "mediana_ajustada", "minimo_ajustado",
                      "maximo_ajustado", "desviacion_ajustada", "coef_variacion_ajustado", "total_ajustado")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +81,3 @@ def sink_report_tables(sections: dict[str, DataFrame], path: str, fmt: str = "pa
         (w.option("header", "true").csv(out) if fmt == "csv" else w.parquet(out))
         written.append(out)
     return written
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
