@@ -41,7 +41,7 @@ from pliego.llm.common import bounded_batches, ship, text_blocks, written
 
 LENGTH = 200
 WIDTH = 40
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 128 << 10
 _PIECE = 256 << 10
 _POS_BITS = 21
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     bytes_of = written(_context_bytes(src, many, length), "bytes")
     large = per.filter(f"nx > 1 AND size > {BUCKET_BYTES}").select("k").checkpoint()
     ranges = alone.unionByName(_merge_buckets(
-        bytes_of.join(large, "k", "left_anti"), int(4 * total // BUCKET_BYTES) + 1, length, width))
+        bytes_of.join(large, "k", "left_anti"), int(8 * total // BUCKET_BYTES) + 1, length, width))
     if not large.isEmpty():
         ranges = ranges.unionByName(_group_windows(bytes_of.join(large, "k", "left_semi"), length))
     found = ranges.filter(F.size("r") > 0)
