@@ -9,7 +9,8 @@ order only steers the work: any order gives the same links.
    never paired with each other.
 2. Prefix: two sets with Jaccard similarity of at least t share an n-gram among
    the first ``n - ceil(t n) + 1`` of each. N-grams in one prefix only are
-   dropped; how many a class loses that way bounds its overlap with any other.
+   dropped; how many a class loses that way bounds its overlap with any class
+   whose prefix reaches at least as far.
 3. Classes that share a prefix n-gram are candidates. Groups of up to ``SMALL``
    give all their pairs. A larger group gives each class paired with the hub
    (the class with most copies) and with its run of about ``SMALL`` classes:
@@ -193,13 +194,23 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
             .filter((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
+def _whole(percent: int) -> str:
+    """Whether the set whose prefix ends first can have the overlap that classes a and b need.
+
+    Only its own prefix n-grams are sure to be in the other's prefix if they are in
+    the other set: those of the longer-reaching prefix may lie beyond the shorter one.
+    """
+    return f"{100 + percent} * CASE WHEN a.last < b.last THEN a.e ELSE b.e END >= {percent} * (a.n + b.n)"
+
+
 def _possible(percent: int):
     """Whether the classes of rows a and b, which share an n-gram, can be linked by what the row of each says.
 
-    Their sizes without n-grams that no other prefix has; the n-gram's place in the
-    short prefix of the smaller set; and the most that can lie before and after it.
+    The size of the set whose prefix ends first, without n-grams that no other prefix
+    has; the n-gram's place in the short prefix of the smaller set; and the most that
+    can lie before and after it.
     """
-    return F.expr(f"{100 + percent} * least(a.e, b.e) >= {percent} * (a.n + b.n) "
+    return F.expr(f"{_whole(percent)} "
                   "AND CASE WHEN a.n < b.n OR (a.n = b.n AND a.c < b.c) THEN a.q ELSE b.q END "
                   f"AND {100 + percent} * (least(a.r, b.r) + least(a.n - a.i, b.n - b.i)) >= {percent} * (a.n + b.n)")
 
@@ -222,7 +233,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     tokens = classes.select("c", F.posexplode("prefix").alias("i", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
     tokens = written(tokens.join(shared, "k"), "shared")
-    # n-grams of its prefix that no other prefix has cannot be in any overlap
+    # n-grams of its prefix that no other prefix has cannot be in an overlap with a set whose prefix reaches as far
     bound = tokens.groupBy("c").agg(F.count("*").alias("in_common"),
                                     F.sum((F.col("m") > SMALL).cast("int")).alias("wide")).join(classes, "c").select(
         "c", "n", "copies", "wide", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"),
@@ -238,8 +249,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     # the set whose prefix ends first: what a pair's overlap may have besides its small groups
     rest = F.expr("least(a.wide, b.wide) + CASE WHEN a.last < b.last THEN a.n - a.p ELSE b.n - b.p END").alias("rest")
     a, b = tokens.alias("a"), tokens.alias("b")
-    near = a.join(b, F.expr("a.k = b.k AND a.run = b.run AND a.c < b.c "
-                            f"AND {100 + percent} * least(a.e, b.e) >= {percent} * (a.n + b.n)")).select(
+    near = a.join(b, F.expr(f"a.k = b.k AND a.run = b.run AND a.c < b.c AND {_whole(percent)}")).select(
         F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), rest,
         F.expr(f"CAST(a.m <= {SMALL} AS int)").alias("one"), _possible(percent).alias("ok"))
     hubs = (tokens.filter(f"m > {SMALL}").groupBy("k")
@@ -267,7 +277,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         comps = connected_components(links).checkpoint()
         # large groups with classes of different components
         wide = (tokens.filter(f"m > {SMALL}").join(comps, F.col("c") == F.col("node"), "left")
-                .select("k", "c", "n", "e", "i", "r", "q", F.coalesce("root", "c").alias("g")))
+                .select("k", "c", "n", "e", "i", "r", "q", "last", F.coalesce("root", "c").alias("g")))
         sizes = wide.groupBy("k", "g").agg(F.count("*").alias("s"))
         main = sizes.groupBy("k").agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
         wide = wide.join(main.select("k", F.col("x.g").alias("main")), "k").checkpoint()

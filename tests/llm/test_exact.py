@@ -144,6 +144,22 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert counted(jaccard_join.near_duplicates(df).collect()) == groups_brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("n,percent,low,high", [(3, 90, 0.04, 0.1), (5, 80, 0.1, 0.24)])
+def test_jaccard_appended_text(spark, n, percent, low, high):
+    """Originals with many copies and one near copy each, with rare words appended: the prefixes reach differently far."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        rows += [(100 * i + j, " ".join(w)) for j in range(12)]
+        more = int(len(w) * (low + (high - low) * i / 39))
+        rows.append((100 * i + 50, " ".join(w + [f"x{i}y{j}" for j in range(more)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups_brute(rows, n, percent)
+    assert sum(v for (i, _, low), v in want.items() if i % 100 == 50 and low == i - 50) > 30
+    assert counted(jaccard_join.near_duplicates(df, n, percent).collect()) == want
+
+
 def test_keep_one_of_each(odd):
     kept = jaccard_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
