@@ -261,6 +261,31 @@ def test_training_lowers_loss(spark):
     assert per > -5.5  # a uniform choice among the pieces costs about 11 a word
 
 
+def test_lm_learns_from_whole_texts(spark, monkeypatch):
+    """Pair counts cover every place of every training text; windows come from anywhere and grow with the corpus."""
+    seen = {}
+
+    def fit(self, x, y, pairs=None, **rest):
+        seen.update(rest, x=x, y=y, pairs=pairs)
+        return self.ready()
+
+    monkeypatch.setattr(lm_score.Attention, "fit", fit)
+    monkeypatch.setattr(lm_score, "STEPS", 2)
+    monkeypatch.setattr(lm_score, "DRAWN", 4)
+    texts = ["alpha beta " * 3000 + "omega delta " * 3000 for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lm_score.score_held_out(df, tokenizer_path("piece_bpe_32k.model"))
+    pairs = seen["pairs"].reshape(-1, lm_score.PLACES)
+    learnt = [i for i in range(40) if crc(i, 7) != 2]
+    assert pairs[lm_score.BEGIN].sum() == pairs[:, lm_score.END].sum() == len(learnt)
+    # each half of a text repeats its own words 3,000 times
+    assert (pairs >= 2999 * len(learnt)).sum() >= 4 and pairs.sum() > 12000 * len(learnt)
+    windows = pairs.sum() / lm_score.STRIDE
+    assert 0.8 * windows / 4 < len(seen["x"]) < 1.2 * windows / 4
+    assert seen["steps"] == -(-len(seen["x"]) // lm_score.BATCH)
+    assert len(np.unique(seen["y"][seen["y"] >= 0])) >= 4
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
