@@ -243,6 +243,20 @@ def test_next_token_probabilities_add_up():
     assert abs(np.exp(lp).sum() - 1) < 1e-4
 
 
+def test_every_id_has_an_input_and_enough_history():
+    """A rare id before a token changes what is predicted after it, once trained; windows overlap by 8 tokens at least."""
+    assert lm_score.CONTEXT - lm_score.STRIDE >= 8
+    counts = np.arange(6000)[::-1]
+    scorer = lm_score.Scorer(counts, lm_score.Attention().ready())
+    assert len(np.unique(scorer.input)) == len(counts)
+    # the rare ids 5000 and 5001 share the last place, but foretell different tokens
+    rng = np.random.default_rng(6)
+    text = np.concatenate([[r, r - 5000 + 3] for r in rng.choice([5000, 5001], 400)])
+    scorer.net.fit(*scorer.windows([text])[:2], steps=300)
+    right, wrong = (scorer.score([np.array(t)])[0] for t in ([5000, 3, 5001, 4, 5000, 3], [5000, 4, 5001, 3, 5000, 4]))
+    assert right > wrong + 1
+
+
 def test_gradients():
     """The hand-written gradient lowers the loss on what it was fitted to."""
     rng = np.random.default_rng(3)
