@@ -24,10 +24,10 @@ def _folder(spark, name: str) -> str:
 
 @register("latest_snapshot_customer", "SELECT c_custkey, c_name FROM customer")
 def q_latest_snapshot(spark, sf):
-    """Two snapshots of one folder; the newer file holds the whole table."""
+    """Two snapshots in one folder, each a folder of many files; the newer one holds the whole table."""
     path, c = _folder(spark, "snapshots"), table(spark, sf, "customer").select("c_custkey", "c_name")
-    c.where("c_custkey % 2 = 0").coalesce(1).write.mode("append").parquet(path)
-    c.coalesce(1).write.mode("append").parquet(path)
+    c.where("c_custkey % 2 = 0").write.parquet(f"{path}/first")
+    c.write.parquet(f"{path}/second")
     return files.latest_snapshot(spark, path, "parquet")
 
 

@@ -26,15 +26,32 @@ def scan_csv_text(spark: SparkSession, path: str, na_values: list[str] | None =
     return null_tokens(df, na_values) if na_values else df
 
 
+def _committed_folders(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(time, path) of the finished snapshots in a folder: subfolders with a ``_SUCCESS`` file, and its time."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = fs.globStatus(path(path(folder), "*/_SUCCESS")) or []
+    return [(m.getModificationTime(), m.getPath().getParent().toString()) for m in marks]
+
+
 def latest_snapshot(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
-    """Rows of the newest file in a folder (by modification time).
-
-    The folder is listed through the ``binaryFile`` source without selecting
-    its content column, so only file metadata is read; one row (the newest
-    path) reaches the driver, and only that file is scanned."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-               .select("path", "modificationTime"))
-    newest = listing.orderBy(F.desc("modificationTime"), F.desc("path")).select("path").first()
+    """Rows of the newest snapshot in a folder (by modification time).
+
+    A snapshot is a file, or a subfolder of many files that Spark wrote, as new
+    as its ``_SUCCESS`` file; where there are such subfolders, files in other
+    subfolders are unfinished and left out. Files are listed through the
+    ``binaryFile`` source without selecting its content column, so only file
+    metadata is read; one row (the newest path) reaches the driver, and only
+    that snapshot is scanned."""
+    folders = _committed_folders(spark, folder)
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", str(not folders).lower()).load(folder)
+               .select("path", F.unix_millis("modificationTime").alias("time")))
+    if folders:
+        done = spark.createDataFrame(folders, "time long, path string").select("path", "time")
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+        # files of the folder itself
+        listing = listing.filter(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)|/[^/]*$", "") == top).unionByName(done)
+    newest = listing.orderBy(F.desc("time"), F.desc("path")).select("path").first()
     if newest is None:
         return spark.createDataFrame([], T.StructType([]))
     if fmt == "csv":

@@ -34,6 +34,20 @@ def test_latest_snapshot(spark, scratch):
     assert [r.k for r in files.latest_snapshot(spark, folder).collect()] == ["new.csv"]
 
 
+def test_latest_snapshot_of_many_files(spark, scratch):
+    """The newest finished folder is read whole; unfinished folders and older files are not."""
+    folder = os.path.join(scratch, "snapshot-folders")
+    df = spark.range(100).repartition(4)
+    df.where("id < 10").write.parquet(f"{folder}/z-old")
+    df.write.parquet(f"{folder}/a-new")
+    df.where("id < 20").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/unfinished")
+    got = files.latest_snapshot(spark, folder, "parquet")
+    assert sorted(r.id for r in got.collect()) == list(range(100)) and len(got.inputFiles()) == 4
+    df.where("id = 7").coalesce(1).write.mode("append").parquet(folder)
+    assert [r.id for r in files.latest_snapshot(spark, folder, "parquet").collect()] == [7]
+
+
+
 def test_scan_base_missing_is_empty(spark, scratch):
     from pliego.schemas import DETAIL_SCHEMA
     df = files.scan_base(spark, os.path.join(scratch, "nope"), DETAIL_SCHEMA)
