@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import ann_tree, decontaminate, jaccard_join, langid, lm_score, pieces, quality_rank, sharding, spelling, suffix_dedup, url_model
+from pliego.llm import ann_tree, decontaminate, jaccard_join, langid, lm_score, pieces, quality_rank, sharding, spelling, suffix_dedup, token_align, toxicity, url_model
 from pliego.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_held_out(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@_add("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                       tokenizer_path("piece_bpe_32k.model"))
+
+
 @_add("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@_add("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
