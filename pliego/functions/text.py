@@ -91,6 +91,15 @@ def fold(col) -> Column:
     return F.lower(F.translate(_c(col), ACCENTED, UNACCENTED))
 
 
+#: Lower-case accented letters and their plain ones.
+_PLAIN = {letter: plain for letter, plain in zip(ACCENTED, UNACCENTED) if letter.islower()}
+
+
+def plain_lower(text: str) -> str:
+    """C7 for one argument on the driver."""
+    return "".join(_PLAIN.get(letter, letter) for letter in text.lower())
+
+
 def fold_collapse(col) -> Column:
     """Fold + collapse whitespace + strip."""
     return collapse_ws(fold(col))

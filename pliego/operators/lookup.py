@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.catalogs import ALL_LABEL, NATIONAL_LABEL, Option, catalog_frame, code_table_frame
-from pliego.functions.text import ACCENTED, UNACCENTED, fold_collapse, strip_ws
+from pliego.functions.text import fold_collapse, plain_lower, strip_ws
 
 # ---- fixed values -------------------------------------------------------------
 # Tier order (Q24, our deviation: an option's own label/value/code ranks above
@@ -36,7 +36,7 @@ class KeyIndex:
     def position(self, value: str) -> int | None:
         """Place of the entry that a text stands for, by the lowest tier, then the first place."""
         text = str(value).strip()
-        goal = folded(text)
+        goal = catalog_key(text)
         exact = [(tier, self._first[tier, key]) for tier, key in self.asked(text, goal) if (tier, key) in self._first]
         partial = [(TIER_PARTIAL, pos) for name, pos in self.names if goal and goal in name]
         return min(exact or partial, default=(None, None))[1]
@@ -50,25 +50,22 @@ class KeyIndex:
                 spark.createDataFrame(self.names, "name string, pos int"))
 
 
-FOLD_TABLE = str.maketrans(ACCENTED, UNACCENTED)
-
-
-def folded(text: str) -> str:
-    """The driver's twin of ``fold_collapse`` for catalog keys and filter arguments."""
-    return " ".join(str(text).translate(FOLD_TABLE).lower().split())
+def catalog_key(text: str) -> str:
+    """What ``fold_collapse`` makes of a catalog entry or a filter argument: its words in plain lower case, one space between."""
+    return " ".join(plain_lower(word) for word in text.split())
 
 
 def option_index(options: list[Option]) -> KeyIndex:
     entries: list[tuple[int, str | None, int]] = []
     for pos, o in enumerate(options):
         entries += [(TIER_CODE, o.code, pos), (TIER_API, o.api_value, pos)]
-        entries += [(TIER_OWN, folded(k), pos) for k in (o.label, o.api_value, o.code) if k]
-        entries += [(TIER_MEMBER, folded(k), pos) for k in o.all_api_values]
-    return KeyIndex(entries, [(folded(o.label), pos) for pos, o in enumerate(options)])
+        entries += [(TIER_OWN, catalog_key(k), pos) for k in (o.label, o.api_value, o.code) if k]
+        entries += [(TIER_MEMBER, catalog_key(k), pos) for k in o.all_api_values]
+    return KeyIndex(entries, [(catalog_key(o.label), pos) for pos, o in enumerate(options)])
 
 
 def code_index(table: dict[str, str]) -> KeyIndex:
-    named = [(folded(name), pos) for pos, name in enumerate(table.values())]
+    named = [(catalog_key(name), pos) for pos, name in enumerate(table.values())]
     return KeyIndex([(TIER_CODE, code, pos) for pos, code in enumerate(table)]
                     + [(TIER_OWN, name, pos) for name, pos in named], named)
 

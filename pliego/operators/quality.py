@@ -20,27 +20,51 @@ def _spark_type_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def _cell_text(f: T.StructField) -> Column:
+    """A cell as text that is equal exactly where the cells are."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0)                       # -0.0 equals 0.0
+    elif isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    elif not isinstance(f.dataType, T.AtomicType):
+        return F.to_json(F.struct(c.alias("v")))
+    return c.cast("string")
+
+
 def quality_report(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, nulls, % nulls, distinct non-null values,
-    blanks (text only). One wide aggregate, then unpivoted."""
+    blanks (text only).
+
+    Every cell becomes a (column, value) pair and alike ones are merged in the task, so
+    the shuffle carries a pair once a task and rows are not copied whole for every
+    distinct count. ``approximate`` counts distinct values by HLL++ in one wide
+    aggregate instead."""
     fields = df.schema.fields
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append((F.approx_count_distinct(c) if approximate else F.countDistinct(c)).cast("long").alias(f"d{i}"))
-        if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(strip_ws(c) == "").alias(f"b{i}"))
-        else:
-            aggs.append(F.lit(None).cast("long").alias(f"b{i}"))
-    wide = df.agg(*aggs)
-    parts = ", ".join(f"'{f.name}', '{_spark_type_name(f.dataType)}', n{i}, d{i}, b{i}"
-                      for i, f in enumerate(fields))
-    long = wide.selectExpr("_rows", f"stack({len(fields)}, {parts}) AS (columna, dtype, nulos, unicos, vacios)")
-    pct = F.when(F.col("_rows") > 0, F.round(F.col("nulos") / F.col("_rows") * 100.0, 2)).otherwise(F.lit(None))
-    return long.select("columna", "dtype", F.col("nulos").cast("long").alias("nulos"),
-                       pct.cast("double").alias("pct_nulos"), F.col("unicos").cast("long").alias("unicos"),
-                       F.col("vacios").cast("long").alias("vacios"))
+    if approximate:
+        aggs: list[Column] = []
+        for i, f in enumerate(fields):
+            c = F.col(f"`{f.name}`")
+            blank = F.count_if(strip_ws(c) == "") if isinstance(f.dataType, T.StringType) else F.lit(0)
+            aggs.append(F.struct(F.lit(i).alias("i"), F.count(F.lit(1)).alias("filas"), F.count_if(c.isNull()).alias("nulos"),
+                                 F.approx_count_distinct(c).cast("long").alias("unicos"), blank.cast("long").alias("vacios")))
+        long = df.agg(F.array(*aggs).alias("_a")).select(F.explode("_a").alias("_a")).select("_a.*")
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), _cell_text(f).alias("x")) for i, f in enumerate(fields)])
+        pairs = df.select(F.explode(cells).alias("p")).groupBy("p.i", "p.x").agg(F.count(F.lit(1)).alias("n"))
+        counted = pairs.groupBy("i").agg(
+            F.sum("n").alias("filas"), F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("nulos"),
+            F.count("x").alias("unicos"), F.sum(F.when(strip_ws(F.col("x")) == "", F.col("n")).otherwise(0)).alias("vacios"))
+        every = df.sparkSession.createDataFrame([(i,) for i in range(len(fields))], "i int")   # an empty table has no pairs
+        long = every.join(counted, "i", "left").fillna(0)
+    names_of = F.array(*[F.lit(f.name) for f in fields])
+    types_of = F.array(*[F.lit(_spark_type_name(f.dataType)) for f in fields])
+    text = F.array(*[F.lit(isinstance(f.dataType, T.StringType)) for f in fields])
+    pct = F.when(F.col("filas") > 0, F.round(F.col("nulos") / F.col("filas") * 100.0, 2)).otherwise(F.lit(None))
+    return long.select(F.get(names_of, F.col("i")).alias("columna"), F.get(types_of, F.col("i")).alias("dtype"),
+                       F.col("nulos").cast("long").alias("nulos"), pct.cast("double").alias("pct_nulos"),
+                       F.col("unicos").cast("long").alias("unicos"),
+                       F.when(F.get(text, F.col("i")), F.col("vacios")).cast("long").alias("vacios"))
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -84,21 +108,26 @@ def source_list(df: DataFrame, column: str = "fuente") -> DataFrame:
     return df.agg(F.array_sort(F.collect_set(column)).alias("fuentes"))
 
 
-def freshness(df: DataFrame, column: str, as_of: _dt.date | _dt.datetime,
-              threshold_days: int = FRESHNESS_ALERT_DAYS) -> DataFrame:
-    """Newest date, age in days at ``as_of`` (injected, deterministic),
-    ok/warn against the threshold and the 7/30-day badge."""
+def freshness_badge(df: DataFrame, column: str, as_of: _dt.date | _dt.datetime,
+                    threshold_days: int = FRESHNESS_ALERT_DAYS) -> DataFrame:
+    """Age in days of ``column`` at ``as_of``, ok/warn against the threshold and the 7/30-day badge, for every row."""
     as_of_ts = F.lit(_dt.datetime(as_of.year, as_of.month, as_of.day)).cast("timestamp_ntz")
-    newest = df.agg(F.max(F.col(column)).alias("mas_reciente"))
     age = F.floor((F.unix_timestamp(as_of_ts.cast("timestamp")) -
-                   F.unix_timestamp(F.col("mas_reciente").cast("timestamp"))) / 86400).cast("long")
-    return newest.select(
-        "mas_reciente", age.alias("dias"),
+                   F.unix_timestamp(F.col(column).cast("timestamp"))) / 86400).cast("long")
+    return df.select(
+        "*", age.alias("dias"),
         F.when(age > threshold_days, F.lit("aviso")).otherwise(F.lit("ok")).alias("estado"),
         F.when(age <= BADGE_DAYS[0], F.lit("reciente")).when(age <= BADGE_DAYS[1], F.lit("normal"))
         .otherwise(F.lit("antiguo")).alias("insignia"))
 
 
+def freshness(df: DataFrame, column: str, as_of: _dt.date | _dt.datetime,
+              threshold_days: int = FRESHNESS_ALERT_DAYS) -> DataFrame:
+    """Newest date, age in days at ``as_of`` (injected, deterministic),
+    ok/warn against the threshold and the 7/30-day badge."""
+    return freshness_badge(df.agg(F.max(F.col(column)).alias("mas_reciente")), "mas_reciente", as_of, threshold_days)
+
+
 def filter_applied_check(df: DataFrame, column: str, expected: list[str]) -> DataFrame:
     """The distinct values must be a subset of ``expected``."""
     return df.agg(F.count(F.lit(1)).alias("filas"),

@@ -1,37 +1,41 @@
-"""Exact order statistics per group without gathering a group into one task.
+"""Exact order statistics per group by refining histograms.
 
-``percentile``/``mode`` aggregates keep a value->count map per group and merge
-it in one task, so a group holding a third of the table would sit in a single
+``percentile``/``mode`` aggregates keep a value->count map per group and merge it
+in one task, so a group holding a third of the table would sit in a single
 executor. Here the work is split instead:
 
-1. compress rows to ``(group, value, copies)`` with map-side combine;
-2. range-partition that table on ``(group, value)``: a hot group spans many
-   contiguous slices, each slice at most ~1/P of the distinct values. The
-   sliced table is frozen with a reliable checkpoint so every reader sees the
-   same slices even if a branch is recomputed;
-3. count copies per ``(group, slice)`` (P x G rows) and turn them into the
-   rank offset of every slice inside its group;
-4. a running count inside each ``(slice, group)`` gives every distinct value
-   its rank interval ``[_s, _e)`` in the group's sorted order (``_n`` copies in
-   all). This *ranked table* is all later statistics need: a quantile is the
-   value at rank ``p * (n - 1)`` (linear interpolation between floor and ceil,
-   the rule of pandas and DuckDB's ``quantile_cont``), outliers are the lowest
-   and highest rank ranges, and moments are weighted sums.
-
-Only a handful of rows per group reach the final aggregates.
+1. rows are compressed to ``(group, value, copies)`` with map-side combine, and
+   that *value table* is written once; no sort, no range partitioning;
+2. every value falls into a histogram cell by a monotone function of its
+   logarithm; the cells' copies, counts of values and bounds (a few thousand rows a
+   group at most, whatever its size) give each cell its interval of ranks;
+3. a wanted rank lies in one cell. Only the values of those cells are looked at
+   again; a cell with more than ``FINE`` values is cut into ``SPLIT`` equal parts of
+   its own range, counted, and so on, until the cells that hold the wanted ranks are
+   small enough to be sorted.
+
+A round shuffles counts of cells only. A quantile is the value at rank ``p * (n - 1)``
+(linear interpolation between floor and ceil, the rule of pandas and DuckDB's
+``quantile_cont``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pliego.operators.keys import join_groups
-from pliego.session import ensure_checkpoint_dir
+from pliego.session import frozen
 
 ALL_KEY = "_all"
+#: Cells of a factor e in the first histogram, parts of a cell in later ones, values of a cell that is sorted.
+CELLS = 64
+SPLIT = 4096
+FINE = 2048
 
 
 def value_counts_by_group(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -40,83 +44,94 @@ def value_counts_by_group(df: DataFrame, value: str, keys: Sequence[str]) -> Dat
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
 
 
-def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), partitions: int | None = None,
-                  counted: DataFrame | None = None) -> DataFrame:
-    """(keys..., value, _c, _s, _e, _n): each distinct value with its copies,
-    its rank interval ``[_s, _e)`` inside the group and the group size ``_n``.
+@dataclass(frozen=True)
+class ValueTable:
+    """Written: ``values`` (keys..., _v, _c, _b) and ``cells`` (keys..., _b, _s, _c, _d, _lo, _hi), where ``_s`` is the rank
+    of a cell's first value in its group and ``_d`` its number of values."""
+    values: DataFrame
+    cells: DataFrame
+    keys: list[str]
 
-    Every group, whatever its size, is ranked by range slices; the table is
-    written with a reliable checkpoint, so nothing stays cached."""
-    keys = list(keys)
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vc = counted if counted is not None else value_counts_by_group(df, value, keys)
-    return _ranked_by_slices(vc, value, keys, parts)
-
-
-def _ranked_by_slices(vc: DataFrame, value: str, keys: list[str], parts: int) -> DataFrame:
-    """Range slices frozen by a checkpoint, slice offsets, running counts
-    inside each slice. Null is a group like any other."""
-    spark = vc.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranged = (vc.repartitionByRange(parts, *keys, value).withColumn("_p", F.spark_partition_id())
-              .checkpoint(eager=True))
-    slices = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_sc"))
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    offsets = slices.select(
-        *keys, "_p",
-        F.coalesce(F.sum("_sc").over(by_group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_sc").over(by_group).alias("_n"))
-    running = ranged.withColumn(
-        "_cum", F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy(value)
-                                 .rowsBetween(Window.unboundedPreceding, 0)))
-    located = join_groups(running, offsets, [*keys, "_p"])
-    end = F.col("_off") + F.col("_cum")
-    return (located.select(*keys, value, "_c", (end - F.col("_c")).alias("_s"), end.alias("_e"), "_n")
-            .checkpoint(eager=True))
-
-
-def values_at(ranked: DataFrame, value: str, keys: Sequence[str], positions: dict[str, Column]) -> DataFrame:
-    """One row per group with the value at each (fractional) rank position.
-
-    ``positions`` maps an output name to a Column over the group's columns
-    present in ``ranked`` (``_n`` and any per-group columns joined in); a
-    null position gives null."""
+
+def _cell(v: Column) -> Column:
+    """Number of the value's cell in the first histogram; does not fall as the value grows."""
+    size = F.floor(F.least(F.log1p(F.abs(v)), F.lit(1e6)) * CELLS)
+    return F.when(v < 0, -size).otherwise(size).cast("string")
+
+
+def _histogram(values: DataFrame, by: list[str]) -> DataFrame:
+    return values.groupBy(*by).agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"),
+                                   F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def value_table(df: DataFrame, value: str, keys: Sequence[str] = (), counted: DataFrame | None = None) -> ValueTable:
+    """The value table of ``df``, or of already counted (keys..., _v, _c) rows, and its first histogram.
+
+    Null is a group like any other; null values take no part."""
     keys = list(keys)
-    wanted = []
+    vc = counted if counted is not None else (
+        value_counts_by_group(df.select(*keys, F.col(value).cast("double").alias("_v")), "_v", keys))
+    values = frozen(vc.withColumn("_b", _cell(F.col("_v"))), "values")
+    before = Window.partitionBy(*keys).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)   # a group's cells
+    cells = _histogram(values, [*keys, "_b"]).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return ValueTable(values, frozen(cells, "cells"), keys)
+
+
+def _hit(cells: DataFrame) -> DataFrame:
+    """The cells that hold a wanted rank, with those ranks only."""
+    inside = F.filter("_w", lambda w: (w["r"] >= F.col("_s")) & (w["r"] < F.col("_s") + F.col("_c")))
+    return cells.withColumn("_w", inside).where(F.size("_w") > 0)
+
+
+def values_at(table: ValueTable, groups: DataFrame, positions: dict[str, Column]) -> DataFrame:
+    """One row per group of ``groups`` with the value at each (fractional) rank position.
+
+    ``positions`` maps an output name to a Column over the columns of ``groups``; a
+    null position, or one outside the group, gives null."""
+    keys, names = table.keys, list(positions)
+    asked = []
     for i, pos in enumerate(positions.values()):
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(pos).cast("long").alias("r")))
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).cast("long").alias("r")))
-    hits = ranked.select(*keys, value, F.explode(
-        F.filter(F.array(*wanted), lambda w: w["r"].isNotNull() & (w["r"] >= F.col("_s")) & (w["r"] < F.col("_e")))
-    ).alias("_t"))
-    aggs = []
-    for i in range(len(positions)):
-        aggs.append(F.max(F.when((F.col("_t.i") == i) & (F.col("_t.side") == 0), F.col(value))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when((F.col("_t.i") == i) & (F.col("_t.side") == 1), F.col(value))).alias(f"_hi{i}"))
-    picked = hits.groupBy(*keys).agg(*aggs)
-    # the fractional part of each position, evaluated on one row per group
-    frac_src = ranked.groupBy(*keys).agg(*[F.max(pos).alias(f"_pos{i}") for i, pos in enumerate(positions.values())])
-    out = join_groups(frac_src, picked, keys, "left") if keys else frac_src.crossJoin(picked)
-    cols = list(keys)
-    for i, name in enumerate(positions):
-        p = F.col(f"_pos{i}")
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append((lo + (hi - lo) * (p - F.floor(p))).alias(name))
-    return out.select(*cols)
+        for side, rank in ((0, F.floor(pos)), (1, F.ceil(pos))):
+            asked.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("r")))
+    wanted = groups.select(*keys, *[pos.cast("double").alias(f"_p{i}") for i, pos in enumerate(positions.values())],
+                           F.filter(F.array(*asked), lambda w: w["r"].isNotNull()).alias("_w"))
+    hit = frozen(_hit(join_groups(table.cells, wanted.select(*keys, "_w"), keys)), "wanted")
+    values, found = table.values, []
+    while True:
+        rows = join_groups(values, hit.drop("_c"), [*keys, "_b"])
+        upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # at most FINE rows
+        end = F.col("_s") + F.sum("_c").over(upto)
+        small = rows.where(F.col("_d") <= FINE).withColumn("_e", end)
+        at = F.filter("_w", lambda w: (w["r"] >= F.col("_e") - F.col("_c")) & (w["r"] < F.col("_e")))
+        found.append(small.select(*keys, "_v", F.explode(at).alias("_w")))
+        if hit.where(F.col("_d") > FINE).isEmpty():
+            break
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT), F.lit(SPLIT - 1))
+        large = rows.where(F.col("_d") > FINE).withColumn("_of", F.col("_b")).withColumn("_b", F.concat_ws("/", "_b", part.cast("string")))
+        values = frozen(large.select(*keys, "_v", "_c", "_b", "_of", "_s", "_w"), "values")
+        before = Window.partitionBy(*keys, "_of").orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)  # at most SPLIT rows
+        cells = values.groupBy(*keys, "_of", "_b").agg(
+            F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.first("_s").alias("_s"), F.first("_w").alias("_w"))
+        cells = cells.withColumn("_s", F.col("_s") + F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_of")
+        values, hit = values.drop("_of", "_s", "_w"), frozen(_hit(cells), "wanted")
+    picks = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[
+        F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == side), F.col("_v"))).alias(f"_{'lh'[side]}{i}")
+        for i in range(len(names)) for side in (0, 1)])
+    out = join_groups(wanted.drop("_w"), picks, keys, "left")
+    between = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (F.col(f"_p{i}") - F.floor(f"_p{i}"))
+    return out.select(*keys, *[between(i).alias(name) for i, name in enumerate(names)])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    names: Sequence[str] | None = None, ranked: DataFrame | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """One row per group: ``keys..., _n, <name_i>`` with the exact quantiles."""
-    keys = list(keys)
+    base, by = with_all_key(df, keys)
     names = list(names or [f"q_{i}" for i in range(len(probs))])
-    r = ranked if ranked is not None else ranked_values(df, value, keys)
-    pos = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in zip(names, probs)}
-    q = values_at(r, value, keys, pos)
-    n = r.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    both = join_groups(n, q, keys) if keys else n.crossJoin(q)   # one row each without keys
-    return both.select(*keys, "_n", *names)
+    t = value_table(base, value, by)
+    sizes = t.cells.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    q = values_at(t, sizes, {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in zip(names, probs)})
+    return drop_all_key(join_groups(sizes, q, by).select(*by, "_n", *names))
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +48,19 @@ def annex(df: DataFrame, top: int = ANNEX_TOP, value: str = S.VALUE) -> DataFram
         process_link("urlproceso").alias("enlace"))
 
 
-def conclusions(df: DataFrame, value: str = S.VALUE, market: DataFrame | None = None) -> DataFrame:
-    """M8: conclusion items a-e from the statistics; f-h are placeholders.
-    ``market`` may pass an already computed ``market_stats`` row."""
-    spark = df.sparkSession
-    m = (market if market is not None else S.market_stats(df, value)).withColumn("_k", F.lit(1))
-    sup = (S.supplier_count(df) if S.SUPPLIER in df.columns
+def conclusions(df: DataFrame, value: str = S.VALUE) -> DataFrame:
+    """M8: conclusion items a-e from the statistics; f-h are placeholders."""
+    return conclusions_of(S.market_stats(df, value), S.supplier_count(df) if S.SUPPLIER in df.columns else None,
+                          S.predominant_modality(df) if "modalidad_de_contratacion" in df.columns else None)
+
+
+def conclusions_of(market: DataFrame, suppliers: DataFrame | None, modality: DataFrame | None) -> DataFrame:
+    """M8 from sections already there."""
+    spark = market.sparkSession
+    m = market.withColumn("_k", F.lit(1))
+    sup = (suppliers if suppliers is not None
            else spark.createDataFrame([(0,)], "n_proveedores bigint")).withColumn("_k", F.lit(1))
-    mod = (S.predominant_modality(df) if "modalidad_de_contratacion" in df.columns
+    mod = (modality if modality is not None
            else spark.createDataFrame([], "categoria string, contratos bigint, valor_total double, pct_valor double")
            ).withColumn("_k", F.lit(1))
     # without a positive value the price items say N/D, the others stand
@@ -79,29 +83,23 @@ def conclusions(df: DataFrame, value: str = S.VALUE, market: DataFrame | None =
         F.lit("h) Análisis de riesgos: " + TO_BE_COMPLETED).alias("h"))
 
 
-def study(df: DataFrame, value: str = S.VALUE, persist: bool = True) -> dict[str, DataFrame]:
+def study(df: DataFrame, value: str = S.VALUE) -> dict[str, DataFrame]:
     """M6: every section of the sector study as its own DataFrame.
 
-    The input is persisted once (memory, spilling to disk) because every
-    section reads it; a lost executor recomputes its blocks from lineage."""
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    date_col = S.pick_date_column(src)
-    tables = S.price_tables(src, value)
-    market = S.market_stats(src, value, tables=tables).persist()
-    sections: dict[str, DataFrame] = {
-        "demanda_totales": S.demand_totals(src, value),
-        "demanda_distribuciones": S.demand_distributions(src, value=value),
-        "proveedores_n": S.supplier_count(src),
-        "proveedores": S.supplier_distribution(src, value=value),
-        "concentracion": S.concentration(src, value=value),
-        "mercado": market,
-        "atipicos_mayores": S.top_outliers(src, value, tables=tables),
-        "anexo": annex(src, value=value),
-        "conclusiones": conclusions(src, value, market=market),
-    }
-    if date_col:
-        sections["por_anio"] = S.by_year(src, date_col, value)
-        sections["por_mes"] = S.by_month(src, date_col)
-        sections["mes_pico"] = S.peak_month(src, date_col)
-        sections["periodo"] = S.period(src, date_col)
+    One reading of the facts fills a table of partial sums, from which all sections are
+    cut; nothing stays cached. The annex shows rows, so it reads the facts again, but only
+    those that are worth as much as the last of the largest prices in that table."""
+    partials = S.study_partials(df, value)
+    sections = S.study_sections(partials)
+    prices = partials.sums.where("dimension = 'precio'")
+    upto = Window.partitionBy().orderBy(F.desc("precio")).rowsBetween(Window.unboundedPreceding, 0)   # over <= ANNEX_TOP rows
+    least = (prices.orderBy(F.desc("precio")).limit(ANNEX_TOP).withColumn("_n", F.sum("contratos").over(upto))
+             .where(F.col("_n") >= ANNEX_TOP).agg(F.max("precio")).first()[0])
+    # with fewer positive values than rows in the annex, all rows are needed
+    # the plain column reaches the scan; NaN, which counts as above, is put last by the annex
+    worth = F.col(value) if df.schema[value].dataType.simpleString() in ("double", "float") else to_numeric(value)
+    sections["anexo"] = annex(df if least is None else df.where(worth >= F.lit(least)), value=value)
+    sections["conclusiones"] = conclusions_of(sections["mercado"], sections.get("proveedores_n"), sections.get("modalidad_predominante"))
+    for name in ("referencia", "modalidad_predominante"):     # part of other sections
+        sections.pop(name, None)
     return sections

@@ -1,7 +1,8 @@
 """Sector study: demand, supply, descriptive statistics with IQR outliers.
 
-A1-A18, A32, W1-W5, L1-L4. Every operator returns a DataFrame; nothing is
-collected. Top-N cuts happen on aggregated rows (``limit`` or a
+A1-A18, A32, W1-W5, L1-L4. Every operator returns a DataFrame; rows never reach
+the driver. Price statistics and the assembled study write tables of counts and sums
+to the shared folder, and the choice of the date column reads one row of counts. Top-N cuts happen on aggregated rows (``limit`` or a
 ``row_number() <= N`` filter, which Spark turns into a partial per-partition
 group limit before the shuffle), never on raw rows.
 """
@@ -9,6 +10,8 @@ group limit before the shuffle), never on raw rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +19,10 @@ from pyspark.sql import functions as F
 from pliego.functions.dates import month_name, month_of, year_of
 from pliego.functions.links import cv_percent, dispersion_reading as _reading
 from pliego.functions.money import to_numeric
-from pliego.functions.text import strip_ws
+from pliego.operators.filters import known_supplier_predicate, positive_predicate
 from pliego.operators.keys import join_groups
-from pliego.operators.quantiles import drop_all_key, ranked_values, with_all_key
+from pliego.operators.quantiles import ValueTable, drop_all_key, value_table, values_at, with_all_key
+from pliego.session import frozen
 
 # ---- fixed values -------------------------------------------------------------
 VALUE = "valor_del_contrato"
@@ -61,26 +65,20 @@ def distribution(df: DataFrame, column: str, top: int = 10, value: str = VALUE)
             .select("categoria", "contratos", "valor_total", "pct_valor"))
 
 
-TOTAL_BUCKETS = 64
-
-
 def _top_with_totals(agg: DataFrame, part: list[str], limit: F.Column, most: int) -> DataFrame:
-    """The top categories of every ``part`` with their share of its total, from one
-    reading of the aggregate: hash buckets keep their own top rows and sum, so the
-    final window of a part has at most ``TOTAL_BUCKETS * most`` rows."""
+    """The top categories of every ``part`` with their share of its total.
+
+    Each task keeps its own ``most`` best rows of a part and they are merged (a group
+    limit before and after the shuffle); totals are one sum a task. Both read the same
+    aggregate, whose exchange Spark reuses, so the facts are read once."""
     best = [F.desc("valor_total"), F.asc("categoria")]
-    bucket = Window.partitionBy(*part, "_b")
-    local = (agg.withColumn("_b", F.pmod(F.xxhash64("categoria"), F.lit(TOTAL_BUCKETS)))
-             .withColumn("_rn", F.row_number().over(bucket.orderBy(*best)))
-             .withColumn("_bt", F.sum("valor_total").over(bucket))
-             .withColumn("_bp", F.sum("_present").over(bucket))
-             .where(F.col("_rn") <= most))
-    whole = Window.partitionBy(*part)
-    first = F.col("_rn") == 1
-    out = (local.withColumn("_tot", F.sum(F.when(first, F.col("_bt"))).over(whole))
-           .withColumn("_pres", F.sum(F.when(first, F.col("_bp"))).over(whole))
-           .withColumn("posicion", F.row_number().over(whole.orderBy(*best)).cast("long"))
-           .where((F.col("posicion") <= limit) & (F.col("_pres") > 0)))
+    top = (agg.withColumn("posicion", F.row_number().over(Window.partitionBy(*part).orderBy(*best)))
+           .where(F.col("posicion") <= most).withColumn("posicion", F.col("posicion").cast("long")))
+    # sums over every column of the aggregate, so that both readers need the same exchange
+    sums = agg.groupBy(*part).agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_pres"),
+                                  F.sum("contratos").alias("_filas"), F.max("categoria").alias("_ultima"))
+    whole = join_groups(top, sums, part) if part else top.crossJoin(F.broadcast(sums))      # one row without parts
+    out = whole.where((F.col("posicion") <= limit) & (F.col("_pres") > 0))
     return out.withColumn("pct_valor", F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
                           .otherwise(F.lit(0.0)))
 
@@ -149,8 +147,7 @@ def period(df: DataFrame, date_col: str) -> DataFrame:
 
 def known_suppliers(df: DataFrame, column: str = SUPPLIER) -> DataFrame:
     """supplier not blank and not the text 'nan'."""
-    s = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return df.where((strip_ws(s) != "") & (F.lower(s) != "nan"))
+    return df.where(known_supplier_predicate(column))
 
 
 def supplier_count(df: DataFrame, column: str = SUPPLIER, approximate: bool = False) -> DataFrame:
@@ -168,63 +165,48 @@ def supplier_distribution(df: DataFrame, column: str = SUPPLIER, top: int = SUPP
 
 def concentration(df: DataFrame, column: str = SUPPLIER, value: str = VALUE) -> DataFrame:
     """A11 (+W4): leader, leader share and top-5 cumulative share."""
-    dist = supplier_distribution(df, column, SUPPLIER_TOP, value)
-    w = Window.partitionBy().orderBy(F.desc("valor_total"), F.asc("categoria"))
-    ranked = (dist.withColumn("_r", F.row_number().over(w))
-              .withColumn("_cum", F.sum("pct_valor").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return ranked.agg(
-        F.max(F.when(F.col("_r") == 1, F.col("categoria"))).alias("lider"),
-        F.max(F.when(F.col("_r") == 1, F.col("pct_valor"))).alias("cuota_lider"),
-        F.max(F.when(F.col("_r") <= 5, F.col("_cum"))).alias("cuota_top5"),
+    ranked = supplier_distribution(df, column, SUPPLIER_TOP, value).withColumn(
+        "posicion", F.row_number().over(Window.partitionBy().orderBy(F.desc("valor_total"), F.asc("categoria"))))
+    return concentration_of(ranked, [])
+
+
+def concentration_of(top: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A11 from a supplier distribution with ``posicion``, per segment."""
+    return top.groupBy(*by).agg(
+        F.max(F.when(F.col("posicion") == 1, F.col("categoria"))).alias("lider"),
+        F.max(F.when(F.col("posicion") == 1, F.col("pct_valor"))).alias("cuota_lider"),
+        F.sum(F.when(F.col("posicion") <= 5, F.col("pct_valor"))).alias("cuota_top5"),
     ).where(F.col("lider").isNotNull())
 
 
 def _positive(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """numeric, non-null, > 0 (Q8)."""
-    return df.select(*keys, to_numeric(value).alias("_v")).where(F.col("_v") > 0)
+    return df.where(positive_predicate(value)).select(*keys, to_numeric(value).alias("_v"))
 
 
-def ranked_positive(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """The ranked (group, value, copies, rank interval) table of the positive
-    values: the single pass over the rows every price statistic shares."""
-    base, keys = with_all_key(df, by)
-    return ranked_values(_positive(base, value, keys), "_v", keys), keys
+def _moments(t: ValueTable) -> DataFrame:
+    """n, sum, min, max and mode (ties: the smallest value) in one aggregate."""
+    return t.values.groupBy(*t.keys).agg(
+        F.sum("_c").cast("long").alias("n"), F.sum(F.col("_c") * F.col("_v")).alias("suma"),
+        F.min("_v").alias("minimo"), F.max("_v").alias("maximo"),
+        F.min_by(F.col("_v"), F.struct(-F.col("_c"), F.col("_v"))).alias("moda"))
 
 
-def _rank_hits(pos: F.Column, name: str) -> list:
-    """Aggregates picking the values at floor/ceil of a per-row rank position
-    (rows carry their group's size, so no join is needed)."""
-    lo, hi = F.floor(pos), F.ceil(pos)
-    inside = lambda r: (r >= F.col("_s")) & (r < F.col("_e"))
-    return [F.max(F.when(inside(lo), F.col("_v"))).alias(f"_{name}_lo"),
-            F.max(F.when(inside(hi), F.col("_v"))).alias(f"_{name}_hi"),
-            F.max(pos).alias(f"_{name}_pos")]
+def _first_pass(t: ValueTable) -> DataFrame:
+    """Stage A: the moments and the quantiles."""
+    a = _moments(t)
+    q = values_at(t, a, {name: F.lit(p) * (F.col("n") - 1) for p, name in zip(STAT_PROBS, STAT_NAMES)})
+    return join_groups(a.withColumn("media", F.col("suma") / F.col("n")), q, t.keys)
 
 
-def _interp(name: str) -> F.Column:
-    p, lo, hi = F.col(f"_{name}_pos"), F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-    return (lo + (hi - lo) * (p - F.floor(p))).alias(name)
-
-
-def _first_pass(r: DataFrame, keys: list[str]) -> DataFrame:
-    """Stage A: n, sum, min, max, mode and the quantiles in one aggregate."""
-    aggs = [F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_v")).alias("suma"),
-            F.min("_v").alias("minimo"), F.max("_v").alias("maximo"),
-            F.min_by(F.col("_v"), F.struct(-F.col("_c"), F.col("_v"))).alias("moda")]
-    for p, name in zip(STAT_PROBS, STAT_NAMES):
-        aggs += _rank_hits(F.lit(p) * (F.col("_n") - 1), name)
-    a = r.groupBy(*keys).agg(*aggs)
-    return a.select(*keys, F.col("n").cast("long").alias("n"), "suma", "minimo", "maximo", "moda",
-                    (F.col("suma") / F.col("n")).alias("media"), *[_interp(n) for n in STAT_NAMES])
-
-
-def _second_pass(r: DataFrame, keys: list[str], first: DataFrame) -> DataFrame:
+def _second_pass(t: ValueTable, first: DataFrame) -> DataFrame:
     """Stage B: exact two-pass variance, outlier counts and the moments of the
     kept values (shifted by the group mean) in one aggregate."""
+    keys = t.keys
     ric = F.col("q3") - F.col("q1")
     fences = first.select(*keys, "media", (F.col("q1") - IQR_FACTOR * ric).alias("limite_inferior"),
                           (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior"))
-    j = join_groups(r, fences, keys)
+    j = join_groups(t.values, fences, keys)
     d = F.col("_v") - F.col("media")
     low = F.col("_v") < F.col("limite_inferior")
     high = F.col("_v") > F.col("limite_superior")
@@ -251,86 +233,94 @@ def _stats_columns(keys: list[str]) -> list:
             (F.col("q3") + IQR_FACTOR * ric).alias("limite_superior")]
 
 
-def price_tables(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                 ranked: tuple[DataFrame, list[str]] | None = None) -> tuple:
-    """The ranked table and the two per-group passes (one row per group each,
-    checkpointed), to share between several price sections."""
-    r, keys = ranked if ranked is not None else ranked_positive(df, value, by)
-    first = _first_pass(r, keys).checkpoint()
-    second = _second_pass(r, keys, first).checkpoint()
-    return r, first, second, keys
+@dataclass(frozen=True)
+class PriceTables:
+    """What the price sections share: the value table and two written tables of one row per group."""
+    table: ValueTable
+    first: DataFrame
+    second: DataFrame
+
+    @property
+    def keys(self) -> list[str]:
+        return self.table.keys
 
 
-def _price_tables(df: DataFrame, value: str, by: Sequence[str],
-                  ranked: tuple[DataFrame, list[str]] | None, tables: tuple | None = None) -> tuple:
-    return tables if tables is not None else price_tables(df, value, by, ranked)
+def price_tables(df: DataFrame | None, value: str = VALUE, by: Sequence[str] = (), counted: DataFrame | None = None) -> PriceTables:
+    """The tables of the positive values of ``df``, or of (keys..., _v, _c) rows already counted."""
+    if counted is not None:
+        rows, keys = with_all_key(counted, by)
+        t = value_table(rows, "_v", keys, counted=rows.select(*keys, "_v", "_c"))
+    else:
+        rows, keys = with_all_key(df, by)
+        t = value_table(_positive(rows, value, keys), "_v", keys)
+    first = frozen(_first_pass(t), "price-first")
+    return PriceTables(t, first, frozen(_second_pass(t, first), "price-second"))
 
 
-def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                    ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+def describe_values(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
     """N, mean, median, mode, min, max, range, sum, var, std, CV%, quartiles,
     IQR, p10, p90 and fences, per group (or one row), over values > 0."""
-    _, first, second, keys = _price_tables(df, value, by, ranked)
-    return drop_all_key(join_groups(first, second.select(*keys, "_ss"), keys).select(*_stats_columns(keys)))
-
-
-def _third_pass(r: DataFrame, keys: list[str], second: DataFrame, top: int = 0,
-                median: bool = True) -> DataFrame:
-    """Stage C: the adjusted median (rank ``n_low + (n_kept - 1) / 2``: outliers
-    hold the lowest and highest ranks) and the ``top`` largest outliers (rank
-    ``n-1-j`` while ``j < n_high``, then ``n_low-1-(j-n_high)``)."""
-    counts = second.select(*keys, "_nlow", "_nhigh", "_kn")
-    j = join_groups(r, counts, keys)
-    aggs = [F.max("_n").alias("_ntot")]
-    if median:
-        aggs += _rank_hits(F.when(F.col("_kn") > 0, F.col("_nlow") + (F.col("_kn") - 1) * 0.5), "mediana_ajustada")
-    for t in range(top):
-        rank = (F.when(F.lit(t) < F.col("_nhigh"), F.col("_n") - 1 - t)
-                .when(F.lit(t) < F.col("_nhigh") + F.col("_nlow"), F.col("_nlow") - 1 - (t - F.col("_nhigh"))))
-        aggs += _rank_hits(rank, f"top{t}")
-    return j.groupBy(*keys).agg(*aggs)
-
-
-def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                          ranked: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    p = price_tables(df, value, by)
+    return drop_all_key(join_groups(p.first, p.second.select(*p.keys, "_ss"), p.keys).select(*_stats_columns(p.keys)))
+
+
+def _sizes(p: PriceTables) -> DataFrame:
+    """Counts per group from which the ranks of the adjusted statistics follow."""
+    return join_groups(p.first.select(*p.keys, F.col("n").alias("_n")), p.second.select(*p.keys, "_nlow", "_nhigh", "_kn"), p.keys)
+
+
+def _adjusted_median(p: PriceTables) -> DataFrame:
+    """The adjusted median has rank ``n_low + (n_kept - 1) / 2``: outliers hold the lowest and highest ranks."""
+    rank = F.when(F.col("_kn") > 0, F.col("_nlow") + (F.col("_kn") - 1) * 0.5)
+    return values_at(p.table, _sizes(p), {"mediana_ajustada": rank})
+
+
+def _adjusted_columns() -> list:
+    """A13 + A14 over the joined passes."""
+    kn = F.col("_kn")
+    var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)).when(kn > 0, F.lit(0.0))
+    std = F.sqrt(F.greatest(var, F.lit(0.0)))
+    mean = F.when(kn > 0, F.col("_ksum") / kn)
+    return [(F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
+            ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
+            kn.cast("long").alias("n_ajustado"), mean.alias("media_ajustada"),
+            F.when(kn > 0, F.col("mediana_ajustada")).alias("mediana_ajustada"),
+            "minimo_ajustado", "maximo_ajustado", F.when(kn > 0, std).alias("desviacion_ajustada"),
+            F.when(kn > 0, cv_percent(std, mean)).alias("coef_variacion_ajustado"),
+            F.when(kn > 0, F.col("_ksum")).alias("total_ajustado")]
+
+
+def _all_passes(p: PriceTables) -> DataFrame:
+    return join_groups(join_groups(p.first, p.second, p.keys), _adjusted_median(p), p.keys, "left")
+
+
+def outliers_and_adjusted(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
     """A13 + A14: outlier count and % (strict fences, Q9) and n, mean, median,
     min, max, std, CV, total of the values that are not outliers."""
-    r, first, second, keys = _price_tables(df, value, by, ranked)
-    third = _third_pass(r, keys, second)
-    kn = F.col("_kn")
-    adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
-        .when(kn > 0, F.lit(0.0))
-    adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
-    out = join_groups(join_groups(first.select(*keys, "n", "media"), second, keys), third, keys, "left").select(
-        *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
-        ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
-        kn.cast("long").alias("n_ajustado"), F.when(kn > 0, F.col("_ksum") / kn).alias("media_ajustada"),
-        F.when(kn > 0, _interp("mediana_ajustada")).alias("mediana_ajustada"),
-        "minimo_ajustado", "maximo_ajustado", F.when(kn > 0, adj_std).alias("desviacion_ajustada"),
-        F.when(kn > 0, cv_percent(adj_std, F.col("_ksum") / kn)).alias("coef_variacion_ajustado"),
-        F.when(kn > 0, F.col("_ksum")).alias("total_ajustado"))
-    return drop_all_key(out)
+    p = price_tables(df, value, by)
+    return drop_all_key(_all_passes(p).select(*p.keys, *_adjusted_columns()))
 
 
 def outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
     """A13 (+F12): outlier count and percentage (strict fences, Q9)."""
-    _, first, second, keys = _price_tables(df, value, by, None)
-    out = join_groups(first.select(*keys, "n"), second, keys).select(
-        *keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
+    p = price_tables(df, value, by)
+    out = join_groups(p.first.select(*p.keys, "n"), p.second, p.keys).select(
+        *p.keys, (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
         ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"))
     return drop_all_key(out)
 
 
-def top_outliers(df: DataFrame, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
-                 ranked: tuple[DataFrame, list[str]] | None = None, tables: tuple | None = None) -> DataFrame:
-    """The five largest outlier values (duplicates kept), ranked."""
-    r, first, second, keys = _price_tables(df, value, by, ranked, tables)
-    third = _third_pass(r, keys, second, top=top, median=False)
-    out = third.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(t + 1).cast("long").alias("posicion"), _interp(f"top{t}").alias("valor"))
-        for t in range(top)])).alias("_t")).where(F.col("_t.valor").isNotNull()) \
-        .select(*keys, "_t.posicion", "_t.valor")
-    return drop_all_key(out)
+def top_outliers(df: DataFrame | None, value: str = VALUE, by: Sequence[str] = (), top: int = TOP_OUTLIERS,
+                 tables: PriceTables | None = None) -> DataFrame:
+    """The five largest outlier values (duplicates kept), ranked: rank ``n-1-j``
+    while ``j < n_high``, then ``n_low-1-(j-n_high)``."""
+    p = tables if tables is not None else price_tables(df, value, by)
+    rank = lambda j: (F.when(F.lit(j) < F.col("_nhigh"), F.col("_n") - 1 - j)
+                      .when(F.lit(j) < F.col("_nhigh") + F.col("_nlow"), F.col("_nlow") - 1 - (j - F.col("_nhigh"))))
+    at = values_at(p.table, _sizes(p), {f"top{j}": rank(j) for j in range(top)})
+    out = at.select(*p.keys, F.explode(F.array(*[
+        F.struct(F.lit(j + 1).cast("long").alias("posicion"), F.col(f"top{j}").alias("valor")) for j in range(top)])).alias("_t"))
+    return drop_all_key(out.where(F.col("_t.valor").isNotNull()).select(*p.keys, "_t.posicion", "_t.valor"))
 
 
 def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> DataFrame:
@@ -341,26 +331,11 @@ def adjusted_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) ->
                      "maximo_ajustado", "desviacion_ajustada", "coef_variacion_ajustado", "total_ajustado")
 
 
-def market_stats(df: DataFrame, value: str = VALUE, by: Sequence[str] = (),
-                 ranked: tuple[DataFrame, list[str]] | None = None, tables: tuple | None = None) -> DataFrame:
-    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section):
-    the ranked table plus three aggregates."""
-    r, first, second, keys = _price_tables(df, value, by, ranked, tables)
-    third = _third_pass(r, keys, second)
-    kn = F.col("_kn")
-    adj_var = F.when(kn > 1, (F.col("_kdd") - F.col("_kd") * F.col("_kd") / kn) / (kn - 1)) \
-        .when(kn > 0, F.lit(0.0))
-    adj_std = F.sqrt(F.greatest(adj_var, F.lit(0.0)))
-    adj_mean = F.when(kn > 0, F.col("_ksum") / kn)
-    full = join_groups(join_groups(first, second, keys), third, keys, "left").select(
-        *_stats_columns(keys),
-        (F.col("_nlow") + F.col("_nhigh")).cast("long").alias("n_atipicos"),
-        ((F.col("_nlow") + F.col("_nhigh")) / F.col("n") * 100.0).alias("pct_atipicos"),
-        kn.cast("long").alias("n_ajustado"), adj_mean.alias("media_ajustada"),
-        F.when(kn > 0, _interp("mediana_ajustada")).alias("mediana_ajustada"),
-        "minimo_ajustado", "maximo_ajustado", F.when(kn > 0, adj_std).alias("desviacion_ajustada"),
-        F.when(kn > 0, cv_percent(adj_std, adj_mean)).alias("coef_variacion_ajustado"),
-        F.when(kn > 0, F.col("_ksum")).alias("total_ajustado"))
+def market_stats(df: DataFrame | None, value: str = VALUE, by: Sequence[str] = (),
+                 tables: PriceTables | None = None) -> DataFrame:
+    """A12 + A13 + A14 + A15 + A16 in one row per group (the study's price section)."""
+    p = tables if tables is not None else price_tables(df, value, by)
+    full = _all_passes(p).select(*_stats_columns(p.keys), *_adjusted_columns())
     ref = F.when(F.col("media_ajustada").isNull() | (F.col("media_ajustada") == 0),
                  F.col("media")).otherwise(F.col("media_ajustada"))
     full = full.withColumn("precio_referencia", ref) \
@@ -387,14 +362,18 @@ def predominant_modality(df: DataFrame, column: str = "modalidad_de_contratacion
 
 
 def kpis(df: DataFrame, value: str = VALUE) -> DataFrame:
-    """Rows, value sum, distinct entities / modalities / cities."""
-    cols = [F.count(F.lit(1)).alias("contratos"),
-            F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total")]
-    for c, name in (("nombre_entidad", "entidades"), ("modalidad_de_contratacion", "modalidades"),
-                    ("ciudad", "ciudades")):
-        if c in df.columns:
-            cols.append(F.countDistinct(c).cast("long").alias(name))
-    return df.agg(*cols)
+    """Rows, value sum, distinct entities / modalities / cities.
+
+    One (column, value) pair a cell, alike ones merged in the task before the shuffle."""
+    names = {c: n for c, n in (("nombre_entidad", "entidades"), ("modalidad_de_contratacion", "modalidades"), ("ciudad", "ciudades"))
+             if c in df.columns}
+    cells = [F.struct(F.lit("").alias("c"), F.lit(None).cast("string").alias("x"), to_numeric(value).alias("v"))]
+    cells += [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("x"), F.lit(None).cast("double").alias("v")) for c in names]
+    pairs = df.select(F.explode(F.array(*cells)).alias("p")).groupBy("p.c", "p.x").agg(F.count(F.lit(1)).alias("n"), F.sum("p.v").alias("v"))
+    of_table = F.col("c") == ""
+    return pairs.agg(F.coalesce(F.sum(F.when(of_table, F.col("n"))), F.lit(0)).cast("long").alias("contratos"),
+                     F.coalesce(F.sum(F.when(of_table, F.col("v"))), F.lit(0.0)).alias("valor_total"),
+                     *[F.count_if((F.col("c") == c) & F.col("x").isNotNull()).cast("long").alias(n) for c, n in names.items()])
 
 
 def study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> DataFrame:
@@ -402,36 +381,91 @@ def study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> D
     return market_stats(df, value, by)
 
 
-def full_study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> dict[str, DataFrame]:
-    """Every section of the study with the segment as an extra grouping key.
-    Null segments are segments."""
+# ---- the whole study from one table of partial sums -----------------------------
+
+_TOTAL, _SUPPLIER, _PRICE = "total", "proveedor", "precio"
+
+
+@dataclass(frozen=True)
+class StudyPartials:
+    """One written table of sums by (segment..., dimension, category, price): every section but the annex is cut from it."""
+    sums: DataFrame
+    by: list[str]
+    dims: list[tuple[str, int]]
+    date: str | None
+    supplier: bool
+
+
+def study_partials(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) -> StudyPartials:
+    """The one reading of the facts: each row is stacked into its dimensions (totals, the five demand
+    dimensions, known supplier, year and month of every date candidate, positive price), alike ones
+    merged in the task before the shuffle. The table has a row a category and a distinct price."""
     by = list(by)
-    tables = price_tables(df, value, by)
-    market = market_stats(df, value, by, tables=tables)
-    total = F.coalesce(F.sum(to_numeric(value)), F.lit(0.0)).alias("valor_total")
-    out = {
-        "demanda_totales": df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_contratos"), total),
-        "demanda_distribuciones": demand_distributions(df, value=value, segment=by),
+    dims = [(c, n) for c, n in DEMAND_DIMENSIONS if c in df.columns]
+    dates = [c for c in DATE_CANDIDATES if c in df.columns]
+    amount = to_numeric(value) if value in df.columns else F.lit(None).cast("double")
+    none = F.lit(None).cast("double")
+
+    def pair(name: str, category, present=F.lit(1), price=none):
+        return F.struct(F.lit(name).alias("dimension"), category.cast("string").alias("categoria"),
+                        price.alias("precio"), present.cast("long").alias("present"))
+
+    pairs = [pair(_TOTAL, F.lit(None)), F.when(F.col("_m") > 0, pair(_PRICE, F.lit(None), price=F.col("_m")))]
+    pairs += [pair(c, _category(c), F.col(c).isNotNull()) for c, _ in dims]
+    if SUPPLIER in df.columns:
+        pairs.append(F.when(known_supplier_predicate(SUPPLIER), pair(_SUPPLIER, F.col(SUPPLIER))))
+    for c in dates:
+        pairs += [F.when(part(c).isNotNull(), pair(f"{name}:{c}", part(c))) for name, part in (("anio", year_of), ("mes", month_of))]
+    first, last = [F.when(F.col("_d.dimension") == _TOTAL, F.col(c)) for c in dates], [f"_{c}" for c in dates]
+    stacked = df.withColumn("_m", amount).select(*by, "_m", *dates, F.explode(F.array_compact(F.array(*pairs))).alias("_d"))
+    sums = stacked.groupBy(*by, "_d.dimension", "_d.categoria", "_d.precio").agg(
+        F.count(F.lit(1)).alias("contratos"), F.coalesce(F.sum("_m"), F.lit(0.0)).alias("valor_total"),
+        F.sum("_d.present").alias("_present"),
+        *[f(x).alias(f"{name}{n}") for x, n in zip(first, last) for f, name in ((F.min, "min"), (F.max, "max"), (F.count, "n"))])
+    sums = frozen(sums, "study")
+    held = sums.where(F.col("dimension") == _TOTAL).agg(F.lit(0).alias("_"), *[F.sum(f"n{n}").alias(n) for n in last]).first()
+    date = next((c for c, n in zip(dates, last) if (held[n] or 0) > 0), None)
+    return StudyPartials(sums, by, dims, date, SUPPLIER in df.columns)
+
+
+def study_sections(p: StudyPartials) -> dict[str, DataFrame]:
+    """The sections of the study, with the segment's columns in front. Null segments are segments."""
+    by, of = p.by, lambda name: p.sums.where(F.col("dimension") == name)
+    counted = of(_PRICE).select(*by, F.col("precio").alias("_v"), F.col("contratos").alias("_c"))
+    prices = price_tables(None, by=by, counted=counted)
+    market = frozen(market_stats(None, by=by, tables=prices), "market")
+    tops = [(F.col("dimension") == c, n) for c, n in p.dims]
+    limit = reduce(lambda w, t: w.when(*t), tops[1:], F.when(*tops[0])) if tops else F.lit(0)
+    demand = p.sums.where(F.col("dimension").isin([c for c, _ in p.dims])).drop("precio")
+    total = of(_TOTAL).groupBy(*by).agg(F.coalesce(F.sum("contratos"), F.lit(0)).cast("long").alias("total_contratos"),
+                                        F.coalesce(F.sum("valor_total"), F.lit(0.0)).alias("valor_total"))
+    shown = [*by, "posicion", "categoria", "contratos", "valor_total", "pct_valor"]
+    sections = {
+        "demanda_totales": total,
+        "demanda_distribuciones": _top_with_totals(demand, [*by, "dimension"], limit, max([n for _, n in p.dims] or [0]))
+        .select(*by, "dimension", *shown[len(by):]),
         "mercado": market,
         "referencia": market.select(*by, "precio_referencia", F.col("q1").alias("rango_desde"), F.col("q3").alias("rango_hasta")),
-        "atipicos_mayores": top_outliers(df, value, by, tables=tables),
+        "atipicos_mayores": top_outliers(None, by=by, tables=prices),
     }
-    if SUPPLIER in df.columns:
-        known = known_suppliers(df)
-        out["proveedores_n"] = known.groupBy(*by).agg(F.countDistinct(SUPPLIER).cast("long").alias("n_proveedores"))
-        sup = demand_distributions(known, [(SUPPLIER, 10)], value, by).drop("dimension")
-        out["proveedores"] = sup
-        out["concentracion"] = sup.groupBy(*by).agg(
-            F.max(F.when(F.col("posicion") == 1, F.col("categoria"))).alias("lider"),
-            F.max(F.when(F.col("posicion") == 1, F.col("pct_valor"))).alias("cuota_lider"),
-            F.sum(F.when(F.col("posicion") <= 5, F.col("pct_valor"))).alias("cuota_top5"))
-    if "modalidad_de_contratacion" in df.columns:
-        out["modalidad_predominante"] = demand_distributions(df, [("modalidad_de_contratacion", 1)], value, by).drop("dimension", "posicion")
-    date_col = pick_date_column(df)
-    if date_col:
-        dated = df.where(F.col(date_col).isNotNull())
-        per = lambda f, name: dated.groupBy(*by, f(date_col).alias(name)).agg(F.count(F.lit(1)).alias("contratos"), total)
-        out["por_anio"], out["por_mes"] = per(year_of, "anio"), per(month_of, "mes")
-        out["mes_pico"] = out["por_mes"].groupBy(*by).agg(F.max_by("mes", F.struct("contratos", -F.col("mes"))).alias("mes"))
-        out["periodo"] = dated.groupBy(*by).agg(F.min(date_col).alias("desde"), F.max(date_col).alias("hasta"))
-    return out
+    if p.supplier:
+        known = of(_SUPPLIER)
+        sections["proveedores_n"] = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_proveedores"))
+        sections["proveedores"] = frozen(_top_with_totals(known, by, F.lit(SUPPLIER_TOP), SUPPLIER_TOP).select(*shown), "suppliers")
+        sections["concentracion"] = concentration_of(sections["proveedores"], by)
+    if "modalidad_de_contratacion" in [c for c, _ in p.dims]:
+        sections["modalidad_predominante"] = _top_with_totals(of("modalidad_de_contratacion"), by, F.lit(1), 1).select(*by, *shown[len(by) + 1:])
+    if p.date:
+        year, month = of(f"anio:{p.date}"), of(f"mes:{p.date}")
+        sections["por_anio"] = year.select(*by, F.col("categoria").cast("long").alias("anio"), "contratos", "valor_total")
+        months = month.select(*by, F.col("categoria").cast("long").alias("mes"), "contratos", "valor_total")
+        sections["por_mes"] = months
+        peak = months.groupBy(*by).agg(F.max_by(F.struct("mes", "contratos"), F.struct("contratos", -F.col("mes"))).alias("_p"))
+        sections["mes_pico"] = peak.select(*by, "_p.mes", month_name("_p.mes").alias("nombre_mes"), "_p.contratos")
+        sections["periodo"] = of(_TOTAL).select(*by, F.col(f"min_{p.date}").alias("fecha_min"), F.col(f"max_{p.date}").alias("fecha_max"))
+    return sections
+
+
+def full_study_per_segment(df: DataFrame, by: Sequence[str], value: str = VALUE) -> dict[str, DataFrame]:
+    """Every section of the study with the segment as an extra grouping key, from one reading of the facts."""
+    return study_sections(study_partials(df, value, by))

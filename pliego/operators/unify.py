@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pliego.functions.dates import parse_date
+from pliego.functions.money import to_numeric
 from pliego.operators.filters import search_column
 from pliego.schemas import SEARCH_COLUMN, SOURCE1_TO_UNIFIED, SOURCE_COLUMN, UNIFIED_COLUMNS
 
@@ -47,11 +48,11 @@ def project_existing(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def type_columns(df: DataFrame) -> DataFrame:
-    """P5: value/paid -> double (bad -> null), typed start/end dates, search text."""
+    """P5: value/paid -> double (bad and NaN -> null), typed start/end dates, search text."""
     out = {}
     for c in ("valor_del_contrato", "valor_pagado"):
         if c in df.columns:
-            out[c] = F.col(c).try_cast("double")
+            out[c] = to_numeric(c)
     if "fecha_de_inicio_del_contrato" in df.columns:
         out["fecha_inicio"] = parse_date("fecha_de_inicio_del_contrato")
     if "fecha_de_fin_del_contrato" in df.columns:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from pliego.plans.contract_view import table
 from pliego.plans.registry import register, rounded
-from pliego.streaming.incremental import freshness_windows, upsert
+from pliego.session import scratch_path
+from pliego.streaming.incremental import freshness_windows, monitor_freshness, upsert
 
 _SPLIT = "TIMESTAMP '2024-01-20 00:00:00'"
 
@@ -38,6 +42,48 @@ def q_fresh_windows(spark, sf):
     return freshness_windows(table(spark, sf, "events"), "ts")
 
 
+_LATE = "event_id % 7 = 3 AND day(ts) <= 6"
+
+
+@register("monitor_freshness_stream", f"""
+WITH landed AS (SELECT ts, CASE WHEN {_LATE} THEN 3 WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END AS run,
+    time_bucket(INTERVAL '1 day', ts) AS inicio FROM events),
+seen AS (SELECT l.*, (SELECT max(ts) FROM landed e WHERE e.run < l.run) - INTERVAL '1 day' AS mark FROM landed l),
+kept AS (SELECT * FROM seen WHERE mark IS NULL OR inicio + INTERVAL '1 day' > mark),
+closed AS (SELECT inicio, count(*) AS n, max(ts) AS mas_reciente FROM kept GROUP BY inicio
+  HAVING inicio + INTERVAL '1 day' <= (SELECT max(ts) FROM landed) - INTERVAL '1 day'),
+aged AS (SELECT *, CAST(floor((epoch(TIMESTAMP '2024-02-15') - epoch(mas_reciente)) / 86400) AS BIGINT) AS dias FROM closed)
+SELECT *, CASE WHEN dias > 30 THEN 'aviso' ELSE 'ok' END AS estado,
+  CASE WHEN dias <= 7 THEN 'reciente' WHEN dias <= 30 THEN 'normal' ELSE 'antiguo' END AS insignia FROM aged""")
+def q_monitor(spark, sf):
+    """T4: events land in three parts, a run of the stream after each; the third brings rows of days
+    whose windows are closed by then, which the watermark drops."""
+    root = scratch_path(spark, f"monitor-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events").select("event_id", "ts")
+    late, day = F.expr("event_id % 7 = 3 AND day(ts) <= 6"), F.dayofmonth("ts")
+    run = F.when(late, 3).when(day <= 10, 1).when(day <= 20, 2).otherwise(3)
+    for i in (1, 2, 3):
+        ev.where(run == i).write.parquet(f"{root}/landing/part{i}")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{root}/landing/*")
+        monitor_freshness(stream, "ts", _dt.date(2024, 2, 15), f"{root}/closed", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/closed")
+
+
+@register("late_replay_after_merges", """
+SELECT user_id, max(event_id) AS event_id, 12 AS ronda FROM events GROUP BY user_id""")
+def q_late_replay(spark, sf):
+    """A stream's first batch is run again after many later merges; the base stays as they left it."""
+    from pliego.streaming.incremental import read_base, upsert_base
+    path = scratch_path(spark, f"replay-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    first = ev.withColumn("ronda", F.lit(1))
+    upsert_base(spark, first, path, ["user_id"], ["ronda"], stream="s", batch=0)
+    for i in range(2, 13):
+        upsert_base(spark, ev.withColumn("ronda", F.lit(i)), path, ["user_id"], ["ronda"])
+    upsert_base(spark, first, path, ["user_id"], ["ronda"], stream="s", batch=0)
+    return read_base(spark, path).drop("_lote")
+
+
 @register("upsert_stream_last_event_per_user", """
 SELECT event_id, ts, user_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")

@@ -109,7 +109,7 @@ def q_clean_stream(spark, sf):
 @register("study_sections_by_year", registry.ORACLE["by_year"])
 def q_study(spark, sf):
     """M6: one section of the assembled study."""
-    return rounded(report.study(contract_view(spark, sf), persist=False)["por_anio"], {"valor_total": 2})
+    return rounded(report.study(contract_view(spark, sf))["por_anio"], {"valor_total": 2})
 
 
 @register("search_job_base", f"""{CV}
@@ -120,18 +120,57 @@ SELECT 'SECOP I' AS fuente, count(*) AS filas, count(DISTINCT (proceso_de_compra
 def q_search_job(spark, sf):
     """Landed pages, the query's filters, the keyed base and the report."""
     from pliego.plans.jobs import ContractQuery, search_job
-    base, rep = search_job(result_pages(spark, sf), None, ContractQuery(keyword="red", department="ASIA"),
-                           base_path=_folder(spark, "search"), key=("urlproceso",))
+    path = _folder(spark, "search")
+    _, rep = search_job(result_pages(spark, sf), None, ContractQuery(keyword="red", department="ASIA"),
+                        base_path=path, key=("urlproceso",))
+    base = files.scan_base(spark, path)
     return rep.select("fuente", "filas").join(base.groupBy("fuente").agg(F.count(F.lit(1)).alias("en_base")), "fuente")
 
 
 @register("detail_job_records", """
 SELECT 'SAMC ' || CAST(o_orderkey AS VARCHAR) AS numero_proceso, round(o_totalprice, 2) AS valor_estimado
-FROM orders WHERE o_orderkey % 2 = 0""")
+FROM orders""")
 def q_detail_job(spark, sf):
-    """The detail pages of a listing, cleaned and merged into a keyed base."""
+    """The detail pages of a listing, cleaned and merged into a keyed base; every page is also there
+    under a URL that the listing does not have."""
     from pliego.plans.jobs import detail_job
-    pages = detail_pages(spark, sf)
-    listing = pages.where("page_id % 2 = 0").select(F.col("url").alias("url_detalle"))
-    out = detail_job(listing, pages, base_path=_folder(spark, "details"))
-    return rounded(out.select("numero_proceso", "valor_estimado"), {"valor_estimado": 2})
+    pages, path = detail_pages(spark, sf), _folder(spark, "details")
+    listing = pages.select(F.col("url").alias("url_detalle"))
+    landed = pages.unionByName(pages.withColumn("url", F.concat("url", F.lit("&copia=1"))))
+    detail_job(listing, landed, base_path=path)
+    return rounded(files.scan_base(spark, path).select("numero_proceso", "valor_estimado"), {"valor_estimado": 2})
+
+
+@register("search_job_rows", f"""{CV}
+SELECT 'primera' AS consulta, count(*) AS filas FROM (
+  SELECT DISTINCT proceso_de_compra, _linea, modalidad_de_contratacion, estado_contrato, nombre_entidad,
+    objeto_del_contrato, departamento, ciudad, round(valor_del_contrato, 2), fecha_de_inicio_del_contrato FROM cv
+  WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND departamento = 'ASIA' AND contains(lower(objeto_del_contrato), 'red'))
+UNION ALL SELECT 'segunda', count(*) FROM (
+  SELECT DISTINCT proceso_de_compra, _linea, modalidad_de_contratacion, estado_contrato, nombre_entidad,
+    objeto_del_contrato, departamento, ciudad, round(valor_del_contrato, 2), fecha_de_inicio_del_contrato FROM cv
+  WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND departamento = 'EUROPE' AND contains(lower(objeto_del_contrato), 'red'))
+UNION ALL SELECT 'base', count(DISTINCT (proceso_de_compra, _linea)) FROM cv
+  WHERE CAST(proceso_de_compra AS BIGINT) % 50 <> 0 AND departamento IN ('ASIA', 'EUROPE') AND contains(lower(objeto_del_contrato), 'red')""")
+def q_search_rows(spark, sf):
+    """Two searches into one base; each returns its own rows, the base holds both."""
+    from pliego.plans.jobs import ContractQuery, search_job
+    path, pages = _folder(spark, "search"), result_pages(spark, sf)
+    runs = [search_job(pages, None, ContractQuery(keyword="red", department=d), base_path=path, key=("urlproceso",))[0]
+            for d in ("ASIA", "EUROPE")]
+    named = {"primera": runs[0], "segunda": runs[1], "base": files.scan_base(spark, path)}
+    parts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("consulta"), "filas") for name, df in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("base_read_modify_write", """
+SELECT c_custkey, round(c_acctbal * 2, 2) AS c_acctbal FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT s_suppkey, round(s_acctbal, 2) FROM supplier""")
+def q_base_rewrite(spark, sf):
+    """A base is read, filtered, changed, joined by new rows and written to the path it came from."""
+    path = _folder(spark, "base")
+    files.sink_base(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), path)
+    kept = files.scan_base(spark, path).where("c_acctbal > 0").withColumn("c_acctbal", F.col("c_acctbal") * 2)
+    files.sink_base(kept.unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"),
+                                                                         F.col("s_acctbal").alias("c_acctbal"))), path)
+    return rounded(files.scan_base(spark, path), {"c_acctbal": 2})

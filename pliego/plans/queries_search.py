@@ -349,8 +349,7 @@ def q_code_drift(spark, sf):
 def _unified_sources(spark, sf):
     cv = contract_view(spark, sf)
     api = cv.where(F.col("fuente") == "A").drop("fuente")
-    s1 = clean(raw_results(spark, sf)).where(F.col("id_proceso").cast("int") % 2 == 0) \
-        .drop("id_proceso", "fecha_cierre")
+    s1 = clean(raw_results(spark, sf)).drop("id_proceso", "fecha_cierre")
     return unify.union_sources([unify.normalize_schema(api, "SECOP II"), unify.normalize_schema(s1, "SECOP I")])
 
 
@@ -359,7 +358,7 @@ r AS (SELECT l.l_extendedprice AS v, l.l_linenumber AS k FROM lineitem l JOIN or
       JOIN customer c ON o.o_custkey = c.c_custkey)
 SELECT 'SECOP II' AS fuente, count(*) AS n, round(sum(valor_del_contrato), 2) AS valor_total FROM cv WHERE fuente = 'A'
 UNION ALL
-SELECT 'SECOP I', count(*), round(sum(CASE WHEN k % 4 = 3 THEN NULL ELSE round(v, 2) END), 2) FROM r WHERE k % 2 = 0""")
+SELECT 'SECOP I', count(*), round(sum(CASE WHEN k % 4 = 3 THEN NULL ELSE round(v, 2) END), 2) FROM r""")
 def q_union_sources(spark, sf):
     u = _unified_sources(spark, sf)
     return rounded(u.groupBy("fuente").agg(F.count(F.lit(1)).alias("n"),
@@ -371,12 +370,10 @@ SELECT {', '.join(_sq(c) + ' AS c' + str(i) for i, c in enumerate(
     ['nombre_entidad', 'objeto_del_contrato', 'valor_del_contrato', 'valor_pagado', 'modalidad_de_contratacion',
      'ciudad', 'departamento', 'estado_contrato', 'tipo_de_contrato', 'proveedor_adjudicado', 'proceso_de_compra',
      'urlproceso', 'fecha_de_inicio_del_contrato', 'fecha_de_fin_del_contrato']))}, count(*) AS n
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-WHERE l.l_linenumber % 2 = 0""")
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey""")
 def q_unified_columns(spark, sf):
     s1 = unify.order_columns(unify.normalize_schema(
-        clean(raw_results(spark, sf)).where(F.col("id_proceso").cast("int") % 2 == 0)
-        .drop("id_proceso", "fecha_cierre"), "SECOP I"))
+        clean(raw_results(spark, sf)).drop("id_proceso", "fecha_cierre"), "SECOP I"))
     cols = s1.columns[:14]
     return s1.groupBy(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(cols)]).agg(F.count(F.lit(1)).alias("n"))
 

@@ -309,7 +309,7 @@ s AS (SELECT departamento, proveedor_adjudicado AS categoria, count(*) AS contra
 r AS (SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY v DESC, categoria) AS n,
              sum(v) OVER (PARTITION BY departamento) AS t FROM s)
 SELECT departamento, n AS posicion, categoria, contratos, round(v, 2) AS valor_total, round(v / t * 100, 4) AS pct_valor
-FROM r WHERE n <= 10""")
+FROM r WHERE n <= 20""")
 def q_segment_suppliers(spark, sf):
     """A32 with a null segment: the suppliers section per department."""
     cv = contract_view(spark, sf)

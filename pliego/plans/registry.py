@@ -40,3 +40,4 @@ def load_all() -> None:
     from pliego.plans import queries_html  # noqa: F401
     from pliego.plans import queries_report  # noqa: F401
     from pliego.plans import queries_jobs  # noqa: F401
+    from pliego.plans import queries_sections  # noqa: F401

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pliego.session import frozen
+
 from pliego.functions.text import (detail_url, header_entity, header_number, id_from_url, normalize_header,
                                    normalize_label, only_date, process_id, split_dated_label, split_location,
                                    strip_ws)
@@ -335,8 +337,11 @@ def combine_pages(pages: DataFrame) -> DataFrame:
 
     Rows of pages of unknown layout stay: fields with a result column's name go
     there, all others to ``extra`` (sorted by name; empty for result pages).
-    If there are pages and none has a data row, reading the result fails."""
-    rows = table_rows(pages)
+    If there are pages and none has a data row, reading the result fails.
+
+    Parsing is the costly part, so the parsed rows are written once and read by
+    the three readers."""
+    rows = frozen(table_rows(pages), "table-rows")
     known = extract_result_rows(pages, rows).drop("page_id").withColumn("extra", F.array().cast(EXTRA))
     field = F.col("fila")
     other = F.array_sort(F.map_entries(F.map_filter(field, lambda k, v: ~k.isin(*RESULT_COLUMNS))))

@@ -88,3 +88,32 @@ def test_process_link(spark):
     assert one(spark, L.process_link(F.lit("{'url': 'https://a/b'}"))) == "https://a/b"
     assert one(spark, L.process_link(F.lit("nan"))) == "N/D"
     assert one(spark, L.process_link(F.lit("https://c"))) == "https://c"
+
+
+def test_dates_of_last_resort(spark):
+    """Golden cases: what the eight layouts leave to inference."""
+    import datetime as dt
+
+    from pliego.functions.dates import parse_date
+    d = lambda *x: dt.datetime(*x)
+    want = {
+        "31/01/25": d(2025, 1, 31), "01/31/25": d(2025, 1, 31), "3/4/25": d(2025, 4, 3), "31-Jan-25": d(2025, 1, 31),
+        "31 Jan 2025": d(2025, 1, 31), "Jan 31, 2025": d(2025, 1, 31), "January 31 2025": d(2025, 1, 31), "31.01.2025": d(2025, 1, 31),
+        "20250131": d(2025, 1, 31), "2025-01-31 14:30": d(2025, 1, 31, 14, 30), "2025/10/03": d(2025, 3, 10),
+        "2025/10/03 14:30": d(2025, 3, 10, 14, 30), "01/2025": d(2025, 1, 1), "2025-01": d(2025, 1, 1), "2025": d(2025, 1, 1),
+        "Jan 2025": d(2025, 1, 1), "31/01/2025 02:30 PM": d(2025, 1, 31, 14, 30), "01/31/2025": d(2025, 1, 31), "01-31-2025": d(2025, 1, 31),
+        "01/31/2025 14:30": d(2025, 1, 31, 14, 30), "13/13/2025": None, "2025-13-01": None, "2025-31-01": None, "Sept 5, 2024": d(2024, 9, 5),
+        "5-sep-24": d(2024, 9, 5), "March 5th, 2024": d(2024, 3, 5), "Friday, January 31, 2025": d(2025, 1, 31), "2025-1-5 3:04": d(2025, 1, 5, 3, 4),
+        "3/4/2025 3:04:05 pm": d(2025, 4, 3, 15, 4, 5), "12 Dec 1999 23:59:59": d(1999, 12, 12, 23, 59, 59), "2025-Jan-31": d(2025, 1, 31),
+        "Jan-31-2025": d(2025, 1, 31), "1 May 2024 12 AM": d(2024, 5, 1), "texto": None, "N/A": None, "0": None, "31": None, "31/01": None,
+        "2024-02-30": None, "30/02/2024": None, "30/02/24": None, "1/2/3": d(2003, 2, 1), "99/01/02": d(1999, 2, 1), "2025 01 31": d(2025, 1, 31),
+        "310125": d(2025, 1, 31), "25-01-31": d(2031, 1, 25), "14/7/2025 9:5": d(2025, 7, 14, 9, 5), "2025-07-14 9:05 PM": d(2025, 7, 14, 21, 5),
+        # Spanish names
+        "31 de enero de 2025": d(2025, 1, 31), "5 agosto 2024": d(2024, 8, 5), "Mayo 5 2024": d(2024, 5, 5), "enero 2025": d(2025, 1, 1),
+        "viernes, 31 de ene de 2025": d(2025, 1, 31), "31/12/2024 11:05 p. m.": d(2024, 12, 31, 23, 5),
+        # no dates
+        "": None, "hoy": None, "12:30": None, "2025-01-31T10:00:00Z": None, "lote 5 2024": None, "5 enero 2024 x": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "s string").repartition(2)
+    got = {r.s: r.d for r in rows.select("s", parse_date("s").alias("d")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}

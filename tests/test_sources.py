@@ -54,6 +54,37 @@ def test_scan_base_missing_is_empty(spark, scratch):
     assert df.count() == 0 and df.columns[0] == "numero_proceso"
 
 
+def test_base_is_rewritten_from_itself(spark, scratch):
+    """A failed write loses nothing, a read-modify-write works, and a plain folder becomes a base."""
+    for base in (os.path.join(scratch, "base"), os.path.join(scratch, "base.csv")):
+        rows = spark.range(10).selectExpr("CAST(id AS STRING) AS id")
+        files.sink_base(rows, base)
+        try:
+            files.sink_base(files.scan_base(spark, base).selectExpr("raise_error('no') AS id"), base)
+        except Exception:
+            pass
+        assert files.scan_base(spark, base).count() == 10
+        for _ in range(3):
+            files.sink_base(files.scan_base(spark, base).where("CAST(id AS INT) % 2 = 0").unionByName(rows.limit(1)), base)
+        assert files.scan_base(spark, base).count() == 8
+        assert len([x for x in os.listdir(base) if not x.startswith(".")]) == files.KEEP_VERSIONS
+    plain = os.path.join(scratch, "plain")
+    spark.range(3).write.parquet(plain)
+    files.sink_base(files.scan_base(spark, plain).unionByName(spark.range(1)), plain)
+    assert files.scan_base(spark, plain).count() == 4
+
+
+def test_nan_is_null_everywhere(spark):
+    from pliego.operators import filters
+    df = spark.createDataFrame([(float("nan"), "nan"), (1.0, "1"), (-1.0, "x"), (2e9, "NaN")], "v double, t string")
+    assert [r.v for r in df.where(filters.positive_predicate("v")).collect()] == [1.0, 2e9]
+    assert [r.t for r in df.where(filters.positive_predicate("t")).collect()] == ["1"]
+    top = max(filters.VALUE_BANDS)
+    assert [r.v for r in df.where(filters.value_band_predicate("v", top)).collect()] == [2e9]
+    typed = unify.type_columns(df.selectExpr("t AS valor_del_contrato"))
+    assert [r.valor_del_contrato for r in typed.collect()] == [None, 1.0, None, None]
+
+
 def test_versioned_base(spark, scratch):
     base = os.path.join(scratch, "base")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value")
