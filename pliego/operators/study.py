@@ -72,13 +72,16 @@ def _top_with_totals(agg: DataFrame, part: list[str], limit: F.Column, most: int
     limit before and after the shuffle); totals are one sum a task. Both read the same
     aggregate, whose exchange Spark reuses, so the facts are read once."""
     best = [F.desc("valor_total"), F.asc("categoria")]
+    agg = agg.withColumn("_limite", limit)
     top = (agg.withColumn("posicion", F.row_number().over(Window.partitionBy(*part).orderBy(*best)))
-           .where(F.col("posicion") <= most).withColumn("posicion", F.col("posicion").cast("long")))
-    # sums over every column of the aggregate, so that both readers need the same exchange
+           .where((F.col("posicion") <= most) & (F.col("posicion") <= F.col("_limite")))
+           .withColumn("posicion", F.col("posicion").cast("long")))
     sums = agg.groupBy(*part).agg(F.sum("valor_total").alias("_tot"), F.sum("_present").alias("_pres"),
-                                  F.sum("contratos").alias("_filas"), F.max("categoria").alias("_ultima"))
+                                  F.sum("contratos").alias("_filas"), F.max("_limite").alias("_hasta"))
     whole = join_groups(top, sums, part) if part else top.crossJoin(F.broadcast(sums))      # one row without parts
-    out = whole.where((F.col("posicion") <= limit) & (F.col("_pres") > 0))
+    # a part is no larger than its whole: said here so that both readers need the same columns, hence the same exchange
+    out = whole.where((F.col("_pres") > 0) & (F.col("_present") <= F.col("_pres")) & (F.col("contratos") <= F.col("_filas"))
+                      & (F.col("posicion") <= F.col("_hasta")))
     return out.withColumn("pct_valor", F.when(F.col("_tot") != 0, F.col("valor_total") / F.col("_tot") * 100.0)
                           .otherwise(F.lit(0.0)))
 

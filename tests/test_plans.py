@@ -35,10 +35,18 @@ def scans(plan: str, name: str) -> int:
     return sum(1 for line in final.split("\n") if f"{name}.parquet" in line)
 
 
+def final(df) -> str:
+    """The plan as it ran, with the exchanges that were used again."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distributions_and_health_read_the_facts_once(spark):
     cv = contract_view(spark, SF_SMALL)
-    assert scans(executed(study.distribution(cv, "modalidad_de_contratacion")), "lineitem") == 1
-    assert scans(executed(study.demand_distributions(cv)), "lineitem") == 1
+    for df in (study.distribution(cv, "modalidad_de_contratacion"), study.demand_distributions(cv),
+               study.demand_distributions(cv, segment=["departamento"]), study.supplier_distribution(cv)):
+        plan = final(df)
+        assert scans(plan, "lineitem") == 1 and "ReusedExchange" in plan
     import datetime as dt
 
     from pliego.operators import quality
@@ -85,7 +93,48 @@ def test_catalog_is_broadcast(spark):
     assert "BroadcastNestedLoopJoin" in plan or "BroadcastHashJoin" in plan
 
 
-def test_html_is_parsed_once(spark):
+def test_html_is_parsed_once(spark, monkeypatch):
     from pliego.plans.fixtures import result_pages
-    plan = executed(H.extract_result_rows(result_pages(spark, SF_SMALL)))
-    assert plan.count("MapInPandas") == 1
+    pages = result_pages(spark, SF_SMALL)
+    assert executed(H.extract_result_rows(pages)).count("MapInPandas") == 1
+    # three readers: one parse, written before, none in the plan of the result
+    parsed, plain = [], H.frozen
+    monkeypatch.setattr(H, "frozen", lambda df, name: parsed.append(executed(df).count("MapInPandas")) or plain(df, name))
+    assert executed(H.combine_pages(pages)).count("MapInPandas") == 0 and parsed == [1]
+
+
+def test_study_reads_the_facts_once_and_keeps_nothing(spark, monkeypatch):
+    """All sections but the annex come from one scan; the annex reads only rows as large as its last."""
+    from pliego.operators import report
+    read, plain = [], study.frozen
+    monkeypatch.setattr(study, "frozen", lambda df, name: read.append(scans(executed(df), "lineitem")) or plain(df, name))
+    cv = contract_view(spark, SF_SMALL)
+    sections = report.study(cv)
+    for name, df in sections.items():
+        plan = executed(df)
+        assert scans(plan, "lineitem") == (1 if name == "anexo" else 0), name
+    assert sum(read) == 1
+    assert "GreaterThanOrEqual(l_extendedprice" in executed(sections["anexo"])
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_distinct_counts_do_not_copy_rows(spark):
+    from pliego.operators import quality
+    cv = contract_view(spark, SF_SMALL)
+    for df in (study.kpis(cv), quality.quality_report(cv)):
+        assert "Expand" not in executed(df)
+
+
+def test_ranks_are_selected_by_counts(spark, monkeypatch):
+    """No sort and no range partitioning of all values, also when cells are cut again."""
+    from pliego.operators import quantiles as Q
+    monkeypatch.setattr(Q, "FINE", 20)
+    monkeypatch.setattr(Q, "SPLIT", 4)
+    rows = spark.range(5000).selectExpr("id % 3 AS g", "1000 + cast(sqrt(id) * 7 AS double) AS v")
+    t = Q.value_table(rows, "v", ["g"])
+    assert "rangepartitioning" not in executed(t.values)
+    import numpy as np
+    got = {r["g"]: r for r in Q.exact_quantiles(rows, "v", [0.0, 0.31, 0.5, 1.0], ["g"]).collect()}
+    data = rows.toPandas()
+    for g, part in data.groupby("g"):
+        assert np.allclose([got[g][f"q_{i}"] for i in range(4)], np.quantile(part["v"], [0.0, 0.31, 0.5, 1.0]), rtol=1e-12)
