@@ -2,17 +2,23 @@
 
 The tree is fitted on a bounded hash sample (``SAMPLE_FLOATS`` numbers at most)
 and is therefore small enough to broadcast whatever the table; every row is
-assigned to a leaf. A query walks the tree through a priority queue of nodes,
-nearest centroid first, and visits leaves in that order. How many is calibrated:
-for up to ``PROBES`` rows the exact neighbours are found by brute force over the
-whole table, in blocks, and the number of leaves is widened until they are found
-with recall ``RECALL``. A query goes on until its leaves hold k + 1 rows.
-
-Queries are joined to the rows of their leaves. Leaves with many rows are dealt
-into blocks, and so are the queries of a leaf, so no task holds an unbounded
-group; a vector that fills a third of the table is spread over many blocks.
-Inside a block a matrix product preselects, and the returned score is computed
-again pair by pair in double precision, so equal vectors score exactly alike.
+assigned to a leaf. Leaves hold ``LEAF_ROWS`` rows or, where that would make more
+than ``MAX_LEAVES`` of them, correspondingly more. A query walks the tree through a
+priority queue of nodes, nearest centroid first, and visits leaves in that order.
+Each query stops by its own margin: when the nearest node left is farther than its
+first leaf by more than a calibrated difference. For up to ``PROBES`` rows the exact
+neighbours are found by brute force over the whole table, in blocks, and the
+difference is widened until they are found with recall ``RECALL``. A query goes on
+until its leaves hold k + 1 rows.
+
+Neighbouring leaves are packed into groups of up to ``GROUP_ROWS`` rows. A query
+goes to the groups of its leaves and brings back k rows from each, however many of
+the group's leaves it visits; it leaves out a leaf whose ball cannot hold anything
+better than what it has. Leaves with more rows than a group are dealt into blocks,
+and so are the queries of a group, so no task holds an unbounded group; a vector
+that fills a third of the table is spread over many blocks. Inside a group a matrix
+product preselects, and the returned score is computed again pair by pair in double
+precision, so equal vectors score exactly alike.
 
 Defined results: vectors that are null, empty, zero, or hold a null, NaN or
 infinite component take no part, neither do null ids, nor vectors of another
@@ -37,8 +43,10 @@ LEAF_ROWS = 400
 MAX_LEAVES = 4096
 PROBES = 200
 RECALL = 0.97
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 2048
+GROUPS = 16              # groups at least, so that small tables are searched in parallel too
+GROUP_ROWS = 65_536
+BLOCK_ROWS = 8192        # rows of one matrix product
+BLOCK_QUERIES = 8192
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -98,21 +106,49 @@ class Tree:
             todo += [(kid, at[best == i]) for i, kid in enumerate(kids) if (best == i).any()]
         return out
 
-    def visits(self, q: np.ndarray, sizes: np.ndarray, leaves: int, rows: int) -> list[int]:
-        """Leaves in best-bin-first order, until there are ``leaves`` of them that hold ``rows`` rows."""
+    def path(self, q: np.ndarray, sizes: np.ndarray):
+        """(leaf, level) in best-bin-first order; the level says how much farther than the first leaf the walk had to go."""
         near = self.half - self.cent @ q  # order of distances
-        heap, out, held = [(0.0, 0)], [], 0
-        while heap and (len(out) < leaves or held < rows):
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                if sizes[self.leaf[node]]:
-                    out.append(self.leaf[node])
-                    held += sizes[self.leaf[node]]
+        heap, first, level = [(0.0, 0)], None, 0.0
+        while heap:
+            at, node = heapq.heappop(heap)
+            if first is not None:
+                level = max(level, at - first)
+            if self.leaf[node] >= 0 and sizes[self.leaf[node]]:
+                first = at if first is None else first
+                yield self.leaf[node], level
             for kid in self.kids[node]:
                 heapq.heappush(heap, (near[kid], kid))
+
+    def visits(self, q: np.ndarray, sizes: np.ndarray, margin: float, rows: int) -> list[int]:
+        """Leaves within the margin, or until they hold ``rows`` rows."""
+        out, held = [], 0
+        for leaf, level in self.path(q, sizes):
+            if level > margin and held >= rows:
+                break
+            out.append(leaf)
+            held += sizes[leaf]
         return out
 
 
+def pack_leaves(sizes: np.ndarray) -> tuple[list[list[int]], int]:
+    """(groups of each leaf, number of groups): neighbours share a group, a leaf larger than one is spread over several."""
+    rows = int(sizes.sum())
+    limit = max(1, min(GROUP_ROWS, -(-rows // GROUPS)))
+    groups, held, n = [], 0, 0
+    for size in sizes.tolist():
+        if held and held + size > limit:
+            held, n = 0, n + 1
+        if size > limit:
+            parts = -(-size // limit)
+            groups.append(list(range(n, n + parts)))
+            held, n = 0, n + parts
+        else:
+            groups.append([n])
+            held += size
+    return groups, n + 1
+
+
 def matrix(column, dim: int) -> np.ndarray:
     """An Arrow list column as (rows, dim) doubles."""
     import pyarrow as pa
@@ -214,41 +250,88 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vec: str
     ranked = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     truth = (placed.mapInArrow(exact, "q long, id long, leaf int, s double")
              .withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k).collect())
-    paths = [tree.value.visits(q, sizes, len(sizes), 0) for q in unit(sample[pick])]
-    depth = sorted(paths[r["q"]].index(r["leaf"]) + 1 for r in truth)
-    leaves = depth[min(len(depth) - 1, int(np.ceil(RECALL * len(depth))) - 1)] if depth else 1
+    levels = [dict(tree.value.path(q, sizes)) for q in unit(sample[pick])]
+    needed = sorted(levels[r["q"]][r["leaf"]] for r in truth)
+    margin = needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)] if needed else 0.0
+    groups, n_groups = pack_leaves(sizes)
+    # how far a leaf's rows lie from its centroid at most, as an angle
+    node = np.empty(len(sizes), np.int64)
+    node[[leaf for leaf in tree.value.leaf if leaf >= 0]] = [i for i, leaf in enumerate(tree.value.leaf) if leaf >= 0]
+    centre = tree.value.cent[node]
+    middle = spark.sparkContext.broadcast(centre / np.maximum(np.sqrt((centre * centre).sum(1)), 1e-30)[:, None])
+
+    def spread(batches):
+        widest = np.full(len(sizes), -1.0)
+        for b in batches:
+            if b.num_rows:
+                leaf = b.column(1).to_numpy()
+                angle = np.arccos(np.clip((unit(matrix(b.column(0), dim)) * middle.value[leaf]).sum(1), -1, 1))
+                np.maximum.at(widest, leaf, angle)
+        at = np.flatnonzero(widest >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(widest[at])], ["leaf", "angle"])
+
+    radius = np.zeros(len(sizes))
+    for r in placed.select("v", "leaf").mapInArrow(spread, "leaf int, angle double").groupBy("leaf").agg(F.max("angle").alias("a")).collect():
+        radius[r["leaf"]] = r["a"]                                 # at most one row per leaf
 
-    # queries to leaves, rows and queries dealt into blocks
+    # queries to the groups of their leaves
     def walk(batches):
         for b in batches:
             q = unit(matrix(b.column(1), dim)) if b.num_rows else []
-            paths = [tree.value.visits(v, sizes, leaves, k + 1) for v in q]
-            at = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-            leaf = np.array([x for p in paths for x in p], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaf)],
-                                             ["id", "v", "leaf"])
+            at, group, leaves = [], [], []
+            for i, v in enumerate(q):
+                mine: dict[int, list[int]] = {}
+                for leaf in tree.value.visits(v, sizes, margin, k + 1):
+                    for g in groups[leaf]:
+                        mine.setdefault(g, []).append(leaf)
+                at += [i] * len(mine)
+                group += mine.keys()
+                leaves += mine.values()
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(group, pa.int32()),
+                                              pa.array(leaves, pa.list_(pa.int32()))], ["id", "v", "g", "leaves"])
 
     asked = placed.filter(is_query).select("id", "v").dropDuplicates(["id"])
-    asked = written(asked.mapInArrow(walk, "id long, v array<double>, leaf int"), "visits")
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("rb"))
-    wants = asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qb"))
-    blocks = F.broadcast(parts.join(wants, "leaf"))  # at most one row per leaf
-    left = (placed.join(blocks, "leaf").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")))
-            .withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).select("leaf", "r", "q", "id", "v"))
-    right = (asked.join(blocks, "leaf").withColumn("q", F.pmod(F.xxhash64("id"), F.col("qb")))
-             .withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb") - 1))).select("leaf", "r", "q", "id", "v"))
+    asked = written(asked.mapInArrow(walk, "id long, v array<double>, g int, leaves array<int>"), "visits")
+    wants = F.broadcast(asked.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qb")))   # at most one row per group
+    place_of = F.broadcast(spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "leaf int, gs array<int>"))
+    dealt = F.get("gs", F.pmod(F.xxhash64("id", F.lit("group")), F.size("gs")).cast("int"))
+    left = (placed.join(place_of, "leaf").withColumn("g", dealt).join(wants, "g")
+            .withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).select("g", "b", "id", "v", "leaf"))
+    right = asked.join(wants, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("qb"))).select("g", "b", "id", "v", "leaves")
 
     def match(rows_, queries_):
         if not rows_.num_rows or not queries_.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, xid = matrix(rows_["v"], dim), rows_["id"].to_numpy()
+        leaf = rows_["leaf"].to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        x, xid, leaf = matrix(rows_["v"], dim)[order], rows_["id"].to_numpy()[order], leaf[order]
         q, qid = matrix(queries_["v"], dim), queries_["id"].to_numpy()
-        found = [best_of(q[a:a + 256], qid[a:a + 256], x, xid, k) for a in range(0, len(q), 256)]
-        qs = np.concatenate([a * 256 + f[0] for a, f in enumerate(found)])
-        xs = np.concatenate([f[1] for f in found])
-        return pa.table({"query_id": qid[qs], "vec_id": xid[xs], "score": np.concatenate([f[2] for f in found])})
-
-    keys = ["leaf", "r", "q"]
+        lists = queries_["leaves"].combine_chunks()
+        owner = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        wanted = lists.flatten().to_numpy(zero_copy_only=False)
+        uq = unit(q)
+        # the best of each query so far, found leaf by leaf
+        score, best = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        names, start = np.unique(leaf, return_index=True)
+        for name, a, b in zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(leaf)]):
+            ask = owner[wanted == name]
+            angle = np.arccos(np.clip(uq[ask] @ middle.value[name], -1, 1))
+            ask = ask[np.cos(np.maximum(angle - radius[name] - 1e-9, 0)) >= score[ask, -1]]
+            for c in range(a, b, BLOCK_ROWS):
+                for i in range(0, len(ask), 256):
+                    at = ask[i:i + 256]
+                    qs, xs, s = best_of(q[at], qid[at], x[c:min(c + BLOCK_ROWS, b)], xid[c:min(c + BLOCK_ROWS, b)], k)
+                    found = np.full((len(at), k), -np.inf), np.full((len(at), k), -1)
+                    rank = np.arange(len(qs)) - np.searchsorted(qs, qs)
+                    found[0][qs, rank], found[1][qs, rank] = s, c + xs
+                    both, ids_ = np.hstack([score[at], found[0]]), np.hstack([best[at], found[1]])
+                    keep = np.lexsort([np.where(ids_ >= 0, xid[ids_], np.iinfo(np.int64).max), -both], axis=1)[:, :k]
+                    score[at], best[at] = np.take_along_axis(both, keep, 1), np.take_along_axis(ids_, keep, 1)
+        qs, rank = np.nonzero(best >= 0)
+        return pa.table({"query_id": qid[qs], "vec_id": xid[best[qs, rank]], "score": score[qs, rank]})
+
+    keys = ["g", "b"]
     pairs = (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (pairs.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)

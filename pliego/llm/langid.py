@@ -18,6 +18,7 @@ get a row each; null doc_ids are kept; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,10 +32,15 @@ FILTERS = 12
 DIM = 8
 SAMPLE_PER_LANG = 1200
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")      # letters, and numerals such as ½, which are none
 _BLOCK = 512  # windows in one matrix product
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's letter categories, as the training rows' ``\\p{L}``."""
+    return any(unicodedata.category(m.group())[0] == "L" for m in _LETTER.finditer(text))
+
+
 class ByteCNN:
     """Parameters: embedding (256, DIM), filters (4 * DIM, 3 * FILTERS), bias, output weights and bias."""
 
@@ -150,7 +156,7 @@ def classify(model: ByteCNN | None, texts: list[str | None]) -> list[tuple[str,
         return res
     held, parts = [], []
     for i, t in enumerate(texts):
-        if t and _LETTER.search(t):
+        if t and has_letter(t):
             data = t.encode()
             held.append((i, len(data)))
             parts.append(windows(data))

@@ -119,6 +119,42 @@ def test_nearest(spark, monkeypatch, n, copies):
     assert hits / total >= 0.9
 
 
+def test_search_visits_few_of_many_leaves(spark, monkeypatch):
+    """At least 200 leaves: recall of 0.9 or more with under a quarter of them visited."""
+    monkeypatch.setattr(ann_tree, "LEAF_ROWS", 30)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 16))
+    x = (centres[rng.integers(0, 150, 9000)] + 0.25 * rng.normal(size=(9000, 16)))
+    kept = {}
+    plain = ann_tree.written
+    monkeypatch.setattr(ann_tree, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = defaultdict(set)
+    for r in ann_tree.search_embeddings(df).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    leaves = kept["leaves"].select("leaf").distinct().count()
+    visited = kept["visits"].select("id", F.explode("leaves").alias("leaf")).distinct().count() / len(found)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q, got in found.items():
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got & set(np.argsort(-s)[:5].tolist()))
+    assert leaves >= 200 and visited < leaves / 4 and hits / (5 * len(found)) >= 0.9
+
+
+def test_leaves_are_packed_into_groups(monkeypatch):
+    monkeypatch.setattr(ann_tree, "GROUP_ROWS", 100)
+    monkeypatch.setattr(ann_tree, "GROUPS", 1)
+    sizes = np.array([10, 0, 85, 30, 950, 5, 60, 60])
+    groups, n = ann_tree.pack_leaves(sizes)
+    held = np.zeros(n)
+    for size, own in zip(sizes, groups):
+        held[own] += size / len(own)
+    assert held.max() <= 100 and len(groups[4]) == 10 and groups[0] == groups[1] == groups[2]
+    assert max(max(g) for g in groups) == n - 1
+
+
 def test_nearest_few_and_none(spark):
     shape = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0])], shape)
@@ -171,6 +207,13 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got if r["held_out"]]) > 0.97
 
 
+def test_numerals_are_no_letters():
+    for text in ("½ ²", "Ⅷ ① ٣", "12_3", "!", "　"):
+        assert not langid.has_letter(text)
+    for text in ("½ a", "語", "ª", "١ب", "ⅷ ʰ"):
+        assert langid.has_letter(text)
+
+
 def test_language_odd_rows(odd, nothing):
     got = langid.predict_languages(odd).collect()
     texts = defaultdict(list)

@@ -40,20 +40,23 @@ def brute(rows):
                 at += len(p)
             spans.append(out)
         ends = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        groups, start = [], 0
+        groups, at = [], [0, 0]
         for end in ends:
-            groups.append("|".join(",".join(str(i) for s, e, i in x if s >= start and e <= end) for x in spans))
-            start = end
-        links = [(i, j) for s, e, i in spans[0] for t, f, j in spans[1] if s < f and t < e] if len(ids_a) < 400 else None
-        if links is None:  # long texts: both lists are in order
-            links, k = [], 0
-            for s, e, i in spans[0]:
-                while spans[1][k][1] <= s:
-                    k += 1
-                m = k
-                while m < len(spans[1]) and spans[1][m][0] < e:
-                    links.append((i, spans[1][m][2]))
-                    m += 1
+            parts = []
+            for side, x in enumerate(spans):
+                first = at[side]
+                while at[side] < len(x) and x[at[side]][1] <= end:
+                    at[side] += 1
+                parts.append(",".join(str(i) for _, _, i in x[first:at[side]]))
+            groups.append("|".join(parts))
+        links, k = [], 0
+        for s, e, i in spans[0]:
+            while spans[1][k][1] <= s:
+                k += 1
+            m = k
+            while m < len(spans[1]) and spans[1][m][0] < e:
+                links.append((i, spans[1][m][2]))
+                m += 1
         docs.append((key, len(ids_a), len(ids_b), groups, links))
     count = Counter(x for d in docs for x in d[4])
     best = defaultdict(int)
