@@ -20,8 +20,8 @@ order only steers the work: any order gives the same links.
    separately and summed per pair.
 5. Links connect classes. Large groups whose classes are not all connected yet
    give the pairs between different components, except those that the size
-   bound rules out or that were counted before; steps 4 and 5 repeat until
-   none is left. So no link between different texts is lost, and pairs inside
+   bound rules out or that were counted before; steps 4 and 5 repeat with the
+   groups that are still apart until none is left. So no link between different texts is lost, and pairs inside
    one connected group need not be made.
 
 ``n`` words and the threshold in percent are parameters (3 and 90 in the
@@ -230,6 +230,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(
         F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
         F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    classes = written(classes, "classes")     # read by every later step
     tokens = classes.select("c", F.posexplode("prefix").alias("i", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
     tokens = written(tokens.join(shared, "k"), "shared")
@@ -267,6 +268,10 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     pairs = written(pairs.select("a", "b", "na", "nb"), "pairs")
 
     reps = classes.select("c", F.col("rep.d").alias("d"), F.col("rep.h").alias("h"))
+    # the large groups that can still give pairs: one of the pair has the n-gram in its short prefix
+    place = ["k", "c", "n", "e", "i", "r", "q", "last"]
+    large = tokens.filter(f"m > {SMALL}").select(*place)
+    large = large.join(large.filter("q").select("k").distinct(), "k", "left_semi")
     tested, links, comps = None, None, None
     while True:
         nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
@@ -275,12 +280,12 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links).checkpoint()
-        # large groups with classes of different components
-        wide = (tokens.filter(f"m > {SMALL}").join(comps, F.col("c") == F.col("node"), "left")
-                .select("k", "c", "n", "e", "i", "r", "q", "last", F.coalesce("root", "c").alias("g")))
+        # large groups with classes of different components; one that has become one component stays so
+        wide = large.join(comps, F.col("c") == F.col("node"), "left").select(*place, F.coalesce("root", "c").alias("g"))
         sizes = wide.groupBy("k", "g").agg(F.count("*").alias("s"))
         main = sizes.groupBy("k").agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
-        wide = wide.join(main.select("k", F.col("x.g").alias("main")), "k").checkpoint()
+        wide = written(wide.join(main.select("k", F.col("x.g").alias("main")), "k"), "apart")
+        large = wide.select(*place)
         a, b = wide.filter("g <> main").alias("a"), wide.alias("b")
         more = (a.join(b, F.expr("a.k = b.k AND a.g <> b.g AND (b.g = b.main OR a.c < b.c)") & _possible(percent))
                 .select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"),
