@@ -281,8 +281,8 @@ def test_sentencepiece(odd, nothing):
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 def shards_brute(rows, limit):
-    data = [(k, len((t or "").encode()), format(int(hashlib.md5(str(k if k is not None else "").encode()).hexdigest()[:15], 16), "060b"))
-            for k, t in rows]
+    sixty = lambda x: format(int(hashlib.md5(x.encode()).hexdigest()[:15], 16), "060b")
+    data = [(k, len((t or "").encode()), sixty(str(k if k is not None else "")) + sixty(t or "")) for k, t in rows]
     out = Counter()
 
     def split(part, prefix):
@@ -291,8 +291,14 @@ def shards_brute(rows, limit):
             for bit in "01":
                 split([x for x in part if x[2][len(prefix)] == bit], prefix + bit)
             return
-        for k, s, _ in part:
-            out[(k, s, prefix, len(prefix), size, len(part), size <= limit)] += 1
+        more = 0
+        while size > limit and -(-len(part) // 2 ** more) > max(1, limit // part[0][1]):
+            more += 1
+        for i, (k, s, _) in enumerate(part):
+            own = len(part[i % 2 ** more::2 ** more])
+            tail = ":" + format(i % 2 ** more, f"0{more}b") if more else ""
+            held = s * own if more else size
+            out[(k, s, prefix + tail, len(prefix) + more, held, own, held <= limit)] += 1
 
     split(data, "")
     return out
@@ -308,8 +314,22 @@ def test_sharding_deep(odd, monkeypatch):
     assert counted(sharding.assign_shards(odd, limit=500).collect()) == shards_brute(odd_texts(), 500)
 
 
+def test_hot_keys_are_split(spark, scratch):
+    """Null keys split by text, copies by number: only single rows over the limit do not fit."""
+    rows = [(None, f"text {i} " * 20) for i in range(60)] + [(7, "same " * 30)] * 37 + [(8, "x" * 5000)] * 3 + [(9, None)] * 5 + [(9, "")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.assign_shards(df, limit=1000).collect()
+    assert counted(got) == shards_brute(rows, 1000)
+    assert all(r["fits"] == (r["n_bytes"] <= 1000) for r in got) and max(r["shard_rows"] for r in got if not r["fits"]) == 1
+    parts = sharding.write_shards(df, scratch + "/hot", limit=1000).collect()
+    back = spark.read.parquet(scratch + "/hot")
+    assert back.count() == len(rows) and sum(r["shard_rows"] for r in parts) == len(rows)
+    assert {r["__shard"]: r["count"] for r in back.groupBy("__shard").count().collect()} == {r["shard"]: r["shard_rows"] for r in parts}
+
+
 def test_sharding_empty_and_written(spark, odd, nothing, scratch):
     assert sharding.assign_shards(nothing).collect() == []
+    assert sharding.write_shards(nothing, scratch + "/none").collect() == [] and spark.read.schema(nothing.schema).parquet(scratch + "/none").count() == 0
     sharding.write_shards(odd, scratch + "/out", limit=2000)
     back = spark.read.parquet(scratch + "/out")
     assert back.count() == odd.count() and set(odd.columns) < set(back.columns)
