@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pliego.llm import shingles
-from pliego.llm.common import bounded_batches, ship, text_blocks, written
+from pliego.llm.common import bounded_batches, discard, ship, text_blocks, written
 from pliego.llm.components import connected_components
 from pliego.session import ensure_checkpoint_dir
 
@@ -230,10 +230,9 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(
         F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
         F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "classes")     # read by every later step
     tokens = classes.select("c", F.posexplode("prefix").alias("i", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    tokens = written(tokens.join(shared, "k"), "shared")
+    tokens = common_tokens = written(tokens.join(shared, "k"), "shared")
     # n-grams of its prefix that no other prefix has cannot be in an overlap with a set whose prefix reaches as far
     bound = tokens.groupBy("c").agg(F.count("*").alias("in_common"),
                                     F.sum((F.col("m") > SMALL).cast("int")).alias("wide")).join(classes, "c").select(
@@ -245,6 +244,7 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         F.expr(f"i <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}").alias("q"),
         F.expr(f"CASE WHEN m > {SMALL} THEN c & (shiftleft(1L, CAST(ceil(log2(m / {SMALL}D)) AS int)) - 1) ELSE 0 END").alias("run"))
     tokens = written(tokens, "tokens")
+    discard(common_tokens)
 
     # shared n-grams of large groups, of which not every pair is made, and the rest of
     # the set whose prefix ends first: what a pair's overlap may have besides its small groups
@@ -272,11 +272,12 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     place = ["k", "c", "n", "e", "i", "r", "q", "last"]
     large = tokens.filter(f"m > {SMALL}").select(*place)
     large = large.join(large.filter("q").select("k").distinct(), "k", "left_semi")
-    tested, links, comps = None, None, None
+    tested, links, comps, apart = None, None, None, None
     while True:
         nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        segments = _segments(docs, doc, text, n, reps.join(nodes, "c"), level, cuts)
-        found = written(_links(pairs, written(segments, "segments"), percent), "links")
+        segments = written(_segments(docs, doc, text, n, reps.join(nodes, "c"), level, cuts), "segments")
+        found = written(_links(pairs, segments, percent), "links")
+        discard(segments)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links).checkpoint()
@@ -285,7 +286,9 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         sizes = wide.groupBy("k", "g").agg(F.count("*").alias("s"))
         main = sizes.groupBy("k").agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
         wide = written(wide.join(main.select("k", F.col("x.g").alias("main")), "k"), "apart")
-        large = wide.select(*place)
+        if apart is not None:
+            discard(apart)
+        apart, large = wide, wide.select(*place)
         a, b = wide.filter("g <> main").alias("a"), wide.alias("b")
         more = (a.join(b, F.expr("a.k = b.k AND a.g <> b.g AND (b.g = b.main OR a.c < b.c)") & _possible(percent))
                 .select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"),
