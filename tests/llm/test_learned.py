@@ -1,5 +1,6 @@
 """Operators that learn: held-out quality, recall, exact base figures, odd rows, empty tables; and the pipeline."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -380,12 +381,38 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_odd_rows(spark, odd, nothing):
+    """Each stage's rows on odd input, from its own input by brute force; nothing from nothing."""
     import corpus_pipeline as P
 
-    for df in (odd.withColumn("lang", F.lit("aa")), nothing):
-        for name, stage in P.STAGES:
-            df = P.written(stage(spark, df, SF_SMALL), "test-odd")
-    assert df.columns[0] == "doc_id"
+    from .test_exact import dedup_brute, groups_brute, shingle_set
+
+    stages, df = dict(P.STAGES), odd.withColumn("lang", F.lit("aa"))
+    pairs = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()), key=str)
+    # language: what has a letter stays, the learned language being the only one
+    kept = P.written(stages["language_id"](spark, df, SF_SMALL), "test-odd")
+    assert pairs(kept) == sorted(((i, t) for i, t in odd_texts() if t and langid.has_letter(t)), key=str)
+    # near duplicates: one document of each component, the smallest id that has one
+    rows = pairs(kept)
+    smallest = {k[2] for k in groups_brute(rows, 5, 80)}
+    kept = P.written(stages["ngram_jaccard_join"](spark, kept, SF_SMALL), "test-odd")
+    left = pairs(kept)
+    assert set(left) <= set(rows) and {i for i, _ in left} == smallest
+    sets = [shingle_set(t, 5) for _, t in left]
+    assert all(100 * len(a & b) < 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])   # no two of them link
+    # repeated strings: as many bytes as brute force leaves
+    want = {k[0]: k[4] for k in dedup_brute(pairs(kept)) if k[2] < k[1]}      # texts that lose every byte go
+    kept = P.written(stages["suffix_dedup"](spark, kept, SF_SMALL), "test-odd")
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in pairs(kept)} == want
+    # no benchmark text in these rows: all stay, and all are encoded
+    rows = pairs(kept)
+    kept = P.written(stages["benchmark_decontamination"](spark, kept, SF_SMALL), "test-odd")
+    assert pairs(kept) == rows
+    last = stages["sentencepiece"](spark, kept, SF_SMALL).collect()
+    assert sorted(r["doc_id"] for r in last) == sorted(i for i, _ in rows)
+    df = nothing
+    for _, stage in P.STAGES:
+        df = P.written(stage(spark, df, SF_SMALL), "test-odd")
+    assert df.columns[0] == "doc_id" and df.count() == 0
 
 
 def test_crc_of_null():
