@@ -258,23 +258,6 @@ def test_lm_base_and_odd_rows(odd, nothing, monkeypatch):
     assert lm_score.score_held_out(nothing, path).collect() == []
 
 
-def test_training_in_slices(spark, odd, monkeypatch):
-    """Several copies trained in tasks and averaged: the same result whatever the partitions, and better than no training."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    score = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 4)) for r in lm_score.score_held_out(df, path).collect())
-    monkeypatch.setattr(lm_score, "STEPS", 0)
-    monkeypatch.setattr(lm_score, "DRAWN", 1)
-    monkeypatch.setattr(lm_score, "BATCH", 8)
-    monkeypatch.setattr(lm_score, "_trained", lambda drawn, start, pairs, slices: start.value.net.flat())
-    untrained = sum(x[2] for x in score(odd))
-    monkeypatch.undo()
-    monkeypatch.setattr(lm_score, "STEPS", 40)
-    monkeypatch.setattr(lm_score, "SLICE", 60)
-    monkeypatch.setattr(lm_score, "MERGED", 2)
-    first = score(odd)
-    assert first == score(odd.repartition(5)) and sum(x[2] for x in first) > untrained
-
-
 def test_windows_score_each_token_once_and_causally():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 50, 32000)
@@ -340,14 +323,12 @@ def test_lm_learns_from_whole_texts(spark, monkeypatch):
     """Pair counts cover every place of every training text; windows come from anywhere and grow with the corpus."""
     seen = {}
 
-    def trained(drawn, start, pairs, slices):
-        x, y = (np.frombuffer(b"".join(r[c] for r in drawn.collect()), "<i4").reshape(-1, lm_score.CONTEXT) for c in ("x", "y"))
-        seen.update(x=x, y=y, pairs=pairs, slices=slices)
-        return start.value.net.flat()
+    def fit(self, x, y, pairs=None, **rest):
+        seen.update(rest, x=x, y=y, pairs=pairs)
+        return self.ready()
 
-    monkeypatch.setattr(lm_score, "_trained", trained)
+    monkeypatch.setattr(lm_score.Attention, "fit", fit)
     monkeypatch.setattr(lm_score, "STEPS", 2)
-    monkeypatch.setattr(lm_score, "SLICE", 64)
     monkeypatch.setattr(lm_score, "DRAWN", 4)
     texts = ["alpha beta " * 3000 + "omega delta " * 3000 for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -359,7 +340,7 @@ def test_lm_learns_from_whole_texts(spark, monkeypatch):
     assert (pairs >= 2999 * len(learnt)).sum() >= 4 and pairs.sum() > 12000 * len(learnt)
     windows = pairs.sum() / lm_score.STRIDE
     assert 0.8 * windows / 4 < len(seen["x"]) < 1.2 * windows / 4
-    assert seen["slices"] == -(-len(seen["x"]) // lm_score.SLICE)
+    assert seen["steps"] == -(-len(seen["x"]) // lm_score.BATCH)
     assert len(np.unique(seen["y"][seen["y"] >= 0])) >= 4
 
 
