@@ -94,3 +94,39 @@ def test_all_pages_failing_is_an_error(spark):
     with pytest.raises(Exception, match="no page has data rows"):
         H.combine_pages(pages_of(spark, "<p>a</p>", "<p>b</p>")).collect()
     assert H.combine_pages(pages_of(spark, "x").limit(0)).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_parsed_once_per_query(spark):
+    pages = pages_of(spark, results_page(), "<p>no</p>")
+    assert plan_of(H.page_errors(H.table_rows(pages))).count("MapInArrow") == 1
+    assert plan_of(H.extract_result_rows(pages)).count("MapInArrow") == 1
+
+
+def test_blocks_of_rows_are_bounded():
+    import pyarrow as pa
+
+    html = results_page() + "x" * H._BLOCK_CHARS
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["u"] * 3), pa.array([html] * 3)], ["page_id", "url", "html"])
+    blocks = list(H._parse_pages(iter([batch]), False))
+    assert [set(b.column(0).to_pylist()) for b in blocks] == [{1}, {2}, {3}]
+    assert all(t is None for b in blocks for t in b.column(13).to_pylist())
+
+
+def test_fast_cells_equal_the_event_parser():
+    odd = ("<table class='a b'><thead><tr><th> A &amp; B </th><th>C<br>d</th></tr></thead><tbody><tr><td>x</TD> \n<td>"
+           "<a href='u' onclick=\"f('1')\">y</a> z</td><th>r</th></tr><TR><td></td><td>&nbsp;</td></tr></tbody></table>")
+    assert H._fast_tables(odd, False) == H._read_tables(odd, False)
+
+
+def test_equal_page_ids_share_one_choice(spark):
+    generic = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
+    pages = spark.createDataFrame([(1, "u", results_page()), (1, "v", generic), (None, "w", generic), (None, "x", "<p>no</p>")],
+                                  "page_id long, url string, html string")
+    rows = H.table_rows(pages)
+    assert sorted((r.page_id or 0, r.filas, r.error or "") for r in H.page_results(rows).collect()) == [
+        (0, 2, ""), (0, 2, "no table"), (1, 5, ""), (1, 5, "")]
+    assert H.extract_result_rows(pages).count() == 5
