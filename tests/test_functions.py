@@ -117,3 +117,24 @@ def test_dates_of_last_resort(spark):
     rows = spark.createDataFrame([(k,) for k in want], "s string").repartition(2)
     got = {r.s: r.d for r in rows.select("s", parse_date("s").alias("d")).collect()}
     assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_fold_and_label_equal_the_letter_table(spark):
+    from pliego.functions import text as T
+
+    odd = ["ÁÉÍÓÚÜÑ áéíóúüñ", " İΣ ς ß\x85_9\x1f", "  a\t-\xa0b ", "", None, "plain TEXT", "😀ñ\x00x"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    table = F.lower(F.translate("t", T.ACCENTED, T.UNACCENTED))
+    kept = F.regexp_replace(T.strip_ws(table), "[^a-z0-9" + T.WS[1:], " ")
+    got = df.select(table.alias("a"), T.fold("t").alias("b"), T.collapse_ws(kept).alias("c"), T.normalize_label("t").alias("d"))
+    assert all(r.a == r.b and r.c == r.d for r in got.collect())
+    plan = df.select(T.normalize_label("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and plan.count("regexp_replace(") == 1
+
+
+def test_the_last_resort_is_for_text_with_a_digit(spark):
+    from pliego.functions.dates import parse_date
+
+    df = spark.createDataFrame([("",), ("sin fecha",), ("3 de mayo de 2025",)], "t string").select(parse_date("t").alias("d"))
+    assert [r.d is not None for r in df.collect()] == [False, False, True]
+    assert ", [0-9])" in df._jdf.queryExecution().analyzed().toString()
