@@ -420,7 +420,7 @@ def study_partials(df: DataFrame, value: str = VALUE, by: Sequence[str] = ()) ->
     for c in dates:
         pairs += [F.when(part(c).isNotNull(), pair(f"{name}:{c}", part(c))) for name, part in (("anio", year_of), ("mes", month_of))]
     first, last = [F.when(F.col("_d.dimension") == _TOTAL, F.col(c)) for c in dates], [f"_{c}" for c in dates]
-    stacked = df.withColumn("_m", amount).select(*by, "_m", *dates, F.explode(F.array_compact(F.array(*pairs))).alias("_d"))
+    stacked = df.withColumn("_m", amount).select(*by, "_m", *dates, F.explode(F.array(*pairs)).alias("_d")).where(F.col("_d").isNotNull())
     sums = stacked.groupBy(*by, "_d.dimension", "_d.categoria", "_d.precio").agg(
         F.count(F.lit(1)).alias("contratos"), F.coalesce(F.sum("_m"), F.lit(0.0)).alias("valor_total"),
         F.sum("_d.present").alias("_present"),

@@ -138,3 +138,14 @@ def test_ranks_are_selected_by_counts(spark, monkeypatch):
     data = rows.toPandas()
     for g, part in data.groupby("g"):
         assert np.allclose([got[g][f"q_{i}"] for i in range(4)], np.quantile(part["v"], [0.0, 0.31, 0.5, 1.0]), rtol=1e-12)
+
+
+def test_study_stacks_its_dimensions_without_array_lambdas(spark, monkeypatch):
+    from pliego.operators import study as S
+
+    seen = []
+    monkeypatch.setattr(S, "frozen", lambda df, name: seen.append(df) or df)
+    df = spark.createDataFrame([("a", 1.0, "p"), (None, None, "nan")], "ciudad string, valor_del_contrato double, proveedor_adjudicado string")
+    rows = S.study_partials(df, by=["ciudad"]).sums.groupBy("dimension").sum("contratos").collect()
+    assert {r[0]: r[1] for r in rows} == {"total": 2, "precio": 1, "ciudad": 2, "proveedor": 1}
+    assert "lambda" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
