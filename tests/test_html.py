@@ -102,18 +102,18 @@ def plan_of(df):
 
 def test_pages_are_parsed_once_per_query(spark):
     pages = pages_of(spark, results_page(), "<p>no</p>")
-    assert plan_of(H.page_errors(H.table_rows(pages))).count("MapInArrow") == 1
-    assert plan_of(H.extract_result_rows(pages)).count("MapInArrow") == 1
+    assert plan_of(H.page_errors(H.table_rows(pages))).count("MapInPandas") == 1
+    assert plan_of(H.extract_result_rows(pages)).count("MapInPandas") == 1
 
 
 def test_blocks_of_rows_are_bounded():
-    import pyarrow as pa
+    import pandas as pd
 
     html = results_page() + "x" * H._BLOCK_CHARS
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["u"] * 3), pa.array([html] * 3)], ["page_id", "url", "html"])
+    batch = pd.DataFrame({"page_id": [1, 2, 3], "url": "u", "html": html})
     blocks = list(H._parse_pages(iter([batch]), False))
-    assert [set(b.column(0).to_pylist()) for b in blocks] == [{1}, {2}, {3}]
-    assert all(t is None for b in blocks for t in b.column(13).to_pylist())
+    assert [set(b["page_id"]) for b in blocks] == [{1}, {2}, {3}]
+    assert all(t is None for b in blocks for t in b["page_text"])
 
 
 def test_fast_cells_equal_the_event_parser():
