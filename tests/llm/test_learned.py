@@ -344,6 +344,54 @@ def test_lm_learns_from_whole_texts(spark, monkeypatch):
     assert len(np.unique(seen["y"][seen["y"] >= 0])) >= 4
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Every token of every training document is a target once, in some round, and the steps lower the loss."""
+    rounds, scorers, refine, start = [], [], lm_score.refine, []
+
+    def watched(scorer, learn):
+        start.append({k: v.copy() for k, v in scorer.net.p.items()})
+        rounds.extend(refine(scorer, learn))
+        scorers.append(scorer)
+        return rounds
+
+    monkeypatch.setattr(lm_score, "refine", watched)
+    monkeypatch.setattr(lm_score, "STEPS", 2)
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 300, 60)] + [None, "", "alpha " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = tokenizer_path("piece_bpe_32k.model")
+    lm_score.score_held_out(df, path)
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = sum(len(lib.encode(t or "")) + 1 for i, t in enumerate(texts) if crc(i, 7) != 2)
+    assert len(rounds) == lm_score.ROUNDS and sum(n for n, _ in rounds) == want
+    ids = [np.array(lib.encode(t or ""), np.int64) for i, t in enumerate(texts) if crc(i, 7) != 2]
+    after = scorers[0].score(ids).sum()
+    scorers[0].net.p = start[0]
+    scorers[0].net.ready()
+    assert after > scorers[0].score(ids).sum()
+
+
+def test_lm_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    scorer = lm_score.Scorer(rng.integers(0, 50, 3000), lm_score.Attention().ready())
+    net = scorer.net
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x, y, real, _ = scorer.windows([rng.integers(0, 3000, n) for n in (0, 5, 40, 1500)])
+    g = net.zeros()
+    n, loss = net.gradient(x, y, real, g)
+    assert n == 1549 and loss > 0
+    for k, v in net.p.items():
+        at = np.unravel_index(np.argmax(np.abs(g[k])), v.shape)
+        old, lost = v[at], []
+        for v[at] in (old + 1e-4, old - 1e-4):
+            lost.append(net.gradient(x, y, real, net.zeros())[1])
+        v[at] = old
+        assert abs((lost[0] - lost[1]) / 2e-4 - g[k][at]) < 1e-2 * abs(g[k][at]), k
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
