@@ -130,3 +130,14 @@ def test_equal_page_ids_share_one_choice(spark):
     assert sorted((r.page_id or 0, r.filas, r.error or "") for r in H.page_results(rows).collect()) == [
         (0, 2, ""), (0, 2, "no table"), (1, 5, ""), (1, 5, "")]
     assert H.extract_result_rows(pages).count() == 5
+
+
+def test_plain_and_linked_cells_skip_the_slow_path(monkeypatch):
+    slow, plain = [], H._fast_cell
+    monkeypatch.setattr(H, "_fast_cell", lambda fragment: slow.append(fragment) or plain(fragment))
+    page = ("<table><tr><th>A</th><td> b &amp; c </td></tr><tr><td>1</TD><td><a href=\"f('1')&amp;\">P&nbsp;</a></td>"
+            "<td><A HREF=\"\">q</A></td><td><a href=\"u\">r</a> s</td></tr></table>")
+    (_, rows), = H._fast_tables(page, False)[0]
+    assert rows == [("", ["A", "b & c"], ["", ""], [0]), ("", ["1", "P", "q", "r s"], ["", "f('1')&", "", "u"], [])]
+    assert slow == ["1</TD>", '<a href="u">r</a> s</td>']
+    assert H._fast_tables(page, False) == H._read_tables(page, False)

@@ -149,3 +149,15 @@ def test_study_stacks_its_dimensions_without_array_lambdas(spark, monkeypatch):
     rows = S.study_partials(df, by=["ciudad"]).sums.groupBy("dimension").sum("contratos").collect()
     assert {r[0]: r[1] for r in rows} == {"total": 2, "precio": 1, "ciudad": 2, "proveedor": 1}
     assert "lambda" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_rendered_where_their_lines_are_dealt(spark):
+    from pliego.plans.fixtures import result_pages
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        plan = executed(result_pages(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    above = plan[:plan.index("Join")]    # one shuffle, of lines, in as many parts as the session's shuffles
+    assert above.count("Exchange ") == 1 and "hashpartitioning(page_id" in above and ", 96)" in above
