@@ -8,10 +8,13 @@ order only steers the work: any order gives the same links.
 1. Equal sets become one class, counted with map-side combining. Copies are
    never paired with each other.
 2. Prefix: two sets with Jaccard similarity of at least t share an n-gram among
-   the first ``n - ceil(t n) + 1`` of each. N-grams in one prefix only are
-   dropped; how many a class loses that way bounds its overlap with any class
-   whose prefix reaches at least as far.
-3. Classes that share a prefix n-gram are candidates. Groups of up to ``SMALL``
+   the first ``n - ceil(t n) + 1`` of each, and their sizes lie in one of the
+   bands of ratio 1 / t or in two that follow each other. N-grams that no other
+   prefix of such a size has are dropped; how many a class loses that way bounds
+   its overlap with any class whose prefix reaches at least as far.
+3. Classes that share a prefix n-gram and a band are candidates: each class is
+   at home in the group of its own band and a guest in the next one's, and a
+   pair has one at home. Groups of up to ``SMALL``
    give all their pairs. A larger group gives each class paired with the hub
    (the class with most copies) and with its run of about ``SMALL`` classes:
    linear in the group.
@@ -36,6 +39,7 @@ ids of the component are null. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,6 +51,8 @@ from pliego.llm.components import connected_components
 from pliego.session import ensure_checkpoint_dir
 
 WORDS, PERCENT = 3, 90
+#: A group of candidates: an n-gram, and the sizes that can be linked.
+GROUP = ["k", "band"]
 SMALL = 8
 FRAGMENTS = 4
 #: Counters of the frequency sketch (4 MB), whatever the corpus.
@@ -215,6 +221,24 @@ def _possible(percent: int):
                   f"AND {100 + percent} * (least(a.r, b.r) + least(a.n - a.i, b.n - b.i)) >= {percent} * (a.n + b.n)")
 
 
+def size_band(percent: int):
+    """Band of the size n: the sizes of two sets that can be linked lie in one band or in two that follow each other."""
+    # a little wider than the largest ratio of linked sizes, so that rounding cannot put a band between them
+    return F.floor(F.ln("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")
+
+
+def comparable(tokens: DataFrame) -> DataFrame:
+    """The rows (c, band, i, k) whose n-gram another class of the same or a neighbouring band may have.
+
+    An n-gram keeps the set of its bands as 64 bits, which meet again after 64 bands, and its number
+    of classes: if that is larger than the number of bits, two of them may be in one band.
+    """
+    bit = lambda shift: F.expr(f"shiftleft(1L, (band + {shift}) % 64)")
+    seen = tokens.groupBy("k").agg(F.count("*").alias("m"), F.bit_or(bit(0)).alias("bands")).filter("m > 1")
+    near = F.col("bands").bitwiseAND(bit(1).bitwiseOR(bit(63))) != 0
+    return tokens.join(seen, "k").filter(near | (F.col("m") > F.bit_count("bands"))).select("c", "band", "i", "k")
+
+
 def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS,
                    percent: int = PERCENT) -> DataFrame:
     """Per row: d, h (hash of the text), n (size of the set), root (its group), component (smallest doc of it)."""
@@ -227,37 +251,45 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     level, cuts = spark.sparkContext.broadcast(slots), fragment_limits(weight)
     rows = written(_describe(docs, doc, text, n, percent, level), "sets")
 
-    classes = rows.filter("c IS NOT NULL").groupBy("c").agg(
-        F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
-        F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    tokens = classes.select("c", F.posexplode("prefix").alias("i", "k"))
-    shared = tokens.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    tokens = common_tokens = written(tokens.join(shared, "k"), "shared")
-    # n-grams of its prefix that no other prefix has cannot be in an overlap with a set whose prefix reaches as far
-    bound = tokens.groupBy("c").agg(F.count("*").alias("in_common"),
-                                    F.sum((F.col("m") > SMALL).cast("int")).alias("wide")).join(classes, "c").select(
-        "c", "n", "copies", "wide", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"),
-        (F.col("n") - F.size("prefix") + F.col("in_common")).alias("e"))
-    in_order = Window.partitionBy("c").orderBy("i")  # within one prefix
-    tokens = tokens.withColumn("r", F.row_number().over(in_order) - 1).join(bound, "c").select(
-        "c", "n", "p", "e", "i", "r", "last", "copies", "wide", "k", "m",
+    own = rows.filter("c IS NOT NULL").groupBy("c")
+    classes = own.agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
+                      F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    facts = own.agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.size("prefix")).alias("p"),
+                    F.min(F.element_at("prefix", -1)).alias("last"))
+    tokens = shared_tokens = written(comparable(classes.select(
+        "c", size_band(percent).alias("band"), F.posexplode("prefix").alias("i", "k"))), "shared")
+    # a class is at home in its own band's group and a guest in the next one's
+    tokens = tokens.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "band", F.expr("IF(home, band, band + 1)"))
+    groups = tokens.groupBy("k", "band").agg(F.count("*").alias("m"), F.max("home").alias("any")).filter("m > 1 AND any").drop("any")
+    tokens = grouped = written(tokens.join(groups, GROUP), "grouped")
+    discard(shared_tokens)
+    in_order, whole = Window.partitionBy("c").orderBy("i"), Window.partitionBy("c")  # within one prefix
+    tokens = tokens.withColumn("r", F.dense_rank().over(in_order) - 1).select(
+        "*", (F.max("r").over(whole) + 1).alias("in_common"),
+        F.size(F.collect_set(F.expr(f"CASE WHEN m > {SMALL} THEN i END")).over(whole)).alias("wide"))
+    # n-grams of its prefix that no other prefix of a like size has cannot be in an overlap with a set whose prefix reaches as far
+    tokens = tokens.join(facts, "c").select(
+        "c", "n", "p", (F.col("n") - F.col("p") + F.col("in_common")).alias("e"), "i", "r", "last", "copies", "wide", *GROUP,
+        "home", "m",
         F.expr(f"i <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}").alias("q"),
         F.expr(f"CASE WHEN m > {SMALL} THEN c & (shiftleft(1L, CAST(ceil(log2(m / {SMALL}D)) AS int)) - 1) ELSE 0 END").alias("run"))
     tokens = written(tokens, "tokens")
-    discard(common_tokens)
+    discard(grouped)
 
     # shared n-grams of large groups, of which not every pair is made, and the rest of
     # the set whose prefix ends first: what a pair's overlap may have besides its small groups
     rest = F.expr("least(a.wide, b.wide) + CASE WHEN a.last < b.last THEN a.n - a.p ELSE b.n - b.p END").alias("rest")
+    same = "a.k = b.k AND a.band = b.band AND (a.home OR b.home)"
     a, b = tokens.alias("a"), tokens.alias("b")
-    near = a.join(b, F.expr(f"a.k = b.k AND a.run = b.run AND a.c < b.c AND {_whole(percent)}")).select(
+    near = a.join(b, F.expr(f"{same} AND a.run = b.run AND a.c < b.c AND {_whole(percent)}")).select(
         F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), rest,
         F.expr(f"CAST(a.m <= {SMALL} AS int)").alias("one"), _possible(percent).alias("ok"))
-    hubs = (tokens.filter(f"m > {SMALL}").groupBy("k")
-            .agg(F.min(F.struct((-F.col("copies")).alias("x"), "c", "n", "p", "e", "i", "r", "q", "last", "wide")).alias("hub"))
-            .select("k", "hub.*"))
+    hubs = (tokens.filter(f"m > {SMALL} AND home").groupBy(*GROUP)
+            .agg(F.min(F.struct((-F.col("copies")).alias("x"), "c", "n", "p", "e", "i", "r", "q", "last", "wide", "home")).alias("hub"))
+            .select(*GROUP, "hub.*"))
     a, b = tokens.filter(f"m > {SMALL}").alias("a"), hubs.alias("b")
-    star = a.join(b, F.expr("a.k = b.k AND a.c <> b.c") & _possible(percent)).select(
+    star = a.join(b, F.expr(f"{same} AND a.c <> b.c") & _possible(percent)).select(
         F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"),
         F.expr("CASE WHEN a.c < b.c THEN a.n ELSE b.n END").alias("na"),
         F.expr("CASE WHEN a.c < b.c THEN b.n ELSE a.n END").alias("nb"), rest, F.lit(0).alias("one"), F.lit(True).alias("ok"))
@@ -269,9 +301,9 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
 
     reps = classes.select("c", F.col("rep.d").alias("d"), F.col("rep.h").alias("h"))
     # the large groups that can still give pairs: one of the pair has the n-gram in its short prefix
-    place = ["k", "c", "n", "e", "i", "r", "q", "last"]
+    place = [*GROUP, "home", "c", "n", "e", "i", "r", "q", "last"]
     large = tokens.filter(f"m > {SMALL}").select(*place)
-    large = large.join(large.filter("q").select("k").distinct(), "k", "left_semi")
+    large = large.join(large.filter("q").select(*GROUP).distinct(), GROUP, "left_semi")
     tested, links, comps, apart = None, None, None, None
     while True:
         nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
@@ -283,14 +315,14 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
         comps = connected_components(links).checkpoint()
         # large groups with classes of different components; one that has become one component stays so
         wide = large.join(comps, F.col("c") == F.col("node"), "left").select(*place, F.coalesce("root", "c").alias("g"))
-        sizes = wide.groupBy("k", "g").agg(F.count("*").alias("s"))
-        main = sizes.groupBy("k").agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
-        wide = written(wide.join(main.select("k", F.col("x.g").alias("main")), "k"), "apart")
+        sizes = wide.groupBy(*GROUP, "g").agg(F.count("*").alias("s"))
+        main = sizes.groupBy(*GROUP).agg(F.max(F.struct("s", "g")).alias("x"), F.count("*").alias("gs")).filter("gs > 1")
+        wide = written(wide.join(main.select(*GROUP, F.col("x.g").alias("main")), GROUP), "apart")
         if apart is not None:
             discard(apart)
         apart, large = wide, wide.select(*place)
         a, b = wide.filter("g <> main").alias("a"), wide.alias("b")
-        more = (a.join(b, F.expr("a.k = b.k AND a.g <> b.g AND (b.g = b.main OR a.c < b.c)") & _possible(percent))
+        more = (a.join(b, F.expr(f"{same} AND a.g <> b.g AND (b.g = b.main OR a.c < b.c)") & _possible(percent))
                 .select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"),
                         F.expr("CASE WHEN a.c < b.c THEN a.n ELSE b.n END").alias("na"),
                         F.expr("CASE WHEN a.c < b.c THEN b.n ELSE a.n END").alias("nb")).distinct()

@@ -160,6 +160,37 @@ def test_jaccard_appended_text(spark, n, percent, low, high):
     assert counted(jaccard_join.near_duplicates(df, n, percent).collect()) == want
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_candidates_have_like_sizes(spark, monkeypatch, n, percent):
+    """An n-gram that sets of all sizes have makes no large group; linked sets at the edges of bands are found."""
+    kept, plain = [], jaccard_join.written
+
+    def written(df, name):
+        out = plain(df, name)
+        kept.extend([out] * (name == "tokens"))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", written)
+    rng = random.Random(5)
+    prose = lambda m: [f"w{rng.randrange(10 ** 6)}" for _ in range(m)]
+    # the phrase is rarer than the rest, which 40 copies of a longer text have too
+    long = prose(6000)
+    far = [(i, " ".join(["rare", "shared", "words", "of", "all"] + long[:int(20 * 1.6 ** i)])) for i in range(12)]
+    far += [(100 + i, " ".join(long)) for i in range(40)]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    assert counted(jaccard_join.near_duplicates(df, n, percent).collect()) == groups_brute(far, n, percent)
+    assert kept[0].count() == 0
+    like, sizes = [], [*range(n, 80), 200, 401]
+    for m in sizes:
+        w = prose(m)
+        longest = 100 * (m - n + 1) // percent + n - 1     # words of the longest text that is linked
+        like += [(10 * m + j, " ".join(w + prose(more))) for j, more in enumerate((0, longest - m, longest - m + 1))]
+    df = spark.createDataFrame(like, "doc_id long, text string")
+    want = groups_brute(like, n, percent)
+    assert sum(i % 10 == 1 and low == i - 1 for i, _, low in want) == len(sizes)
+    assert counted(jaccard_join.near_duplicates(df, n, percent).collect()) == want
+
+
 def test_keep_one_of_each(odd):
     kept = jaccard_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
