@@ -191,6 +191,30 @@ def test_quality_held_out(spark):
     assert np.mean([a == b for a, b in held]) > 0.9 and np.mean([a == 0 for a, b in held if b == 0]) > 0.8
 
 
+def test_quality_learns_from_all_pairs(spark):
+    """The weights and the threshold of Newton steps over every pair of a good and a bad labelled document."""
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "delta", "x", "1234", "Ends here.", "$$$"]
+    texts = [" ".join(rng.choice(words[(i % 3 > 1) * 2:], rng.integers(3, 60))) for i in range(90)]
+    marks = [int(i % 3 > 0) if i % 7 else int(i % 2) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(enumerate(marks)) + [(90, None), (None, 1), (91, 1), (5, 3)], "doc_id long, quality int")
+    got = quality_rank.train(docs, labels)
+
+    x, y = np.array([quality_rank.features(t) for t in texts]), np.array(marks)
+    assert np.allclose(got.mean, x.mean(0)) and np.allclose(got.std, x.std(0) + 1e-6)
+    z = np.clip((x - got.mean) / got.std, -6, 6)
+    z = np.concatenate([z, z * z], axis=1)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(d @ w))
+        grad = d.T @ p / len(d) - quality_rank.RIDGE * w
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality_rank.RIDGE * np.eye(len(w)), grad)
+    assert np.abs(got.w - w).max() < 0.01 * np.abs(w).max()
+    assert got.threshold == pytest.approx(np.quantile(z @ got.w, np.mean(y == 0)), abs=1e-9)
+
+
 def test_quality_odd_rows(spark, odd, nothing):
     shape = "doc_id long, quality int, text string"
     some = spark.createDataFrame([(i, i % 2, "x") for i in range(30, 60)] + [(None, 1, "x"), (31, None, "x"), (999, 0, "x")], shape)
