@@ -228,15 +228,19 @@ def size_band(percent: int):
 
 
 def comparable(tokens: DataFrame) -> DataFrame:
-    """The rows (c, band, i, k) whose n-gram another class of the same or a neighbouring band may have.
+    """The rows (c, band, i, k) whose n-gram another class of the same or a neighbouring band may have; written.
 
     An n-gram keeps the set of its bands as 64 bits, which meet again after 64 bands, and its number
     of classes: if that is larger than the number of bits, two of them may be in one band.
     """
     bit = lambda shift: F.expr(f"shiftleft(1L, (band + {shift}) % 64)")
     seen = tokens.groupBy("k").agg(F.count("*").alias("m"), F.bit_or(bit(0)).alias("bands")).filter("m > 1")
+    seen = written(seen, "seen")  # the shuffle that counts is off the disks before the tokens are shuffled for the join
     near = F.col("bands").bitwiseAND(bit(1).bitwiseOR(bit(63))) != 0
-    return tokens.join(seen, "k").filter(near | (F.col("m") > F.bit_count("bands"))).select("c", "band", "i", "k")
+    out = tokens.join(seen, "k").filter(near | (F.col("m") > F.bit_count("bands"))).select("c", "band", "i", "k")
+    out = written(out, "shared")
+    discard(seen)
+    return out
 
 
 def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS,
@@ -249,15 +253,20 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", n:
     ship(__name__)
     slots, weight = frequency_levels(docs, text, n)
     level, cuts = spark.sparkContext.broadcast(slots), fragment_limits(weight)
-    rows = written(_describe(docs, doc, text, n, percent, level), "sets")
-
-    own = rows.filter("c IS NOT NULL").groupBy("c")
-    classes = own.agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
-                      F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    facts = own.agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.size("prefix")).alias("p"),
-                    F.min(F.element_at("prefix", -1)).alias("last"))
-    tokens = shared_tokens = written(comparable(classes.select(
-        "c", size_band(percent).alias("band"), F.posexplode("prefix").alias("i", "k"))), "shared")
+    sets = written(_describe(docs, doc, text, n, percent, level), "sets")
+
+    # prefixes, nearly all of these tables, stay on the disks as one copy and only until they are tokens
+    prefixes = written(sets.filter("c IS NOT NULL").groupBy("c").agg(
+        F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("rep"), F.min("n").alias("n"),
+        F.count("*").alias("copies"), F.first("prefix").alias("prefix")), "prefixes")
+    rows = written(sets.select("d", "h", "c", "n"), "rows")
+    discard(sets)
+    classes = written(prefixes.select("c", "rep", "n", "copies", F.size("prefix").alias("p"),
+                                      F.element_at("prefix", -1).alias("last")), "classes")
+    facts = classes.select("c", "n", "copies", "p", "last")
+    tokens = shared_tokens = comparable(prefixes.select(
+        "c", size_band(percent).alias("band"), F.posexplode("prefix").alias("i", "k")))
+    discard(prefixes)
     # a class is at home in its own band's group and a guest in the next one's
     tokens = tokens.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
         "band", F.expr("IF(home, band, band + 1)"))

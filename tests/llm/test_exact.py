@@ -390,3 +390,30 @@ def test_sql(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert sorted(df.columns) == sorted(names)
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(names, rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, odd):
+    """The shuffles of a written table go with its statement, and op8's prefixes with the step that reads them."""
+    import glob
+    import time
+
+    from pliego.llm import jaccard_join
+    from pliego.llm.common import written
+    from pliego.session import scratch_path
+
+    disks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = shuffles()
+    counted = odd.groupBy("doc_id").count()
+    kept = written(counted, "counted")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == counted.count()
+
+    folder = scratch_path(spark, "llm").removeprefix("file:")
+    here = lambda: {x for k in ("sets", "prefixes", "seen") for x in glob.glob(f"{folder}/{k}-*")}
+    before = here()
+    assert jaccard_join.near_duplicates(odd).count() == odd.count()
+    assert here() == before
