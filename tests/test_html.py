@@ -141,3 +141,33 @@ def test_plain_and_linked_cells_skip_the_slow_path(monkeypatch):
     assert rows == [("", ["A", "b & c"], ["", ""], [0]), ("", ["1", "P", "q", "r s"], ["", "f('1')&", "", "u"], [])]
     assert slow == ["1</TD>", '<a href="u">r</a> s</td>']
     assert H._fast_tables(page, False) == H._read_tables(page, False)
+
+
+def test_best_table_is_chosen_where_a_page_is_parsed(spark):
+    """Rows of ``landed_rows`` bring their page id's best table, also for ids that come twice; no shuffle chooses it again."""
+    head = "<tr><th>x</th><th>Número de Proceso</th></tr>"
+    row = "<tr>" + "".join(f"<td>{v}</td>" for v in ("1", "P-1", "t", "e", "ent", "obj", "ASIA : X", "$1", "Fecha 01-02-2003")) + "</tr>"
+    table = lambda body, klass="": f"<table class='{klass}'>{body}</table>"
+    few, many = table("<tr><td>a</td></tr>"), table("<tr><td>a</td></tr><tr><td>b</td></tr>")
+    known, classed = table(head + row), table("<tr><td>c</td></tr>", "x tbl_resulados")
+    htmls = [(1, few + many + known), (2, few + many), (3, few), (4, many + classed), (5, "<p>none</p>"), (6, "<table></table>" + few),
+             (7, None), (8, many), (8, few + known), (8, "<p>none</p>"), (None, known), (None, many), (9, table("") + table(row))]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in htmls], "page_id long, url string, html string").repartition(3)
+    rows, plain = H.landed_rows(pages), H.table_rows(pages, with_text=False)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(H.extract_result_rows(pages, rows), H.extract_result_rows(pages, plain))
+    assert same(H.extract_generic_rows(pages, rows), H.extract_generic_rows(pages, plain))
+    assert same(H.page_results(rows), H.page_results(plain))
+    assert H.extract_result_rows(pages, rows).count() == 3
+    once = H.landed_rows(pages.where("page_id < 8"))
+    plan = H.extract_result_rows(pages, once)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_two_searches_parse_the_pages_once(spark, monkeypatch):
+    from pliego.plans import registry
+
+    registry.load_all()
+    parsed, plain = [], H._parsed
+    monkeypatch.setattr(H, "_parsed", lambda *a, **k: parsed.append(1) or plain(*a, **k))
+    assert registry.QUERIES["search_job_rows"](spark, "/root/testdata/sf0.001").count() == 3 and parsed == [1]
